@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX
+from .common import WORD_REGEX, materialise
 
 #: Documents of one source that a task draws from at once, and chunks whose open documents are drawn together.
-CHUNK_DOCS = 20000
+CHUNK_DOCS = 4000
 CHUNKS_AT_ONCE = 2000
 #: Documents of a group that the flight leaves open; with the two that it can't settle, the landing has so many choices.
 RESERVED = 13
@@ -132,6 +132,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     count and are drawn separately (they share chunks). Other columns are left out; an empty table gives an empty one.
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sizes = materialise(sizes)  # the texts are read once; a few bytes for each document are kept
     targets = source_targets(sizes, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     chunks = F.ceil(F.col("n_docs") / CHUNK_DOCS).cast("long")
@@ -141,7 +142,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     rows = rows.withColumn("p", F.when((F.col("size") > 0) & (p > _EPS), p).otherwise(0.0)).withColumn("mark", F.xxhash64("doc_id", F.lit(5)))
     rows = rows.withColumn("group", F.pmod("mark", F.col("chunks"))).drop("ratio", "chunks")
 
-    most_chunks = -(-(docs.count()) // CHUNK_DOCS)
+    most_chunks = -(-sizes.count() // CHUNK_DOCS)
     schema = rows.schema
     parts, at, groups = [rows.where(F.col("p") == 0.0)], rows.where(F.col("p") > 0.0), most_chunks
     while True:
