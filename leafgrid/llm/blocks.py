@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text to a block, and keys to a range.
-BLOCK_CHARS = 10_000_000
-RANGE_KEYS = 4_000_000
+BLOCK_CHARS = 4_000_000
+RANGE_KEYS = 1_500_000
 LEAST_BLOCKS, LEAST_RANGES = 24, 24
 LOWEST = -(1 << 63)
 
