@@ -34,7 +34,8 @@ _LONG_WORD = 512
 
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else, unlike ``lower``."""
-    return F.translate(text, UPPER, LOWER)
+    # lower() is much faster than translate() and does the same to texts of one byte a character.
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def scratch_dir(spark: SparkSession) -> str:
