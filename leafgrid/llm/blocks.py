@@ -116,3 +116,19 @@ def replies(range_: int, blocks: list[int], sizes: np.ndarray, *data: np.ndarray
     """Rows of ANSWER: the data arrays, which are in the order of gather(), dealt back to the blocks."""
     at = np.concatenate([[0], np.cumsum(sizes)])
     return rows(ANSWER, [(b, range_, b"".join(d[i:j].tobytes() for d in data)) for b, i, j in zip(blocks, at[:-1].tolist(), at[1:].tolist(), strict=True)])
+
+
+def packed(counts: np.ndarray, flags: np.ndarray | None = None) -> bytes:
+    """Counts in a byte each, with a flag; those of 127 and more follow in eight."""
+    low = np.minimum(counts, 127).astype(np.uint8)
+    if flags is not None:
+        low |= flags.astype(np.uint8) << 7
+    return low.tobytes() + counts[counts >= 127].astype(np.uint64).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and flags of packed()."""
+    low = np.frombuffer(data, np.uint8, n)
+    counts = (low & 127).astype(np.int64)
+    counts[counts == 127] = np.frombuffer(data, np.uint64, offset=n)
+    return counts, low > 127

@@ -20,7 +20,6 @@ _PAIR = np.uint64(0xD6E8FEB86659FD93)
 #: Context buckets are powers of two of its count; evidence is counted by quarter powers of two of the likelihood ratio.
 BUCKETS, BINS, SHIFT = 48, 400, 240
 ROUNDS = 100
-_SINGLE = np.uint64(1 << 63)
 
 
 class _Text:
@@ -49,17 +48,21 @@ class _Text:
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
 
-    def counts(self) -> np.ndarray:
-        """Occurrences to learn from, by key; singles are marked."""
-        one = np.bincount(self.single[self.learn], minlength=len(self.singles)).astype(np.uint64) | _SINGLE
-        two = np.bincount(self.pair[self.learn], minlength=len(self.pairs)).astype(np.uint64)
-        return np.concatenate([one, two])[self.order]
+    def questions(self, block: int, ranges: int) -> list[tuple]:
+        """Occurrences to learn from, by key; single tokens are flagged."""
+        one = np.bincount(self.single[self.learn], minlength=len(self.singles))
+        two = np.bincount(self.pair[self.learn], minlength=len(self.pairs))
+        counts, flags, at = np.concatenate([one, two])[self.order], self.order < len(self.singles), B.cut(self.keys, ranges).tolist()
+        return [(r, block, self.keys[a:b].tobytes(), B.packed(counts[a:b], flags[a:b])) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
 
-    def known(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def known(self, answers: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: how often it, its context, and both together occur in the corpus to learn from."""
-        got = np.empty(len(self.keys), np.uint64)
-        got[self.order] = B.joined(answers.filter(pa.compute.greater_equal(answers.column("range"), 0)), np.uint64)
-        one, two = got[: len(self.singles)].astype(np.int64), got[len(self.singles) :].astype(np.int64)
+        told = answers.filter(pa.compute.greater_equal(answers.column("range"), 0))
+        data = dict(zip(told.column("range").to_pylist(), told.column("data").to_pylist(), strict=True))
+        got = np.empty(len(self.keys), np.int64)
+        asked = np.diff(B.cut(self.keys, ranges)).tolist()
+        got[self.order] = np.concatenate([B.unpacked(data[r], n)[0] for r, n in enumerate(asked) if n])
+        one, two = got[: len(self.singles)], got[len(self.singles) :]
         return one[self.single], one[self.context], two[self.pair]
 
 
@@ -98,22 +101,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         text = _Text(table)
-        return B.rows(B.ASK, B.asked(B.block_of(table), text.keys, plan.ranges, text.counts()))
+        return B.rows(B.ASK, text.questions(B.block_of(table), plan.ranges))
 
     def total(table: pa.Table) -> pa.Table:
-        which, sizes, keys, (counts,) = B.gather(table, np.uint64)
-        _, code = np.unique(keys, return_inverse=True)
-        each = np.bincount(code, weights=(counts & ~_SINGLE).astype(float)).astype(np.uint64)
+        which, keys, data = (table.column(c).to_pylist() for c in ("block", "keys", "data"))
+        sizes = [len(k) // 8 for k in keys]
+        given = [B.unpacked(d, n) for d, n in zip(data, sizes, strict=True)]
+        counts, flags = (np.concatenate(x) for x in zip(*given, strict=True))
+        _, code = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_inverse=True)
+        each = np.bincount(code, weights=counts).astype(np.int64)
         single = np.zeros(len(each), bool)
-        single[code[counts >= _SINGLE]] = True
+        single[code[flags]] = True
         range_ = int(table.column("range")[0].as_py())
         # The distinct tokens of this range, told to one block, which passes them on to the sums.
-        distinct = B.rows(B.ANSWER, [(which[0], -1 - range_, np.int64((single & (each > 0)).sum()).tobytes())])
-        return pa.concat_tables([B.replies(range_, which, sizes, each[code]), distinct])
+        distinct = (which[0], -1 - range_, np.int64((single & (each > 0)).sum()).tobytes())
+        at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        return B.rows(B.ANSWER, [*((b, range_, B.packed(each[code[i:j]])) for b, i, j in zip(which, at[:-1], at[1:], strict=True)), distinct])
 
     def evidence(table: pa.Table, answers: pa.Table) -> pa.Table:
         text = _Text(table)
-        one, context, two = text.known(answers)
+        one, context, two = text.known(answers, plan.ranges)
         use = text.learn & (context > 1)
         bucket, c1, cv, c2 = _bucket(context[use] - 1), one[use] - 1, context[use] - 1, two[use] - 1
         bin_ = np.zeros(len(bucket), np.int64)
@@ -132,13 +139,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
         own = bucket >= 0
         mass = tokens + 0.5 * (distinct + 1)
         ratio = np.where(bin_[own] > 0, np.exp2((bin_[own] - SHIFT) / 4) * mass, 0.0)
-        return B.rows("data binary", [(np.concatenate([[tokens, mass], learn_weights(bucket[own], ratio, n[own].astype(float))]).tobytes(),)])
+        return B.rows("model binary", [(np.concatenate([[tokens, mass], learn_weights(bucket[own], ratio, n[own].astype(float))]).tobytes(),)])
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         text = _Text(table)
-        model = answers.filter(pa.compute.equal(answers.column("range"), -(1 << 31))).column("data")[0].as_py()
-        tokens, mass, *weight = np.frombuffer(model, float)
-        one, context, two = text.known(answers)
+        tokens, mass, *weight = np.frombuffer(answers.column("model")[0].as_py(), float)
+        one, context, two = text.known(answers, plan.ranges)
         base = (one + 0.5) / mass
         w = np.where(context > 0, np.array(weight)[_bucket(context)], 0.0)
         both = w * two / np.maximum(context, 1) + (1 - w) * base
@@ -147,11 +153,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
             "train_tokens": pa.array(np.full(table.num_rows, int(tokens)), pa.int64()), "base_score": pa.array(sums(np.log10(base), text.bounds)), "score": pa.array(sums(np.log10(both), text.bounds)),
         })
 
-    answers = B.answer(B.ask(placed, ask), total)
+    # Dealt by block once, for both passes over the answers.
+    answers = B.answer(B.ask(placed, ask), total).repartition("block")
     seen = B.with_answers(placed, answers, evidence, "bucket int, bin int, n long").groupBy("bucket", "bin").agg(F.sum("n").alias("n"))
     # One row for each bucket and bin at most: BUCKETS * BINS of them, whatever the corpus.
-    model = seen.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "data binary")
-    told = model.select(F.explode(F.sequence(F.lit(0), F.lit(plan.blocks - 1))).alias("block"), F.lit(-(1 << 31)).alias("range"), "data")
+    model = seen.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit, "model binary")
+    # The model is one row of BUCKETS + 2 numbers.
+    told = answers.withColumn("all", F.lit(0)).join(F.broadcast(model.withColumn("all", F.lit(0))), "all").drop("all")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = B.with_answers(placed, answers.unionByName(told), score, schema)
+    out = B.with_answers(placed, told, score, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != B.LOWEST, F.col("doc_id")))
