@@ -14,12 +14,14 @@ from .common import WORD_REGEX, lower_ascii
 
 #: Terms are counted in this many hash cells, so the lexicon is a bitmap of fixed size (32 KiB) however large the corpus.
 CELLS = 1 << 18
-#: Random lexicons, and the share of the band that each keeps: one term in so many, the sparser within the denser.
+#: Random lexicons of each density, and the share of the band that each keeps: one cell in so many. Cells are hashes, so
+#: their bits deal them out: the lexicons of a density are disjoint.
 LEXICONS = 16
-DENSITIES = (4, 32, 256)
+DENSITIES = (16, 64, 256)
 #: Lexicons with terms that a density needs before its share counts in full.
 ENOUGH = 4
-NONE = "-" * 8
+#: The hash of no terms.
+NONE = "0000002A"
 #: Ranges of documents for the neighbour search: at most so many rows each until there are MOST_RANGES.
 RANGE_ROWS = 3000
 MOST_RANGES = 1 << 16
@@ -54,35 +56,45 @@ def idf_band(docs: DataFrame, low: float = 0.0002, high: float = 0.1) -> list[in
     return words
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def _bits_are(terms: Column, shift: int, bits: int, value: int) -> Column:
+    mask = F.lit(((1 << bits) - 1) << shift)
+    return F.filter(terms, lambda c: c.bitwiseAND(mask) == value << shift)
+
+
+def _lexicon_hashes(terms: Column, shift: int) -> Column:
+    """The hashes of sixteen lexicons, told apart by four bits of the cells, two at a time."""
+    quarters = F.array(*[_bits_are(terms, shift, 2, a) for a in range(4)])
+
+    def hashes(quarter: Column) -> Column:
+        return F.array(*[F.substring(F.lpad(F.hex(F.xxhash64(_bits_are(quarter, shift + 2, 2, b))), 16, "0"), -8, 8) for b in range(4)])
+
+    return F.flatten(F.transform(quarters, lambda q: hashes(q)))
+
+
 def fingerprint(text: Column, band: list[int]) -> Column:
     """The fingerprint: for each density, one hash (8 hexadecimal digits) of the text's terms in each lexicon.
 
     NONE stands for a lexicon that has no term of the text. A text without any band term is judged by all its terms;
     an empty or null text has NONE throughout. Equal texts have equal fingerprints.
     """
-    bitmap, cells = _longs(band), _cells(text)
-    chosen = F.filter(cells, lambda c: F.getbit(F.element_at(bitmap, F.shiftright(c, 6) + 1), F.pmod(c, F.lit(64))) == 1)
-    terms = F.when(F.size(chosen) > 0, chosen).otherwise(cells)
-
-    def hashes(terms: Column) -> Column:
-        parts = []
-        for j in range(LEXICONS):
-            seeded = _seeded(terms, j)
-            for d in DENSITIES:
-                seeded = _one_in(seeded, d)
-                parts.append(F.when(F.size(seeded) > 0, F.substring(F.lpad(F.hex(F.xxhash64(seeded)), 16, "0"), -8, 8)).otherwise(NONE))
-        return F.array(*parts)
+    bitmap = _longs(band)
 
-    # The terms are bound once by a one-element array, so they are not worked out again for each lexicon.
-    return F.array_join(F.element_at(F.transform(F.array(terms), lambda t: hashes(F.sort_array(t))), 1), "")
-
-
-def _seeded(terms: Column, seed: int) -> Column:
-    return F.transform(terms, lambda c: F.xxhash64(c, F.lit(seed)))
+    def in_band(cells: Column) -> Column:
+        return F.filter(cells, lambda c: F.getbit(F.element_at(bitmap, F.shiftright(c, 6) + 1), c.bitwiseAND(F.lit(63))) == 1)
 
+    def hashes(terms: Column) -> Column:
+        dense = _lexicon_hashes(terms, 0)
+        middle = _bound(_bits_are(terms, 4, 2, 0), lambda t: _lexicon_hashes(t, 6))
+        sparse = _bound(_bits_are(terms, 10, 4, 0), lambda t: _lexicon_hashes(t, 14))
+        return F.array_join(F.concat(dense, middle, sparse), "")
 
-def _one_in(hashes: Column, d: int) -> Column:
-    return F.filter(hashes, lambda h: h.bitwiseAND(F.lit(d - 1)) == 0)
+    chosen = _bound(_cells(text), lambda cells: _bound(in_band(cells), lambda some: F.when(F.size(some) > 0, some).otherwise(cells)))
+    return _bound(chosen, hashes)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -92,7 +104,7 @@ def likeness(a: Column, b: Column) -> Column:
     """
     shares = []
     for k in range(len(DENSITIES)):
-        at = F.array(*[F.lit(8 * (j * len(DENSITIES) + k) + 1) for j in range(LEXICONS)])
+        at = F.array(*[F.lit(8 * (k * LEXICONS + j) + 1) for j in range(LEXICONS)])
         pairs = F.transform(at, lambda i: F.struct(F.substring(a, i, F.lit(8)).alias("x"), F.substring(b, i, F.lit(8)).alias("y")))
         used = F.size(F.filter(pairs, lambda p: (p["x"] != NONE) | (p["y"] != NONE)))
         same = F.size(F.filter(pairs, lambda p: (p["x"] == p["y"]) & (p["x"] != NONE)))
