@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import columns as C
-from leafgrid.operators import cube, metrics
+from leafgrid.operators import cube, metrics, models
 from leafgrid.plans import views as V
 from leafgrid.plans.views import BANDS, CELLS, PLOTS, SCORES
+from leafgrid.streaming.windows import tumbling_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -381,3 +382,81 @@ def rasterise_boxes(spark, sf):
     boxes = V.read(spark, sf, "customer").select(key.alias("id"), F.col("c_nationkey").cast("long").alias("value"), ((key % 50) * 0.4).alias("x0"), (F.expr("c_custkey div 50") * 0.6).alias("y0"))
     boxes = boxes.withColumn("x1", F.col("x0") + 0.7).withColumn("y1", F.col("y0") + 0.9)
     return cube.boxes_to_pixels(boxes, 0.25)
+
+
+@query("WITH d AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS value, (c_custkey % 50) * 0.4::DOUBLE + 0.203::DOUBLE AS cx, (c_custkey // 50) * 0.6::DOUBLE + 0.301::DOUBLE AS cy FROM customer), c AS (SELECT *, unnest(range(CAST(floor(cy / 0.25) AS BIGINT) - 3, CAST(floor(cy / 0.25) AS BIGINT) + 4)) AS y FROM d), p AS (SELECT *, unnest(range(CAST(floor(cx / 0.25) AS BIGINT) - 3, CAST(floor(cx / 0.25) AS BIGINT) + 4)) AS x FROM c) SELECT y, x, max_by(value, id) AS value FROM p WHERE abs((x + 0.5) * 0.25 - cx) + abs((y + 0.5) * 0.25 - cy) < 0.55 GROUP BY y, x")
+def rasterise_polygons(spark, sf):
+    key = F.col("c_custkey")
+    cx, cy = (key % 50) * 0.4 + 0.203, F.expr("c_custkey div 50") * 0.6 + 0.301
+    ring = F.array(*[F.struct((cx + dx).alias("x"), (cy + dy).alias("y")) for dx, dy in ((0.55, 0), (0, 0.55), (-0.55, 0), (0, -0.55))])
+    shapes = V.read(spark, sf, "customer").select(key.alias("id"), F.col("c_nationkey").cast("long").alias("value"), F.array(ring).alias("rings"))
+    return cube.polygons_to_pixels(shapes, 0.25)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf):
+    return _round(tumbling_totals(V.read(spark, sf, "events")), "total", digits=4)
+
+
+# Models
+
+
+def _all_bands(spark, sf) -> DataFrame:
+    """Pixels with 16 bands as features."""
+    return V.pixels(spark, sf).select("y", "x", "label", F.slice("refl", 1, 16).alias("features"))
+
+
+@query(f"WITH {CELLS} SELECT a.band AS a, b.band AS b, count(CASE WHEN a.r IS NOT NULL AND b.r IS NOT NULL THEN 1 END) AS n, round(covar_pop(a.r, b.r) / (stddev_pop(CASE WHEN b.r IS NOT NULL THEN a.r END) * stddev_pop(CASE WHEN a.r IS NOT NULL THEN b.r END)), 6) AS corr FROM refl a JOIN refl b ON a.vec_id = b.vec_id AND a.band < b.band GROUP BY a.band, b.band")
+def pair_correlation(spark, sf):
+    return _round(models.pair_correlation(V.pixels(spark, sf), "refl"), "corr")
+
+
+def _segmented(spark, sf) -> DataFrame:
+    px = V.pixels(spark, sf)
+    stats = cube.long_form(px).groupBy("band").agg((F.avg("v") / F.stddev_pop("v")).alias("snr"), (F.count("v") / F.count(F.lit(1))).alias("valid_ratio"))
+    dry = V.bands(spark, sf).where(~C.in_windows(F.col("wl")))
+    return cube.segments(dry).join(F.broadcast(stats), "band").select("seg", "band", "wl", "snr", "valid_ratio")  # the band dimension
+
+
+@query()
+def select_bands(spark, sf):
+    found = models.band_candidates(_segmented(spark, sf), C.red_edge_bonus(F.col("wl")))
+    return models.select_bands(found, models.pair_correlation(V.pixels(spark, sf), "refl"), 50.0, anchors=(531.0, 570.0, 678.0, 750.0, 705.0, 782.0))
+
+
+@query()
+def pca_project(spark, sf):
+    px = _all_bands(spark, sf)
+    means, parts, _ = models.pca_fit(px)
+    return px.select("y", "x", *models.pca_project("features", means, parts))
+
+
+@query()
+def cross_components(spark, sf):
+    """How far the components of two halves of the spectrum go together."""
+    px = V.pixels(spark, sf).select(F.slice("refl", 1, 8).alias("a"), F.slice("refl", 9, 8).alias("b"))
+    fits = {side: models.pca_fit(px, array=side) for side in "ab"}
+    sides = [c.alias(f"{side}{i}") for side in "ab" for i, c in enumerate(models.pca_project(side, *fits[side][:2]), 1)]
+    values = models.cross_singular_values(px.select(*sides), ["a1", "a2", "a3"], ["b1", "b2", "b3"])
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values, 1)], "rank long, value double")
+
+
+@query()
+def clusters(spark, sf):
+    return models.clusters(_all_bands(spark, sf)).select("y", "x", "cluster")
+
+
+@query()
+def unmix(spark, sf):
+    px = _all_bands(spark, sf)
+    return models.unmix(px, models.mean_spectra(px, "label")).select("y", "x", "shares", "endmember")
+
+
+@query()
+def classifier_metrics(spark, sf):
+    """Two classifiers fitted on three fifths of the rows of pixels, judged on each part."""
+    part = C.portable_hash(F.col("y")) % 5
+    px = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("split", F.when(part < 3, "train").when(part == 3, "validation").otherwise("test"))
+    train = px.where("split = 'train'")
+    scored = [models.classifier_scores(train, px, kind).select(F.lit(kind).alias("model"), "split", "y_true", "y_prob") for kind in ("logistic", "boosted")]
+    return metrics.ranking_metrics(scored[0].unionByName(scored[1]), "model", "split")

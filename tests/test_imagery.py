@@ -83,7 +83,7 @@ def _comparable(frame):
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", list(Q.QUERIES))
+@pytest.mark.parametrize("name", list(Q.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
