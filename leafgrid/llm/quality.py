@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from .common import Words, grams, starts_within, sums
 
 #: Fitting sees at most so many labelled documents: those with the smallest hash of their doc_id.
 FIT_ROWS = 20_000
+PIECE_BYTES = 1 << 20
 FEATURES = (
     "log_words", "log_lines", "word_bytes", "word_bytes_sd", "distinct_words", "top_word", "distinct_pairs", "repeated_next", "words_a_line", "upper", "digits", "punctuation", "marks", "pipes",
     "spaces", "beyond_ascii", "shouting", "ends_in_mark", "stops", "longest_word", "commas", "quotes_brackets",
@@ -34,8 +36,19 @@ _LOWER = _table("abcdefghijklmnopqrstuvwxyz")
 _CLASSES = {"digits": _table("0123456789"), "punctuation": _table(".,;:!?"), "marks": _table("#$%&*@^~+=<>/\\_{}|"), "pipes": _table("|"), "spaces": _table(" \t\r\x0b\f"), "beyond_ascii": np.arange(256) >= 128, "commas": _table(","), "quotes_brackets": _table("\"'()[]{}")}
 
 
-def text_features(column) -> np.ndarray:
-    """FEATURES of each text, from all of its bytes; an empty or null text has 0 throughout."""
+def text_features(column, piece_bytes: int = PIECE_BYTES) -> np.ndarray:
+    """FEATURES of each text, from all of its bytes; an empty or null text has 0 throughout.
+
+    Texts are taken in pieces of about ``piece_bytes``, as the arrays behind the features are many times their size; a
+    longer text is a piece of its own.
+    """
+    size = pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // piece_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(size)]
+    return np.concatenate([_piece_features(column.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
+
+def _piece_features(column) -> np.ndarray:
     words = Words(column)
     raw, off, n = words.raw, words.offsets, np.maximum(words.counts, 1)
     size = np.maximum(np.diff(off), 1)

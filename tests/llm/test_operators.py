@@ -218,3 +218,16 @@ def test_blocks_keep_counts():
     c, f = blocks.unpacked(blocks.packed(counts, flags), 6)
     assert c.tolist() == counts.tolist() and f.tolist() == flags.tolist()
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_features_do_not_depend_on_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    from leafgrid.llm import quality as q
+
+    texts = pa.array(["Some words, twice. Some words\n", None, "", "|x| " * 400, "é" * 90, "last"])
+    whole = q.text_features(texts)
+    assert whole.shape == (6, len(q.FEATURES)) and not whole[1:3].any()
+    assert all(np.array_equal(whole, q.text_features(texts, n)) for n in (1, 7, 100))
+    assert q.text_features(texts.slice(0, 0)).shape == (0, len(q.FEATURES))
