@@ -395,7 +395,8 @@ def rasterise_polygons(spark, sf):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
-    return _round(tumbling_totals(V.read(spark, sf, "events")), "total", digits=4)
+    got = tumbling_totals(V.read(spark, sf, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _round(got, "total", digits=4)
 
 
 # Models
