@@ -1,0 +1,201 @@
+"""A small convolutional network over patches (channel, row, column), trained and applied by Spark's tasks.
+
+Training averages weights: in each round every worker starts from the shared weights and takes Adam steps over batches of
+its own rows; the averages are the next round's. What reaches the driver is one set of weights for each worker.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from leafgrid.operators.metrics import ranking_metrics
+
+Weights = dict[str, np.ndarray]
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Channels, rows and columns of a patch, and the layers over them."""
+
+    patch: tuple[int, int, int]
+    widths: tuple[int, ...] = (32, 64, 128)
+    kernel: tuple[int, int] = (5, 5)
+    pool: tuple[int, int] = (2, 2)
+    hidden: int = 128
+    dropout: float = 0.3728
+
+
+def spectral(bands: int) -> Shape:
+    """The network over one pixel's spectrum, which is a patch of one channel and one row."""
+    return Shape((1, 1, bands), (16, 32), (1, 9), (1, 8), 64, 0.3628)
+
+
+def init(shape: Shape, seed: int = 42) -> Weights:
+    rng = np.random.default_rng(seed)
+    net, before = {}, shape.patch[0]
+    for i, width in enumerate(shape.widths):
+        fan = before * shape.kernel[0] * shape.kernel[1]
+        net |= {f"w{i}": rng.normal(0, np.sqrt(2 / fan), (width, before, *shape.kernel)), f"b{i}": np.zeros(width), f"gamma{i}": np.ones(width), f"beta{i}": np.zeros(width), f"mean{i}": np.zeros(width), f"var{i}": np.ones(width)}
+        before = width
+    flat = before * shape.pool[0] * shape.pool[1]
+    net |= {"fc1": rng.normal(0, np.sqrt(2 / flat), (flat, shape.hidden)), "c1": np.zeros(shape.hidden), "fc2": rng.normal(0, np.sqrt(1 / shape.hidden), (shape.hidden, 2)), "c2": np.zeros(2)}
+    return {k: v.astype("f4") for k, v in net.items()}
+
+
+def parameters(net: Weights) -> int:
+    """How many weights are learned; the running statistics are not."""
+    return sum(v.size for k, v in net.items() if not k.startswith(("mean", "var")))
+
+
+def _windows(x: np.ndarray, kernel: tuple[int, int]) -> np.ndarray:
+    (a, b), pad = kernel, [k // 2 for k in kernel]
+    return sliding_window_view(np.pad(x, ((0, 0), (0, 0), (pad[0], a - 1 - pad[0]), (pad[1], b - 1 - pad[1]))), kernel, axis=(2, 3))
+
+
+def _bins(length: int, n: int) -> np.ndarray:
+    """Rows that average ``length`` values into ``n`` bins, which overlap where n doesn't divide the length."""
+    at = np.arange(n)
+    low, high, place = at * length // n, -(-(at + 1) * length // n), np.arange(length)
+    inside = (place >= low[:, None]) & (place < high[:, None])
+    return (inside / inside.sum(1, keepdims=True)).astype("f4")
+
+
+def _forward(net: Weights, shape: Shape, x: np.ndarray, rng: np.random.Generator | None = None):
+    """Logits and what the way back needs; with ``rng`` in training: batch statistics and dropout."""
+    kept = []
+    for i in range(len(shape.widths)):
+        windows = _windows(x, shape.kernel)
+        z = np.moveaxis(np.tensordot(windows, net[f"w{i}"], ([1, 4, 5], [1, 2, 3])), 3, 1) + net[f"b{i}"][:, None, None]
+        if rng is not None:
+            mean, var = z.mean((0, 2, 3)), z.var((0, 2, 3))
+            net[f"mean{i}"], net[f"var{i}"] = 0.9 * net[f"mean{i}"] + 0.1 * mean, 0.9 * net[f"var{i}"] + 0.1 * var
+        else:
+            mean, var = net[f"mean{i}"], net[f"var{i}"]
+        scale = 1 / np.sqrt(var + 1e-5)
+        unit = (z - mean[:, None, None]) * scale[:, None, None]
+        x = np.maximum(net[f"gamma{i}"][:, None, None] * unit + net[f"beta{i}"][:, None, None], 0)
+        kept.append((windows, unit, scale, x > 0))
+    down, across = _bins(x.shape[2], shape.pool[0]), _bins(x.shape[3], shape.pool[1])
+    flat = np.einsum("nchw,ih,jw->ncij", x, down, across, optimize=True).reshape(len(x), -1)
+    hidden = np.maximum(flat @ net["fc1"] + net["c1"], 0)
+    keep = (rng.random(hidden.shape) >= shape.dropout) / (1 - shape.dropout) if rng is not None else 1.0
+    return (hidden * keep) @ net["fc2"] + net["c2"], (kept, down, across, flat, hidden, keep)
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _gradients(net: Weights, shape: Shape, logits: np.ndarray, y: np.ndarray, weight: np.ndarray, saved) -> Weights:
+    """Gradients of the weighted mean cross-entropy."""
+    kept, down, across, flat, hidden, keep = saved
+    d = (softmax(logits) - np.eye(2)[y]) * (weight / weight.sum())[:, None]
+    g = {"fc2": (hidden * keep).T @ d, "c2": d.sum(0)}
+    d = d @ net["fc2"].T * keep * (hidden > 0)
+    g |= {"fc1": flat.T @ d, "c1": d.sum(0)}
+    d = np.einsum("ncij,ih,jw->nchw", (d @ net["fc1"].T).reshape(len(y), -1, *shape.pool), down, across, optimize=True)
+    for i in reversed(range(len(shape.widths))):
+        windows, unit, scale, on = kept[i]
+        d = d * on
+        g |= {f"gamma{i}": (d * unit).sum((0, 2, 3)), f"beta{i}": d.sum((0, 2, 3))}
+        d = d * net[f"gamma{i}"][:, None, None]
+        d = scale[:, None, None] * (d - d.mean((0, 2, 3), keepdims=True) - unit * (d * unit).mean((0, 2, 3), keepdims=True))
+        g |= {f"b{i}": d.sum((0, 2, 3)), f"w{i}": np.tensordot(d, windows, ([0, 2, 3], [0, 2, 3]))}
+        if i:
+            d = np.moveaxis(np.tensordot(_windows(d, shape.kernel), net[f"w{i}"][:, :, ::-1, ::-1], ([1, 4, 5], [0, 2, 3])), 3, 1)
+    return g
+
+
+def _adam(net: Weights, g: Weights, state: dict, rate: float, decay: float) -> None:
+    state["t"] = t = state.get("t", 0) + 1
+    for k, grad in g.items():
+        grad = grad + decay * net[k]
+        m, v = state.get(k, (0.0, 0.0))
+        state[k] = m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        net[k] = (net[k] - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype("f4")
+
+
+def _pack(net: Weights) -> bytes:
+    return b"".join(net[k].astype("f4").tobytes() for k in sorted(net))
+
+
+def _unpack(data: bytes, like: Weights) -> Weights:
+    values, out, at = np.frombuffer(data, "f4"), {}, 0
+    for k in sorted(like):
+        out[k] = values[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def _flat(patch: str) -> Column:
+    return F.flatten(F.flatten(patch)).cast("array<float>")
+
+
+def train(patches: DataFrame, validation: DataFrame, shape: Shape, rounds: int = 20, patience: int = 5, workers: int = 8, batch: int = 64, rate: float = 1e-3, decay: float = 3.752e-5, seed: int = 42, on_round=None) -> tuple[Weights, list[float]]:
+    """Weights with the best average precision over ``validation``, and that figure for each round.
+
+    Both tables have y, x, patch and y_true; classes weigh the same. Training ends after ``patience`` rounds without a gain.
+    ``on_round(number, average_precision)`` is called after each. Rows are dealt and sorted by place, so that reruns agree.
+    """
+    counts = {r["y_true"]: r["count"] for r in patches.groupBy("y_true").count().collect()}
+    if set(counts) != {0, 1}:
+        raise ValueError("the training rows don't hold both classes")
+    heavy = counts[0] / counts[1]
+    rows = patches.select("y", "x", _flat("patch").alias("v"), "y_true").repartition(workers, "y", "x").sortWithinPartitions("y", "x").persist()
+    net = init(shape, seed)
+    best, found, history = net, -1.0, []
+    for number in range(rounds):
+        shared = net
+
+        def work(frames: Iterator[pd.DataFrame], number=number, shared=shared):
+            mine, state, seen, rng = dict(shared), {}, 0, np.random.default_rng([seed, number])
+            for frame in frames:
+                order = rng.permutation(len(frame))
+                x, y = np.stack(frame["v"].to_numpy()).reshape(-1, *shape.patch), frame["y_true"].to_numpy().astype(int)
+                for at in np.array_split(order, max(1, len(order) // batch)):
+                    logits, saved = _forward(mine, shape, x[at], rng)
+                    _adam(mine, _gradients(mine, shape, logits, y[at], np.where(y[at] == 1, heavy, 1.0), saved), state, rate, decay)
+                seen += len(frame)
+            if seen:
+                yield pd.DataFrame({"n": [seen], "net": [_pack(mine)]})
+
+        parts = rows.mapInPandas(work, "n long, net binary").collect()
+        total = sum(p["n"] for p in parts)
+        nets = [(p["n"] / total, _unpack(bytes(p["net"]), net)) for p in parts]
+        net = {k: sum(share * one[k] for share, one in nets).astype("f4") for k in net}
+        history.append(ranking_metrics(validation.select("y_true", probability(validation, net, shape).alias("y_prob"))).first()["average_precision"] or 0.0)
+        if on_round:
+            on_round(number, history[-1])
+        if history[-1] > found:
+            best, found = net, history[-1]
+        elif len(history) - 1 - int(np.argmax(history)) >= patience:
+            break
+    rows.unpersist()
+    return best, history
+
+
+def probability(patches: DataFrame, net: Weights, shape: Shape, patch: str = "patch", batch: int = 512) -> Column:
+    """The probability of class 1 for the column ``patch``, by batches of Arrow."""
+    sent = patches.sparkSession.sparkContext.broadcast(net)  # as large as the weights, which the shape fixes
+
+    @F.pandas_udf("double")
+    def scores(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).reshape(-1, *shape.patch) if len(v) else np.zeros((0, *shape.patch), "f4")
+        out = [softmax(_forward(sent.value, shape, x[at : at + batch])[0])[:, 1] for at in range(0, len(x), batch)]
+        return pd.Series(np.concatenate(out) if out else [], dtype=float)
+
+    return scores(_flat(patch))
+
+
+def to_map(grid: DataFrame, scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Every pixel of ``grid`` with its probability and class; -1 and 255 where ``scored`` has no row."""
+    joined = grid.select("y", "x").join(scored.select("y", "x", "y_prob"), ["y", "x"], "left")
+    return joined.select("y", "x", F.coalesce("y_prob", F.lit(-1.0)).alias("y_prob"), F.when(F.col("y_prob").isNull(), 255).when(F.col("y_prob") >= threshold, 1).otherwise(0).alias("class"))

@@ -1,0 +1,114 @@
+"""The network against a loop and numeric gradients; training; GeoTIFF files against their own arrays."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from leafgrid.operators import network as N
+from leafgrid.sources.geotiff import GeoTiffSource, encode, read_tags, write_tiles
+
+TINY = N.Shape((2, 3, 4), (3, 4), (3, 3), (2, 2), 5, 0.0)
+
+
+def test_shapes_of_the_two_networks():
+    assert N.parameters(N.init(N.Shape((63, 5, 5)))) == 63 * 32 * 25 + 32 * 64 * 25 + 64 * 128 * 25 + 3 * (32 + 64 + 128) + 512 * 128 + 128 + 256 + 2
+    assert N.parameters(N.init(N.spectral(63))) == 9 * 16 + 16 * 32 * 9 + 3 * 48 + 256 * 64 + 64 + 128 + 2
+
+
+def test_convolution_equals_a_loop():
+    rng = np.random.default_rng(0)
+    x, w = rng.normal(size=(2, 2, 4, 5)), rng.normal(size=(3, 2, 3, 5))
+    padded = np.pad(x, ((0, 0), (0, 0), (1, 1), (2, 2)))
+    want = np.array([[[[(padded[n, :, i : i + 3, j : j + 5] * w[o]).sum() for j in range(5)] for i in range(4)] for o in range(3)] for n in range(2)])
+    assert np.allclose(np.moveaxis(np.tensordot(N._windows(x, (3, 5)), w, ([1, 4, 5], [1, 2, 3])), 3, 1), want)
+
+
+@pytest.mark.parametrize("length, n, want", [(5, 2, [[1, 1, 1, 0, 0], [0, 0, 1, 1, 1]]), (4, 2, [[1, 1, 0, 0], [0, 0, 1, 1]]), (1, 2, [[1], [1]])])
+def test_pooling_bins(length, n, want):
+    want = np.array(want, float)
+    assert np.allclose(N._bins(length, n), want / want.sum(1, keepdims=True))
+
+
+def test_gradients_are_numeric_slopes():
+    rng = np.random.default_rng(1)
+    net = {k: v.astype("f8") for k, v in N.init(TINY, 3).items()}
+    x, y, weight = rng.normal(size=(6, *TINY.patch)), np.array([0, 1, 1, 0, 1, 0]), np.array([1, 2, 2, 1, 2, 1.0])
+
+    def loss(at):
+        logits, _ = N._forward(dict(at), TINY, x, np.random.default_rng(0))
+        return -(np.log(N.softmax(logits)[np.arange(6), y]) * weight).sum() / weight.sum()
+
+    logits, saved = N._forward(dict(net), TINY, x, np.random.default_rng(0))
+    for k, g in N._gradients(net, TINY, logits, y, weight, saved).items():
+        place = np.unravel_index(int(np.abs(g).argmax()), g.shape)
+        step = np.zeros(g.shape)
+        step[place] = 1e-6
+        slope = (loss(net | {k: net[k] + step}) - loss(net | {k: net[k] - step})) / 2e-6
+        assert slope == pytest.approx(g[place], rel=1e-3, abs=1e-7), k
+
+
+def _patches(spark, n=160):
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, (rng.normal(size=TINY.patch) + 1.5 * (i % 2)).tolist(), i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "y long, x long, patch array<array<array<double>>>, y_true int")
+
+
+def test_training_learns_and_agrees_with_itself(spark):
+    rows, seen = _patches(spark), []
+    fit, held = rows.where("y < 120"), rows.where("y >= 120")
+    run = lambda **k: N.train(fit, held, TINY, rounds=6, workers=2, batch=16, rate=5e-3, **k)
+    net, history = run(on_round=lambda i, ap: seen.append((i, ap)))
+    assert seen == list(enumerate(history)) and max(history) > 0.9
+    assert run()[1] == history
+    got = held.select("y", N.probability(held, net, TINY).alias("p")).toPandas().set_index("y").p.sort_index()
+    x = np.array([r.patch for r in held.orderBy("y").collect()], "f4")
+    assert np.allclose(got, N.softmax(N._forward(net, TINY, x)[0])[:, 1], atol=1e-6)
+
+
+def test_training_needs_both_classes(spark):
+    rows = _patches(spark, 8).where("y_true = 1")
+    with pytest.raises(ValueError, match="both classes"):
+        N.train(rows, rows, TINY)
+
+
+def test_map_of_scores(spark):
+    grid = spark.range(4).select(F.lit(0).alias("y"), F.col("id").alias("x"))
+    scored = spark.createDataFrame([(0, 1, 0.7), (0, 2, 0.2)], "y long, x long, y_prob double")
+    got = {r.x: (r.y_prob, r["class"]) for r in N.to_map(grid, scored).collect()}
+    assert got == {0: (-1.0, 255), 1: (0.7, 1), 2: (0.2, 0), 3: (-1.0, 255)}
+
+
+@pytest.mark.parametrize("dtype, bands", [("float32", 1), ("uint8", 3), ("int16", 2)])
+def test_geotiff_read(spark, tmp_path, dtype, bands):
+    spark.dataSource.register(GeoTiffSource)
+    cube = np.random.default_rng(2).integers(0, 100, (150, 37, bands)).astype(dtype)
+    (tmp_path / "a.tif").write_bytes(encode(cube, 7, (500.0, 900.0), 0.5, 32618))
+    df = spark.read.format("geotiff").load(str(tmp_path / "a.tif"))
+    assert df.rdd.getNumPartitions() == 3
+    got = np.full(cube.shape, np.nan)
+    for r in df.collect():
+        got[r.y, r.x] = [np.nan if v is None else v for v in r.v]
+    assert np.array_equal(got, np.where(cube == 7, np.nan, cube.astype(float)), equal_nan=True)
+    _, tags = read_tags(tmp_path / "a.tif")
+    assert tags[33550][:2] == (0.5, 0.5) and tags[33922][3:5] == (500.0, 900.0) and tags[34735][-1] == 32618
+
+
+def test_geotiff_tiles(spark, tmp_path):
+    layer = spark.range(300).select(F.expr("id div 20").alias("y"), (F.col("id") % 20).alias("x"), F.when(F.col("id") % 7 > 0, F.col("id") * 0.5).alias("p"))
+    write_tiles(layer, str(tmp_path / "out"), "p", tile=8, px=2.0, west=10.0, north=100.0)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == sorted(f"tile_{i}_{j}.tif" for i in range(2) for j in range(3))
+    _, tags = read_tags(tmp_path / "out" / "tile_1_2.tif")
+    assert tags[33922][3:5] == (10.0 + 2 * 8 * 2.0, 100.0 - 8 * 2.0)
+    got = {}
+    for i in range(2):
+        for j in range(3):
+            for r in spark.read.format("geotiff").load(str(tmp_path / "out" / f"tile_{i}_{j}.tif")).collect():
+                got[r.y + 8 * i, r.x + 8 * j] = r.v[0]
+    assert {k: v for k, v in got.items() if v is not None} == {(r.y, r.x): r.p for r in layer.collect() if r.p is not None}
+
+
+def test_other_files_are_refused(tmp_path):
+    (tmp_path / "b.tif").write_bytes(b"not a tiff file")
+    with pytest.raises(ValueError, match="classic TIFF"):
+        read_tags(tmp_path / "b.tif")
