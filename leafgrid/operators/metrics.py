@@ -85,3 +85,12 @@ def classification_report(scores: DataFrame, threshold: float) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
     hit, over, missed = F.col("hit"), F.col("over"), F.col("missed")
     return rows.select("label", ratio(hit, hit + over).alias("precision"), ratio(hit, hit + missed).alias("recall"), _f1(hit, over, missed).alias("f1"), (hit + missed).alias("support"))
+
+
+def report_averages(report: DataFrame) -> DataFrame:
+    """Plain means over the classes of :func:`classification_report`, and means weighted by support."""
+    cols = ("precision", "recall", "f1")
+    means = lambda name, f: F.struct(F.lit(name).alias("average"), *[f(c).alias(c) for c in cols], F.sum("support").alias("support"))
+    total = F.sum("support")
+    both = report.agg(means("macro", F.avg).alias("a"), means("weighted", lambda c: F.sum(F.col(c) * F.col("support")) / F.when(total > 0, total)).alias("b"))
+    return both.select(F.explode(F.array("a", "b")).alias("r")).select("r.*")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, RobustScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +18,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Kinds of classifiers with the settings that aren't Spark's own.
+KINDS = {
+    "logistic": (LogisticRegression, {"maxIter": 50, "regParam": 1e-3}),
+    "boosted": (GBTClassifier, {"maxIter": 10, "maxDepth": 3}),
+    "forest": (RandomForestClassifier, {"numTrees": 50, "maxDepth": 6}),
+    "tree": (DecisionTreeClassifier, {}),
+}
+
 
 def complete(pixels: DataFrame, array: str = "features") -> DataFrame:
     """Pixels that have a value in each band."""
@@ -152,9 +160,9 @@ def unmix(pixels: DataFrame, endmembers: dict[int, list[float]], array: str = "f
     return complete(pixels, array).withColumn("shares", shares).withColumn("endmember", top)
 
 
-def classifier_scores(train: DataFrame, rows: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42) -> DataFrame:
+def classifier_scores(train: DataFrame, rows: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42, **settings) -> DataFrame:
     """``rows`` with y_prob from a classifier fitted on ``train``; both classes weigh the same, features are scaled by median
-    and interquartile range. ``kind`` is logistic or boosted."""
+    and interquartile range. ``kind`` is one of KINDS; ``settings`` are the classifier's own."""
     vector = lambda df: complete(df, array).withColumn("_v", array_to_vector(array))
     train = vector(train.where(F.col(label).isNotNull()))
     n, pos = train.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
@@ -163,6 +171,15 @@ def classifier_scores(train: DataFrame, rows: DataFrame, kind: str = "logistic",
     train = train.withColumn("_w", F.when(F.col(label) == 1, F.lit((n - pos) / pos)).otherwise(1.0)).withColumn("_y", F.col(label).cast("double"))
     scaler = RobustScaler(inputCol="_v", outputCol="_x", withCentering=True, relativeError=1e-4).fit(train)
     ends = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "predictionCol": "_p"}
-    make = {"logistic": lambda: LogisticRegression(maxIter=50, regParam=1e-3, **ends), "boosted": lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **ends)}[kind]
-    scored = make().fit(scaler.transform(train)).transform(scaler.transform(vector(rows)))
+    cls, own = KINDS[kind]
+    model = cls(**own | settings | ({} if kind == "logistic" else {"seed": seed}), **ends)
+    scored = model.fit(scaler.transform(train)).transform(scaler.transform(vector(rows)))
     return scored.withColumn("y_prob", vector_to_array("probability")[1]).drop("_v", "_x", "_p", "rawPrediction", "probability")
+
+
+def importances(train: DataFrame, array: str = "features", label: str = "y_true", seed: int = 42) -> DataFrame:
+    """How much each feature gives to a forest: feature (its place), importance; they sum to 1."""
+    rows = complete(train, array).where(F.col(label).isNotNull()).select(array_to_vector(array).alias("_x"), F.col(label).cast("double").alias("_y"))
+    cls, own = KINDS["forest"]
+    found = cls(**own, seed=seed, featuresCol="_x", labelCol="_y").fit(rows).featureImportances.toArray().tolist()
+    return train.sparkSession.createDataFrame(list(enumerate(found)), "feature int, importance double")

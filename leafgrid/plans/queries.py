@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import columns as C
-from leafgrid.operators import cube, metrics, models
+from leafgrid.operators import cube, metrics, models, network, reports
 from leafgrid.plans import views as V
 from leafgrid.plans.views import BANDS, CELLS, PLOTS, SCORES
+from leafgrid.sources.store import pending
 from leafgrid.streaming.windows import tumbling_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,3 +462,141 @@ def classifier_metrics(spark, sf):
     train = px.where("split = 'train'")
     scored = [models.classifier_scores(train, px, kind).select(F.lit(kind).alias("model"), "split", "y_true", "y_prob") for kind in ("logistic", "boosted")]
     return metrics.ranking_metrics(scored[0].unionByName(scored[1]), "model", "split")
+
+
+# Reports
+
+
+@query(f"WITH {CELLS} SELECT band, count(*) FILTER (WHERE dn IN (-1, 15000)) AS n_nodata, round(count(*) FILTER (WHERE dn IN (-1, 15000)) / count(*), 6) AS ratio FROM dn GROUP BY band")
+def nodata_ratio(spark, sf):
+    rows = cube.long_form(V.pixels(spark, sf), "dn")
+    n = F.count_if(F.col("v").isin(*C.IGNORED))
+    return rows.groupBy(F.col("band").cast("long").alias("band")).agg(n.alias("n_nodata"), F.round(n / F.count(F.lit(1)), 6).alias("ratio"))
+
+
+@query(f"WITH {CELLS}, lim AS (SELECT band, min(r) AS lo, max(r) AS hi FROM refl WHERE band < 4 GROUP BY band) SELECT y, x, refl.band, CAST(CASE WHEN hi = lo THEN 127 ELSE floor((r - lo) / (hi - lo) * 255 + 1e-9) END AS BIGINT) AS level FROM refl JOIN lim ON refl.band = lim.band WHERE r IS NOT NULL")
+def rescale_levels(spark, sf):
+    rows = cube.long_form(V.pixels(spark, sf).withColumn("first", F.slice("refl", 1, 4)), "first").where(F.col("v").isNotNull())
+    limits = rows.groupBy("band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    level = F.when(F.col("hi") == F.col("lo"), 127).otherwise(F.floor((F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * 255 + 1e-9))
+    return rows.join(F.broadcast(limits), "band").select("y", "x", F.col("band").cast("long").alias("band"), level.cast("long").alias("level"))  # one row for each band
+
+
+_CONDITIONS = {"C0": [], "C1": [0, 1], "C2": [2, 3, 4, 5]} | {f"C3_{i}": [i] for i in range(6)}
+_CASES = ", ".join(f"('{k}', {v!r}::INT[])" for k, v in _CONDITIONS.items())
+
+
+@query(
+    f"""WITH {CELLS}, f AS (SELECT vec_id, label, band, r FROM refl WHERE band < 6), ok AS (SELECT vec_id FROM f GROUP BY vec_id HAVING count(r) = 6),
+full_ AS (SELECT f.* FROM f JOIN ok ON f.vec_id = ok.vec_id), means AS (SELECT band, avg(r) AS m FROM full_ WHERE vec_id % 5 < 3 GROUP BY band), cond(condition, which) AS (VALUES {_CASES}),
+s AS (SELECT condition, vec_id, max(CASE WHEN label >= 5 THEN 1 ELSE 0 END) AS y_true, round(sum(CASE WHEN list_contains(which, full_.band) THEN m ELSE r END * (full_.band - 2.5::DOUBLE)), 6) AS y_prob FROM full_ JOIN means ON full_.band = means.band, cond WHERE vec_id % 5 >= 3 GROUP BY ALL),
+g AS (SELECT condition, y_prob, sum(y_true) AS tp, sum(1 - y_true) AS fp FROM s GROUP BY ALL),
+c AS (SELECT *, sum(tp) OVER (PARTITION BY condition ORDER BY y_prob DESC) AS ctp, sum(fp) OVER (PARTITION BY condition ORDER BY y_prob DESC) AS cfp, sum(tp) OVER (PARTITION BY condition) AS p, sum(fp) OVER (PARTITION BY condition) AS n FROM g),
+m AS (SELECT condition, sum(tp / p * ctp / (ctp + cfp)) AS ap, sum(fp / n * (ctp - tp / 2) / p) AS roc FROM c GROUP BY condition), d AS (SELECT *, max(CASE WHEN condition = 'C0' THEN ap END) OVER () AS ap0 FROM m)
+SELECT condition, round(ap, 6) AS average_precision, round(roc, 6) AS roc_auc, round(ap0 - ap, 6) AS delta, round(100 * (ap0 - ap) / ap0, 4) AS delta_percent, CASE WHEN ap0 - ap < 0.02 THEN 'none' WHEN ap0 - ap < 0.05 THEN 'weak' ELSE 'strong' END AS effect FROM d"""
+)
+def ablation_report(spark, sf):
+    """What a linear score loses where features give way to their means over other pixels."""
+    px = models.complete(V.pixels(spark, sf).withColumn("features", F.slice("refl", 1, 6))).withColumn("y_true", (F.col("label") >= 5).cast("int"))
+    means = px.where("vec_id % 5 < 3").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(6)]).alias("means"))
+    predict = lambda f: F.round(sum((f[i] * (i - 2.5) for i in range(1, 6)), f[0] * -2.5), 6)
+    got = reports.ablation(px.where("vec_id % 5 >= 3").join(F.broadcast(means)), _CONDITIONS, F.col("means"), predict)  # one row of means
+    return _round(_round(got, "average_precision", "roc_auc", "delta"), "delta_percent", digits=4)
+
+
+@query(
+    f"""WITH {CELLS}, ok AS (SELECT y, x, max(CASE WHEN band = 0 THEN r END) AS b0, max(CASE WHEN band = 1 THEN r END) AS b1, max(CASE WHEN band = 2 THEN r END) AS b2 FROM refl GROUP BY y, x),
+near AS (SELECT c.y, c.x, c.b0 + c.b1 + c.b2 AS centre, p.b0, p.b1, p.b2 FROM ok c JOIN ok p ON p.y BETWEEN c.y - 1 AND c.y + 1 AND p.x BETWEEN c.x - 1 AND c.x + 1),
+t AS (SELECT y, x, any_value(centre) AS centre, [sum(b0), sum(b1), sum(b2)] AS totals FROM near GROUP BY y, x HAVING count(b0 + b1 + b2) = 9)
+SELECT y, x, round(centre, 6) AS centre_total, round(totals[1 + (SELECT arg_min(c, (((y * 20 + x) * 4096 + c + 42) * 2654435761) % 4294967296) FROM range(3) k(c))], 6) AS first_total FROM t"""
+)
+def patch_controls(spark, sf):
+    """Patches for two control runs of a model: the centre pixel alone, and channels out of order."""
+    px = V.pixels(spark, sf).withColumn("features", F.slice("refl", 1, 3))
+    got = cube.patches(px, F.lit(True), F.forall("features", lambda v: v.isNotNull()), 1)
+    total = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v)
+    shuffled = reports.permuted(F.col("patch"), F.col("y") * V.WIDTH + F.col("x"))
+    return got.select("y", "x", F.round(total(F.flatten(reports.centre_only(F.col("patch"), 1))), 6).alias("centre_total"), F.round(total(shuffled[0]), 6).alias("first_total"))
+
+
+@query(f"WITH {CELLS} SELECT y, x, coalesce(round(max(CASE WHEN band = 12 AND label < 5 THEN r END), 6), -1) AS y_prob, CASE WHEN max(CASE WHEN band = 12 AND label < 5 THEN r END) IS NULL THEN 255 WHEN max(CASE WHEN band = 12 AND label < 5 THEN r END) >= 0.3 THEN 1 ELSE 0 END AS class FROM refl GROUP BY y, x")
+def score_map(spark, sf):
+    px = V.pixels(spark, sf)
+    scored = px.where("label < 5").select("y", "x", _b(NIR).alias("y_prob")).where(F.col("y_prob").isNotNull())
+    return _round(network.to_map(px, scored, 0.3), "y_prob")
+
+
+@query(f"{_MASKED}, n AS (SELECT count(*) AS a, count(*) FILTER (WHERE veg) AS b, count(*) FILTER (WHERE veg AND label >= 5) AS c FROM masks), r AS (SELECT unnest(['all', 'vegetation', 'labelled']) AS stage, unnest([a, b, c]) AS pixels, a FROM n) SELECT stage, pixels, round(100.0::DOUBLE * pixels / a, 4) AS percent FROM r")
+def scene_reduction(spark, sf):
+    one = _masked(spark, sf).agg(F.count(F.lit(1)).alias("a"), F.count_if("veg").alias("b"), F.count_if(F.col("veg") & (F.col("label") >= 5)).alias("c"))
+    rows = one.select("a", F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(c).alias("pixels")) for n, c in (("all", "a"), ("vegetation", "b"), ("labelled", "c"))])).alias("r"))
+    return rows.select("r.*", F.round(100.0 * F.col("r.pixels") / F.col("a"), 4).alias("percent"))
+
+
+@query(f"WITH {SCORES} SELECT model, sum(1 - y_true)::BIGINT AS n_neg, sum(y_true)::BIGINT AS n_pos, round(sum(1 - y_true) / sum(y_true), 6) AS weight FROM scores GROUP BY model")
+def class_weight(spark, sf):
+    pos, neg = F.sum(F.col("y_true").cast("long")), F.sum(1 - F.col("y_true").cast("long"))
+    return V.scores(spark, sf).groupBy("model").agg(neg.alias("n_neg"), pos.alias("n_pos"), F.round(neg / F.when(pos > 0, pos), 6).alias("weight"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def pending_rows(spark, sf):
+    written = V.read(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return pending(V.read(spark, sf, "orders").select("o_orderkey", "o_custkey"), written, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("WITH d AS (SELECT c_custkey AS id, (c_custkey % 50) * 0.4::DOUBLE + 0.203::DOUBLE AS cx, (c_custkey // 50) * 0.6::DOUBLE + 0.301::DOUBLE AS cy FROM customer) SELECT id, round(cx - 0.55, 6) AS x0, round(cy - 0.55, 6) AS y0, round(cx + 0.55, 6) AS x1, round(cy + 0.55, 6) AS y1, 0.605::DOUBLE AS area, round(cx, 6) AS cx, round(cy, 6) AS cy FROM d")
+def polygon_extents(spark, sf):
+    key = F.col("c_custkey")
+    cx, cy = (key % 50) * 0.4 + 0.203, F.expr("c_custkey div 50") * 0.6 + 0.301
+    ring = F.array(*[F.struct((cx + dx).alias("x"), (cy + dy).alias("y")) for dx, dy in ((0.55, 0), (0, 0.55), (-0.55, 0), (0, -0.55))])
+    got = reports.extents(V.read(spark, sf, "customer").select(key.alias("id"), F.array(ring).alias("rings")))
+    return _round(got, "x0", "y0", "x1", "y1", "area", "cx", "cy")
+
+
+_REPORT = ORACLE_SQL["classification_report"].replace("round(", "(").replace(", 6)", ")")
+
+
+@query(f"WITH r AS ({_REPORT}) SELECT 'macro' AS average, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, CAST(sum(support) AS BIGINT) AS support FROM r UNION ALL SELECT 'weighted', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM r")
+def report_averages(spark, sf):
+    return _round(metrics.report_averages(metrics.classification_report(V.scores(spark, sf), 0.45)), "precision", "recall", "f1")
+
+
+@query()
+def screen_classifiers(spark, sf):
+    """Every kind of classifier, fitted on four fifths of the rows of pixels and ranked on the rest."""
+    rows = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int"))
+    part = C.portable_hash(F.col("y")) % 5
+    return reports.screen(rows.where(part < 4), rows.where(part == 4))
+
+
+@query()
+def feature_importance(spark, sf):
+    rows = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int"))
+    return models.importances(rows)
+
+
+@query()
+def search_settings(spark, sf):
+    """Random settings of a logistic classifier, ranked by average precision over folds of rows of pixels."""
+    rows = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("fold", (C.portable_hash(F.col("y")) % 3).cast("int"))
+    return reports.search(rows, reports.draws(4, {"regParam": (1e-4, 1.0), "elasticNetParam": (0.01, 1.0)}))
+
+
+@query()
+def predict_map(spark, sf):
+    """A scene from reflectance to maps: scaled bands, patches, a network fitted on three fifths of the rows of pixels, and
+    every pixel with probability and class at the threshold that is best on a further fifth."""
+    part = C.portable_hash(F.col("y")) % 5
+    px = V.pixels(spark, sf).select("y", "x", "label", F.slice("refl", 1, 8).alias("features"))
+    fit = cube.robust_fit(px.where(part < 3)).agg(F.sort_array(F.collect_list(F.struct("band", "median", "iqr"))).alias("fit"))  # one entry for each band
+    scaled = F.transform("features", lambda v, i: (v - F.col("fit")[i].median) / F.when(F.col("fit")[i].iqr == 0, 1.0).otherwise(F.col("fit")[i].iqr))
+    px = px.join(F.broadcast(fit)).select("y", "x", "label", scaled.alias("features"))
+    got = cube.patches(px, F.lit(True), F.forall("features", lambda v: v.isNotNull()), 1).join(px.select("y", "x", "label"), ["y", "x"])
+    got = got.withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("part", part).persist()
+    shape = network.Shape((8, 3, 3), (8, 16), (3, 3), (2, 2), 16, 0.3)
+    held = got.where("part = 3")
+    net, _ = network.train(got.where("part < 3"), held, shape, rounds=5, patience=3, workers=4, batch=32)
+    score = lambda rows: rows.withColumn("y_prob", network.probability(rows, net, shape))
+    threshold = metrics.best_threshold(score(held).select("y_true", "y_prob")).first()["threshold"]
+    return network.to_map(px, score(got), threshold)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from leafgrid.operators.cube import coarsen
+
 # Tags and field types of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
@@ -201,3 +203,10 @@ def write_tiles(layer: DataFrame, folder: str, *values: str, tile: int = 512, mo
     rows = layer.select(F.floor(F.col("y") / tile).alias("tile_y"), F.floor(F.col("x") / tile).alias("tile_x"), "y", "x", F.array(*[F.col(v).cast("double") for v in values]).alias("v"))
     rows = rows.repartition("tile_y", "tile_x").sortWithinPartitions("tile_y", "tile_x")
     rows.write.format("geotiff").mode(mode).options(tile=tile, **options).save(folder)
+
+
+def write_overviews(layer: DataFrame, folder: str, value: str, height: int, width: int, factors: tuple[int, ...] = (2, 4, 8, 16), px: float = 1.0, **options) -> None:
+    """Means over blocks of k by k pixels, each k to its own folder ``overview_<k>`` of tiles; see :func:`write_tiles`."""
+    for k in factors:
+        means = coarsen(layer, k, value, height, width).select(F.col("by").alias("y"), F.col("bx").alias("x"), F.col("mean").alias(value))
+        write_tiles(means, f"{folder}/overview_{k}", value, px=px * k, **options)
