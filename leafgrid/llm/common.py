@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: White space of the text contracts: space and the code points 9 to 13.
 WS = " \t\n\x0b\f\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
+ALNUM_REGEX = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
