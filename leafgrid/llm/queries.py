@@ -144,5 +144,71 @@ SELECT page_id, host, path, rule, CASE
     WHEN regexp_matches(path, '/(login|signup|cart|checkout)(/|$)') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
+""",
+    "op3_substring_dedup": r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS p, words FROM texts
+), windows AS (
+  SELECT doc_id, p, words[p] AS word, CASE WHEN p + 19 <= len(words) THEN md5(array_to_string(words[p:p + 19], ' ')) END AS key FROM places
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY key ORDER BY doc_id, p) AS turn FROM windows WHERE key IS NOT NULL) WHERE turn > 1
+), marked AS (
+  SELECT w.doc_id, w.p, w.word, coalesce(max(l.p) OVER (PARTITION BY w.doc_id ORDER BY w.p) >= w.p - 19, false) AS gone
+  FROM windows w LEFT JOIN later l ON w.doc_id = l.doc_id AND w.p = l.p
+)
+SELECT t.doc_id, count(m.p) AS n_words, count(*) FILTER (WHERE m.gone) AS n_removed, sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.p) FILTER (WHERE NOT m.gone), '')) AS kept_sha256
+FROM texts t LEFT JOIN marked m ON t.doc_id = m.doc_id GROUP BY t.doc_id
+""",
+    "op10_decontaminate": r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), asked AS (
+  SELECT DISTINCT item, k, array_to_string(words[s:s + k - 1], ' ') AS key
+  FROM (SELECT item, words, least(10, len(words)) AS k, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS s FROM items WHERE len(words) > 0)
+), lengths AS (
+  SELECT DISTINCT k FROM asked
+), found AS (
+  SELECT d.doc_id, d.s, d.k, a.item
+  FROM (SELECT doc_id, s, k, array_to_string(words[s:s + k - 1], ' ') AS key FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS s FROM texts, lengths WHERE len(words) >= k)) d
+  JOIN asked a ON d.k = a.k AND d.key = a.key
+), ends AS (
+  SELECT doc_id, s, max(s + k) AS e FROM found GROUP BY doc_id, s
+), places AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS p FROM texts
+), hits AS (
+  SELECT doc_id, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS n_hit FROM (
+    SELECT p.doc_id, max(e.e) OVER (PARTITION BY p.doc_id ORDER BY p.p) > p.p AS hit FROM places p LEFT JOIN ends e ON p.doc_id = e.doc_id AND p.p = e.s
+  ) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hits ON t.doc_id = hits.doc_id LEFT JOIN named ON t.doc_id = named.doc_id
+""",
+    "op7_ngram_join": r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[s:s + 4], ' ')) AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS s FROM texts WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes a ON u = a.doc_id JOIN sizes b ON v = b.doc_id WHERE 100 * c >= 75 * (a.n + b.n - c)
+), ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(doc_id, place) AS (
+  SELECT u, v FROM ways UNION SELECT reach.doc_id, ways.v FROM reach JOIN ways ON reach.place = ways.u
+), least_ AS (
+  SELECT doc_id, min(place) AS place FROM reach GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(place, t.doc_id)) AS component_id
+FROM texts t LEFT JOIN sizes ON t.doc_id = sizes.doc_id LEFT JOIN least_ ON t.doc_id = least_.doc_id
 """,
 }
