@@ -32,6 +32,18 @@ def complete(pixels: DataFrame, array: str = "features") -> DataFrame:
     return pixels.where(F.col(array).isNotNull() & F.forall(array, lambda v: v.isNotNull()))
 
 
+def fill(pixels: DataFrame, fit: DataFrame, array: str = "features") -> DataFrame:
+    """Pixels with the bands that have no value filled by the band's mean over ``fit`` (0 if no pixel there has one).
+
+    A pixel without any value stays as it is. One row of means is broadcast.
+    """
+    means = fit.select(F.posexplode(array).alias("band", "v")).groupBy("band").agg(F.avg("v").alias("mean"))
+    means = means.agg(F.map_from_entries(F.collect_list(F.struct("band", "mean"))).alias("_means"))
+    filled = F.transform(array, lambda v, i: F.coalesce(v, F.col("_means")[i], F.lit(0.0)))
+    known = F.exists(array, lambda v: v.isNotNull())
+    return pixels.join(F.broadcast(means)).withColumn(array, F.when(known, filled).otherwise(F.col(array))).drop("_means")
+
+
 def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for batch in batches:

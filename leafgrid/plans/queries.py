@@ -403,9 +403,10 @@ def event_windows(spark, sf):
 # Models
 
 
-def _all_bands(spark, sf) -> DataFrame:
-    """Pixels with 16 bands as features."""
-    return V.pixels(spark, sf).select("y", "x", "label", F.slice("refl", 1, 16).alias("features"))
+def _all_bands(spark, sf, fit=None) -> DataFrame:
+    """Pixels with every band as features; a band without a value has its mean over the pixels that meet ``fit``, or over all."""
+    px = V.pixels(spark, sf).select("y", "x", "label", F.col("refl").alias("features"))
+    return models.fill(px, px if fit is None else px.where(fit))
 
 
 @query(f"WITH {CELLS} SELECT a.band AS a, b.band AS b, count(CASE WHEN a.r IS NOT NULL AND b.r IS NOT NULL THEN 1 END) AS n, round(covar_pop(a.r, b.r) / (stddev_pop(CASE WHEN b.r IS NOT NULL THEN a.r END) * stddev_pop(CASE WHEN a.r IS NOT NULL THEN b.r END)), 6) AS corr FROM refl a JOIN refl b ON a.vec_id = b.vec_id AND a.band < b.band GROUP BY a.band, b.band")
@@ -436,7 +437,8 @@ def pca_project(spark, sf):
 @query()
 def cross_components(spark, sf):
     """How far the components of two halves of the spectrum go together."""
-    px = V.pixels(spark, sf).select(F.slice("refl", 1, 8).alias("a"), F.slice("refl", 9, 8).alias("b"))
+    half = F.floor(F.size("features") / 2).cast("int")
+    px = _all_bands(spark, sf).select(F.slice("features", F.lit(1), half).alias("a"), F.slice("features", half + 1, F.size("features") - half).alias("b"))
     fits = {side: models.pca_fit(px, array=side) for side in "ab"}
     sides = [c.alias(f"{side}{i}") for side in "ab" for i, c in enumerate(models.pca_project(side, *fits[side][:2]), 1)]
     values = models.cross_singular_values(px.select(*sides), ["a1", "a2", "a3"], ["b1", "b2", "b3"])
@@ -458,7 +460,7 @@ def unmix(spark, sf):
 def classifier_metrics(spark, sf):
     """Two classifiers fitted on three fifths of the rows of pixels, judged on each part."""
     part = C.portable_hash(F.col("y")) % 5
-    px = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("split", F.when(part < 3, "train").when(part == 3, "validation").otherwise("test"))
+    px = _all_bands(spark, sf, part < 3).withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("split", F.when(part < 3, "train").when(part == 3, "validation").otherwise("test"))
     train = px.where("split = 'train'")
     scored = [models.classifier_scores(train, px, kind).select(F.lit(kind).alias("model"), "split", "y_true", "y_prob") for kind in ("logistic", "boosted")]
     return metrics.ranking_metrics(scored[0].unionByName(scored[1]), "model", "split")
@@ -565,8 +567,8 @@ def report_averages(spark, sf):
 @query()
 def screen_classifiers(spark, sf):
     """Every kind of classifier, fitted on four fifths of the rows of pixels and ranked on the rest."""
-    rows = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int"))
     part = C.portable_hash(F.col("y")) % 5
+    rows = _all_bands(spark, sf, part < 4).withColumn("y_true", (F.col("label") >= 5).cast("int"))
     return reports.screen(rows.where(part < 4), rows.where(part == 4))
 
 
@@ -578,23 +580,29 @@ def feature_importance(spark, sf):
 
 @query()
 def search_settings(spark, sf):
-    """Random settings of a logistic classifier, ranked by average precision over folds of rows of pixels."""
+    """Random settings of a logistic classifier, ranked by average precision over folds of rows of pixels.
+
+    The means that fill bands are over all folds; labels have no part in them.
+    """
     rows = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("fold", (C.portable_hash(F.col("y")) % 3).cast("int"))
     return reports.search(rows, reports.draws(4, {"regParam": (1e-4, 1.0), "elasticNetParam": (0.01, 1.0)}))
 
 
 @query()
 def predict_map(spark, sf):
-    """A scene from reflectance to maps: scaled bands, patches, a network fitted on three fifths of the rows of pixels, and
+    """A scene from reflectance to maps: all bands scaled (without a value, the median), patches, a network fitted on three fifths of the rows of pixels, and
     every pixel with probability and class at the threshold that is best on a further fifth."""
     part = C.portable_hash(F.col("y")) % 5
-    px = V.pixels(spark, sf).select("y", "x", "label", F.slice("refl", 1, 8).alias("features"))
+    px = V.pixels(spark, sf).select("y", "x", "label", F.col("refl").alias("features"))
+    bands = px.agg(F.max(F.size("features"))).first()[0]
     fit = cube.robust_fit(px.where(part < 3)).agg(F.sort_array(F.collect_list(F.struct("band", "median", "iqr"))).alias("fit"))  # one entry for each band
     scaled = F.transform("features", lambda v, i: (v - F.col("fit")[i].median) / F.when(F.col("fit")[i].iqr == 0, 1.0).otherwise(F.col("fit")[i].iqr))
+    known = F.exists("features", lambda v: v.isNotNull())  # a pixel without any value stays without
+    scaled = F.when(known, F.transform(scaled, lambda v: F.coalesce(v, F.lit(0.0)))).otherwise(F.col("features"))
     px = px.join(F.broadcast(fit)).select("y", "x", "label", scaled.alias("features"))
     got = cube.patches(px, F.lit(True), F.forall("features", lambda v: v.isNotNull()), 1).join(px.select("y", "x", "label"), ["y", "x"])
     got = got.withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("part", part).persist()
-    shape = network.Shape((8, 3, 3), (8, 16), (3, 3), (2, 2), 16, 0.3)
+    shape = network.Shape((bands, 3, 3), (8, 16), (3, 3), (2, 2), 16, 0.3)
     held = got.where("part = 3")
     net, _ = network.train(got.where("part < 3"), held, shape, rounds=5, patience=3, workers=4, batch=32)
     score = lambda rows: rows.withColumn("y_prob", network.probability(rows, net, shape))

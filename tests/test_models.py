@@ -129,3 +129,20 @@ def test_stream_gives_the_closed_windows(spark, tmp_path):
     closed = {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in spark.table("closed").collect()}
     want = {(r.start, r.event_type): (r.n, round(r.total, 6)) for r in tumbling_totals(events, "1 day").collect()}
     assert closed and all(want[k] == v for k, v in closed.items())
+
+
+def test_models_see_every_band_of_every_pixel(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    px = Q._all_bands(spark, SF)
+    assert models.complete(px).where(F.size("features") == 64).count() == n
+    want = {r.band: r.m for r in cube.long_form(Q.V.pixels(spark, SF)).groupBy("band").agg(F.avg("v").alias("m")).collect()}
+    pairs = Q.V.pixels(spark, SF).join(px.select("y", "x", "features"), ["y", "x"]).select("refl", "features").collect()
+    assert all(f == (want[i] if v is None else v) or abs(f - want[i]) < 1e-12 for r in pairs for i, (v, f) in enumerate(zip(r.refl, r.features, strict=True)))
+    assert Q.QUERIES["feature_importance"](spark, SF).count() == 64
+    assert Q.QUERIES["pca_project"](spark, SF).where("pc1 IS NULL").count() == 0
+
+
+def test_fill_leaves_pixels_without_values(spark):
+    px = spark.createDataFrame([(1, [1.0, None, None]), (2, [3.0, 4.0, None]), (3, [None, None, None]), (4, None)], "id int, features array<double>")
+    got = {r.id: r.features for r in models.fill(px, px).collect()}
+    assert got == {1: [1.0, 4.0, 0.0], 2: [3.0, 4.0, 0.0], 3: [None] * 3, 4: None}
