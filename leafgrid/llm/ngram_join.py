@@ -60,10 +60,13 @@ def _spare(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 class _Links:
-    """Documents of one candidate group: finds all connections between residents, and of visitors with residents."""
+    """Documents of one candidate group: finds all connections between residents, and of visitors with residents.
 
-    def __init__(self, sets: list[np.ndarray], resident: np.ndarray, root: np.ndarray, percent: int):
-        self.percent, self.resident = percent, resident
+    With ``met``, residents have been compared with each other before.
+    """
+
+    def __init__(self, sets: list[np.ndarray], resident: np.ndarray, root: np.ndarray, percent: int, met: bool = False):
+        self.percent, self.resident, self.met = percent, resident, met
         self.size = np.array([len(s) for s in sets])
         self.bounds = np.concatenate([[0], np.cumsum(self.size)])
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -106,7 +109,8 @@ class _Links:
                 continue
             near = np.unique(np.concatenate([self.post_doc[self.lists[r] : self.lists[r + 1]] for r in ranks]))
             small, large = np.minimum(self.size[near], self.size[x]), np.maximum(self.size[near], self.size[x])
-            near = near[~done[near] & (root[near] != root[x]) & (small * 100 >= large * self.percent) & (self.resident[near] | self.resident[x])]
+            meet = self.resident[near] != self.resident[x] if self.met else self.resident[near] | self.resident[x]
+            near = near[~done[near] & (root[near] != root[x]) & (small * 100 >= large * self.percent) & meet]
             linked = near[self._reach(x, near)] if len(near) else near
             for y in linked.tolist():
                 self.union(x, y)
@@ -313,37 +317,57 @@ def _candidates(reps: DataFrame, plan: B.Plan, percent: int) -> DataFrame:
 def _verified(reps: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Links within candidate groups, as edges a, b that connect what is connected by links.
 
-    Groups with more than GROUP_GRAMS n-grams are dealt into chunks. A chunk is compared with itself and with one visitor,
-    the group's smallest document, which most members of a large group are linked with. Those that are not then visit all
-    other chunks; pairs of members that are linked with the visitor need no comparison.
+    Groups with more than GROUP_GRAMS n-grams are dealt into chunks. A chunk is first compared with itself and with one
+    visitor, the group's smallest document. Then one document of each link component of several visits all other chunks,
+    and at last all documents outside the group's largest link component do; pairs inside it need no comparison. Visitors
+    come in batches of GROUP_GRAMS n-grams, so a task holds a chunk and a batch, each about that large.
     """
 
-    def link(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rep", "ascending"), ("resident", "descending")])
-        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
-        raw = [np.frombuffer(r, np.uint64) for r in table.column("grams").to_pylist()]
-        got = _Links(raw, table.column("resident").to_numpy(zero_copy_only=False), root, percent).connect()
-        out = np.flatnonzero(got != np.arange(len(got)))
-        return pa.table({"a": pa.array(rep[out], pa.int64()), "b": pa.array(rep[got[out]], pa.int64())})
+    def link(met: bool):
+        def one(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("rep", "ascending"), ("resident", "descending")])
+            rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+            raw = [np.frombuffer(r, np.uint64) for r in table.column("grams").to_pylist()]
+            got = _Links(raw, table.column("resident").to_numpy(zero_copy_only=False), root, percent, met).connect()
+            out = np.flatnonzero(got != np.arange(len(got)))
+            return pa.table({"a": pa.array(rep[out], pa.int64()), "b": pa.array(rep[got[out]], pa.int64())})
+
+        return one
 
     members = reps.join(candidates, F.col("rep") == F.col("node")).select("component", "rep", "n", "grams")
     groups = materialise(members.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_GRAMS).cast("long").alias("chunks")))
     members = members.join(groups, "component").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    base = members.select("component", "chunk", "chunks", "rep", "grams", F.lit(True).alias("resident"), F.col("rep").alias("root"))
+    base = members.select("component", "chunk", "chunks", "rep", "n", "grams", F.lit(True).alias("resident"), F.col("rep").alias("root"))
     split = groups.where("chunks > 1").count() > 0
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     first = base
     if split:
-        guests = base.where("chunks > 1 AND rep = component")
-        first = first.unionByName(guests.withColumn("home", F.col("chunk")).withColumn("chunk", everywhere).where("chunk != home").drop("home").withColumn("resident", F.lit(False)))
-    edges = first.groupBy("component", "chunk").applyInArrow(link, "a long, b long")
+        first = first.unionByName(_abroad(base.where("chunks > 1 AND rep = component")))
+    edges = first.groupBy("component", "chunk").applyInArrow(link(False), "a long, b long")
     if not split:
         return edges
     edges = materialise(edges)
-    known = connected_components(edges, "a", "b")
-    found = known.select("node", F.col("component").alias("found"))
-    large = base.where("chunks > 1").drop("root").join(found, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("found", "rep"))
-    large = large.select("component", "chunk", "chunks", "rep", "grams", "resident", "root")
-    visitors = large.where("root != component").withColumn("home", F.col("chunk")).withColumn("chunk", everywhere).where("chunk != home").drop("home").withColumn("resident", F.lit(False))
-    again = large.unionByName(visitors).groupBy("component", "chunk").applyInArrow(link, "a long, b long")
-    return edges.union(again)
+    for last in (False, True):
+        found = connected_components(edges, "a", "b").select("node", F.col("component").alias("found"))
+        large = base.where("chunks > 1").drop("root").join(found, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("found", "rep")).drop("node", "found")
+        sizes = materialise(large.groupBy("component", "root").agg(F.count(F.lit(1)).alias("size")))
+        if last:
+            largest = sizes.groupBy("component").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+            visitors = large.join(largest, "component").where("root != largest").drop("largest")
+        else:
+            visitors = large.where("rep = root").join(sizes.where("size > 1").select("component", "root"), ["component", "root"], "left_semi")
+        edges = materialise(edges.union(_batched(large, visitors).groupBy("component", "chunk", "batch").applyInArrow(link(True), "a long, b long")))
+    return edges
+
+
+def _abroad(visitors: DataFrame) -> DataFrame:
+    """Visitors in all chunks of their group but their own."""
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    return visitors.withColumn("home", F.col("chunk")).withColumn("chunk", everywhere).where("chunk != home").drop("home").withColumn("resident", F.lit(False))
+
+
+def _batched(large: DataFrame, visitors: DataFrame) -> DataFrame:
+    """Each chunk's residents with each batch of visitors of the group, by component, chunk and batch."""
+    batches = visitors.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_GRAMS).cast("long").alias("batches"))
+    residents = large.join(batches, "component").withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)))
+    guests = _abroad(visitors.join(batches, "component").withColumn("batch", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("batches"))))
+    return residents.unionByName(guests)

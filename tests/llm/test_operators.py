@@ -95,6 +95,24 @@ def test_near_copies(docs, monkeypatch, grams):
     assert got == _components()
 
 
+def test_no_task_holds_a_large_group(spark, monkeypatch):
+    import numpy as np
+
+    # The smallest document is an outlier of a family in several chunks; a second family is linked with neither.
+    sets = {1: range(10**6, 10**6 + 100)} | {i: [*range(k, k + 90), *range(i * 1000, i * 1000 + 10)] for i in range(2, 162) for k in [500 * (i > 140)]}
+    reps = spark.createDataFrame([(0, i, len(g), np.sort(np.array(g, np.uint64)).tobytes()) for i, g in sets.items()], "block int, rep long, n long, grams binary").cache()
+    candidates = spark.createDataFrame([(i, 1) for i in sets], "node long, component long")
+    monkeypatch.setattr(ngram_join, "GROUP_GRAMS", 2000)
+    dealt, kind = [], type(reps)
+    monkeypatch.setattr(kind, "groupBy", lambda self, *by, f=kind.groupBy: ("chunk" in [x for x in by if isinstance(x, str)] and dealt.append((self, by)), f(self, *by))[1])
+    links = ngram_join._verified(reps, candidates, 75)
+    found = {r.node: r.component for r in ngram_join.connected_components(links, "a", "b").collect()}
+    monkeypatch.undo()
+    assert found == {i: 2 if i <= 140 else 141 for i in sets if i > 1}
+    held = [d.groupBy(*by).agg(F.sum(F.octet_length("grams") / 8).alias("n")).agg(F.max("n")).first()[0] for d, by in dealt]
+    assert len(held) >= 2 and max(held) < 8000  # all of the group would be 16000
+
+
 def test_language_model(docs):
     rows = score_texts(docs).collect()
     learn = [i for i, *_ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1]
