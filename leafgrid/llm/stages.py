@@ -37,12 +37,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; without a doc_id, one of each text. A document without words is in no group.
+    Of rows that share a doc_id one stays. A row without a doc_id is a document of its own, known by its text and after all
+    that have one; of equal texts one stays. A document without words is in no group.
     """
-    groups = link_near_copies(docs)
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = _documents(docs).withColumn("_key", F.coalesce("doc_id", by_text))
+    groups = link_near_copies(rows.select(F.col("_key").alias("doc_id"), "text"))
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_key")).distinct()
-    left = _documents(docs).withColumn("_key", F.coalesce("doc_id", F.xxhash64("text"))).join(gone, "_key", "left_anti")
-    return left.dropDuplicates(["_key"]).select(*COLUMNS)
+    return rows.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
