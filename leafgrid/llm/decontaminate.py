@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, ALNUM_REGEX, Words, run_bounds, sums
+from .common import ALNUM_BYTES, ALNUM_REGEX, Words, materialise, run_bounds, sums
 
 #: Benchmarks are made by hand and small; one with more words than this is refused, as its automaton goes to all tasks.
 MOST_WORDS = 5_000_000
+#: Words of a part, when a benchmark is dealt into parts: see the README for the memory that an automaton of them takes.
+PART_WORDS = 150_000
+#: Stands for a null doc_id where hits are joined with documents.
+LOWEST = -(1 << 63)
 
 
 class SuffixAutomaton:
@@ -174,22 +179,114 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         for batch in batches:
             words = Words(batch.column("text"), fold=True, word_bytes=ALNUM_BYTES)
             hit, found = test.hits(words)
-            n_hit = sums(hit, words.bounds)
             items = [sorted(test.ids[i] for i in found.get(d, ())) for d in range(batch.num_rows)]
-            out = {
-                "doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64)), "n_items": pa.array([len(x) for x in items], pa.int64()),
-                "items": pa.array(items, pa.list_(pa.string())), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), "contaminated": pa.array(n_hit > 0),
-            }
-            if clean:
-                texts = batch.column("text").to_pylist()
-                for d in np.flatnonzero(n_hit):
-                    texts[d] = _cut(words, hit, d)
-                out["clean_text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in carry})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+            yield _judged(batch, words, hit, items, clean, carry)
+
+    return _rows(docs, carry).mapInArrow(scan, _schema(docs, clean, carry))
+
+
+def _rows(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+
+
+def _schema(docs: DataFrame, clean: bool, carry: tuple[str, ...]) -> str:
     schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean" + ", clean_text string" * clean
-    return rows.mapInArrow(scan, schema + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry))
+    return schema + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+
+def _judged(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[list[str]], clean: bool, carry: tuple[str, ...]) -> pa.RecordBatch:
+    n_hit = sums(hit, words.bounds)
+    out = {
+        "doc_id": batch.column("doc_id"), "n_words": pa.array(words.counts.astype(np.int64)), "n_hit": pa.array(n_hit.astype(np.int64)), "n_items": pa.array([len(x) for x in items], pa.int64()),
+        "items": pa.array(items, pa.list_(pa.string())), "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()), "contaminated": pa.array(n_hit > 0),
+    }
+    if clean:
+        texts = batch.column("text").to_pylist()
+        for d in np.flatnonzero(n_hit):
+            texts[d] = _cut(words, hit, d)
+        out["clean_text"] = pa.array(texts, pa.string())
+    return pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in carry})
+
+
+def find_contamination_in_parts(docs: DataFrame, benchmark: DataFrame, window: int = 10, clean: bool = False, carry: tuple[str, ...] = (), part_words: int = PART_WORDS) -> DataFrame:
+    """What find_contamination gives, for a benchmark of any size.
+
+    A benchmark of more than ``part_words`` words is dealt into parts of at most as many; documents are read once for each
+    part, whose automaton is built in Python workers, and hit spans and items are united for each document. Long items are
+    cut into pieces that share window - 1 words, so no window is lost.
+    """
+    total = benchmark.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(ALNUM_REGEX)))).first()[0] or 0
+    if total <= part_words:
+        return find_contamination(docs, benchmark, window, clean, carry)
+    pieces, parts = _dealt(benchmark, window, part_words, total)
+    rows = _rows(docs, carry).withColumn("_id", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+    hits = None
+    for p in range(parts):
+        one = pieces.where(F.pmod(F.xxhash64("uid", "piece"), F.lit(parts)) == p).select("uid", "item", "text").orderBy("uid", "text").collect()
+        part = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in one], window))
+        got = rows.select("_id", "_key", "text").mapInArrow(_scanner(part), "_id long, _key string, spans binary, uids array<long>, items array<string>")
+        got = got.groupBy("_id", "_key").agg(F.first(F.struct("spans", "uids", "items")).alias("hit"))  # repeated documents
+        hits = got if hits is None else hits.unionByName(got)
+    hits = materialise(hits).groupBy("_id", "_key").agg(F.collect_list("hit").alias("hits"))
+    joined = rows.join(hits, ["_id", "_key"], "left").select("doc_id", "text", *carry, F.col("hits.spans").alias("_spans"), F.col("hits.uids").alias("_uids"), F.col("hits.items").alias("_items"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(batch.column("text"), fold=True, word_bytes=ALNUM_BYTES)
+            hit, items = np.zeros(len(words.hashes), bool), []
+            for d, (spans, uids, names) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_spans", "_uids", "_items")), strict=True)):
+                for a, b in np.frombuffer(b"".join(spans or ()), np.int64).reshape(-1, 2) + words.bounds[d]:
+                    hit[a:b] = True
+                items.append(sorted({u: n for us, ns in zip(uids or (), names or (), strict=True) for u, n in zip(us, ns, strict=True)}.values()))
+            yield _judged(batch, words, hit, items, clean, carry)
+
+    return joined.mapInArrow(unite, _schema(rows, clean, carry))
+
+
+def _dealt(benchmark: DataFrame, window: int, part_words: int, total: int) -> tuple[DataFrame, int]:
+    """Pieces of items (uid, item, piece, text, n), and into how many parts their hashes deal them with part_words at most."""
+    size = max(window, part_words // 8)
+    items = benchmark.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.regexp_extract_all(F.col("text").cast("string"), F.lit(ALNUM_REGEX), F.lit(0)).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(size - window + 1))
+    cut = items.where("size(words) > 0").select("uid", "item", "words", F.explode(starts).alias("piece")).withColumn("words", F.slice("words", F.col("piece") + 1, F.lit(size)))
+    # Written, as the ids of rows have to stay.
+    pieces = materialise(cut.select("uid", "item", "piece", F.array_join("words", " ").alias("text"), F.size("words").alias("n")))
+    parts = -(-total // part_words)
+    while parts < pieces.count() and pieces.groupBy(F.pmod(F.xxhash64("uid", "piece"), F.lit(parts))).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > part_words:
+        parts += -(-parts // 4)
+    return pieces, parts
+
+
+#: The automaton that this Python worker has built last, by its part.
+_built: dict[str, Benchmark] = {}
+
+
+def _automaton(name: str, items: list[tuple[int, str, str]], window: int) -> Benchmark:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Benchmark(items, [t for _, _, t in items], window)
+    return _built[name]
+
+
+def _scanner(part) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The documents that a part hits: spans of words from each one's first, and the rows and names of items."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = _automaton(*part.value)
+        for batch in batches:
+            words = Words(batch.column("text"), fold=True, word_bytes=ALNUM_BYTES)
+            hit, found = test.hits(words)
+            at, spans = sorted(found), []
+            for d in at:
+                first, end = run_bounds(hit[words.bounds[d] : words.bounds[d + 1]])
+                spans.append(np.stack([first, end], axis=1).astype(np.int64).tobytes())
+            which = [[test.ids[i] for i in sorted(found[d])] for d in at]
+            yield pa.RecordBatch.from_pydict({
+                "_id": batch.column("_id").take(pa.array(at, pa.int64())), "_key": batch.column("_key").take(pa.array(at, pa.int64())), "spans": pa.array(spans, pa.binary()),
+                "uids": pa.array([[i[0] for i in x] for x in which], pa.list_(pa.int64())), "items": pa.array([[i[1] for i in x] for x in which], pa.list_(pa.string())),
+            })
+
+    return scan
 
 
 def _cut(words: Words, hit: np.ndarray, text: int) -> str:

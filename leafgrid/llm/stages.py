@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontaminate import find_contamination
+from .decontaminate import find_contamination_in_parts
 from .line_dedup import drop_common_lines
 from .mixing import mix_sources
 from .ngram_join import link_near_copies
@@ -49,7 +49,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages; one that has little else goes as a whole."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True, carry=("lang", "source"))
+    found = find_contamination_in_parts(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True, carry=("lang", "source"))
     kept = found.where(F.col("n_hit") <= MOST_HIT * F.col("n_words"))
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.char_length("clean_text").cast("long").alias("n_chars"))
 

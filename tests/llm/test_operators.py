@@ -9,9 +9,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from leafgrid.llm import blocks, ngram_join
+from leafgrid.llm import blocks, decontaminate, ngram_join
 from leafgrid.llm.chat import format_conversations, locate, plain_template, read_back, unescape
-from leafgrid.llm.decontaminate import find_contamination
+from leafgrid.llm.decontaminate import find_contamination, find_contamination_in_parts
 from leafgrid.llm.fingerprints import fingerprint_with_edits
 from leafgrid.llm.language_model import score_texts
 from leafgrid.llm.line_dedup import drop_common_lines
@@ -160,6 +160,20 @@ def test_decontamination(spark, docs):
         assert cut(got[i]["clean_text"]) == [x for x, h in zip(w, hit, strict=True) if not h]
 
 
+def test_parts_of_a_benchmark_give_what_the_whole_does(spark, docs, monkeypatch):
+    long = ROWS[-1][1]
+    items = [(1, ROWS[5][1]), (2, "One, TWO three"), (3, None), (4, "..."), (10, ROWS[5][1].upper()), (10, ROWS[5][1]), (None, ROWS[8][1]), (5, long), (6, " ".join(long.split()[100:109]))]
+    test = spark.createDataFrame(items, "item_id long, text string")
+    twice = docs.union(docs.limit(9)).union(docs.limit(9).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(find_contamination(twice, test, clean=True, carry=("source",)))
+    assert rows(find_contamination_in_parts(twice, test, clean=True, carry=("source",), part_words=1500)) == want
+    seen = []
+    monkeypatch.setattr(decontaminate, "_scanner", lambda part, f=decontaminate._scanner: (seen.append(sum(len(t.split()) for _, _, t in part.value[1])), f(part))[1])
+    find_contamination_in_parts(docs, test, part_words=1500)
+    assert len(seen) > 2 and max(seen) <= 1500
+
+
 def test_mixing(docs):
     rows, again = mix_sources(docs).collect(), mix_sources(docs.repartition(7)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
