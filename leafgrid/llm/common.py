@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import uuid
 
 import numpy as np
@@ -40,12 +41,23 @@ def lower_ascii(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a local one is set only where none is named."""
+    """A fresh folder under the cluster's shared checkpoint folder, deleted when the driver ends.
+
+    Only a session in local mode may go without such a folder; it gets one of its own.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        shared = known.get() if known.isDefined() else "file:/tmp/checkpoints"
-    return f"{shared.rstrip('/')}/leafgrid-{uuid.uuid4().hex}"
+        if known.isDefined():
+            shared = known.get()
+        elif spark.sparkContext.master.startswith("local"):
+            shared = f"file://{tempfile.gettempdir()}/spark-leafgrid"
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    path = f"{shared.rstrip('/')}/leafgrid-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """The smallest node of each node's component: node, component. Nodes without an edge to another are left out.
 
     Each round links a node's larger neighbours, then its smaller ones, to the smallest of them, so components turn into
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
     is. A round is written to the shared folder, so lost executors don't undo it.
     """
     now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

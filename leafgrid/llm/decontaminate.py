@@ -182,16 +182,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             items = [sorted(test.ids[i] for i in found.get(d, ())) for d in range(batch.num_rows)]
             yield _judged(batch, words, hit, items, clean, carry)
 
-    return _rows(docs, carry).mapInArrow(scan, _schema(docs, clean, carry))
+    rows = _rows(docs, carry)
+    return _named(rows.mapInArrow(scan, _schema(rows, clean, carry)), carry)
+
+
+def _named(found: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Carried columns by their names again."""
+    return found.withColumnsRenamed({f"carry_{c}": c for c in carry})
 
 
 def _rows(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
 
 
 def _schema(docs: DataFrame, clean: bool, carry: tuple[str, ...]) -> str:
     schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean" + ", clean_text string" * clean
-    return schema + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return schema + "".join(f", `carry_{c}` {docs.schema[f'carry_{c}'].dataType.simpleString()}" for c in carry)
 
 
 def _judged(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[list[str]], clean: bool, carry: tuple[str, ...]) -> pa.RecordBatch:
@@ -205,7 +211,7 @@ def _judged(batch: pa.RecordBatch, words: Words, hit: np.ndarray, items: list[li
         for d in np.flatnonzero(n_hit):
             texts[d] = _cut(words, hit, d)
         out["clean_text"] = pa.array(texts, pa.string())
-    return pa.RecordBatch.from_pydict(out | {c: batch.column(c) for c in carry})
+    return pa.RecordBatch.from_pydict(out | {f"carry_{c}": batch.column(f"carry_{c}") for c in carry})
 
 
 def find_contamination_in_parts(docs: DataFrame, benchmark: DataFrame, window: int = 10, clean: bool = False, carry: tuple[str, ...] = (), part_words: int = PART_WORDS) -> DataFrame:
@@ -228,7 +234,7 @@ def find_contamination_in_parts(docs: DataFrame, benchmark: DataFrame, window: i
         got = got.groupBy("_id", "_key").agg(F.first(F.struct("spans", "uids", "items")).alias("hit"))  # repeated documents
         hits = got if hits is None else hits.unionByName(got)
     hits = materialise(hits).groupBy("_id", "_key").agg(F.collect_list("hit").alias("hits"))
-    joined = rows.join(hits, ["_id", "_key"], "left").select("doc_id", "text", *carry, F.col("hits.spans").alias("_spans"), F.col("hits.uids").alias("_uids"), F.col("hits.items").alias("_items"))
+    joined = rows.join(hits, ["_id", "_key"], "left").select("doc_id", "text", *[f"carry_{c}" for c in carry], F.col("hits.spans").alias("_spans"), F.col("hits.uids").alias("_uids"), F.col("hits.items").alias("_items"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +246,7 @@ def find_contamination_in_parts(docs: DataFrame, benchmark: DataFrame, window: i
                 items.append(sorted({u: n for us, ns in zip(uids or (), names or (), strict=True) for u, n in zip(us, ns, strict=True)}.values()))
             yield _judged(batch, words, hit, items, clean, carry)
 
-    return joined.mapInArrow(unite, _schema(rows, clean, carry))
+    return _named(joined.mapInArrow(unite, _schema(rows, clean, carry)), carry)
 
 
 def _dealt(benchmark: DataFrame, window: int, part_words: int, total: int) -> tuple[DataFrame, int]:

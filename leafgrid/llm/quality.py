@@ -233,8 +233,9 @@ def held_out(doc_id: Column, remainder: int = 0) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> AdditiveModel:
     """A model of labels.quality from the texts of labelled documents that are not held out.
 
-    At most ``fit_rows`` of them are used, with the smallest hash of the doc_id. Rows with a null doc_id or quality are
-    left out; a doc_id with several labels gives a row for each.
+    At most ``fit_rows`` labels are used, those with the smallest hash of the doc_id, and at most twice as many rows of
+    documents, by the same rule. Rows with a null doc_id or quality are left out; a doc_id with several labels or several
+    documents gives a row for each two.
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
@@ -247,8 +248,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
             x = text_features(batch.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    fitted = rows.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, x array<double>").toPandas()
-    fitted = fitted.sort_values(["doc_id", "quality"], kind="stable").head(2 * fit_rows)
+    known = rows.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, x array<double>")
+    fitted = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(2 * fit_rows).toPandas()
     x = np.stack(fitted["x"].tolist()) if len(fitted) else np.zeros((0, len(FEATURES)))
     order = np.lexsort((*x.T, fitted["doc_id"].to_numpy())) if len(fitted) else np.zeros(0, int)
     return AdditiveModel().fit(x[order], fitted["quality"].to_numpy(float)[order])

@@ -1,10 +1,16 @@
-"""The stages of the corpus pipeline: each applies an operator and lets its decision take effect."""
+"""The stages of the corpus pipeline: each applies an operator and lets its decision take effect.
+
+All stages keep nulls in doc_id, lang, source and n_chars as they are, leave out columns that documents don't have, give an
+empty table for an empty one, and treat repeated rows alike, but for the join, which leaves one of them. A null text counts
+as empty.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .decontaminate import find_contamination_in_parts
 from .line_dedup import drop_common_lines
 from .mixing import mix_sources
@@ -37,14 +43,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays. A row without a doc_id is a document of its own, known by its text and after all
-    that have one; of equal texts one stays. A document without words is in no group.
+    Texts are told apart even where their doc_id is the same or missing: of those that share one, the text with the smallest
+    hash has it, and the others, like those without one, come after all that have one, by their hash. Of rows with the same
+    doc_id and text one stays, the first by lang, source and n_chars. A document without words is in no group.
     """
-    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    rows = _documents(docs).withColumn("_key", F.coalesce("doc_id", by_text))
+    docs = _documents(docs)
+    late = lambda *c: F.xxhash64(*c).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    mark = F.xxhash64("text")
+    shared = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(mark).alias("_least"), F.max(mark).alias("_most")).where("_least < _most")
+    shared = materialise(shared.select("doc_id", "_least"))
+    rows = docs.withColumn("_least", F.lit(None).cast("long")) if shared.isEmpty() else docs.join(shared, "doc_id", "left")
+    key = F.when(F.col("doc_id").isNull(), late("text")).when(mark != F.col("_least"), late("text", "doc_id")).otherwise(F.col("doc_id"))
+    rows = rows.withColumn("_key", key).drop("_least")
     groups = link_near_copies(rows.select(F.col("_key").alias("doc_id"), "text"))
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*COLUMNS)
+    first = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")
+    return rows.join(gone, "_key", "left_anti").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
