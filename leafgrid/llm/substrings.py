@@ -1,12 +1,13 @@
 """Substring deduplication: prefix-partitioned suffix trees over the words of all documents.
 
-Suffixes are cut off after ``window`` words, for deeper repeats hold all windows of that depth. They are split into groups
-by variable-length prefixes: one word long, and two, four or eight where a shorter prefix has too many suffixes for a
-task. A group's suffixes in sorted order, with the length that neighbours have in common, are its subtree; its internal
-nodes of depth ``window`` are the repeats, and a node's first leaf is the one that stays.
-
-Suffixes that can't repeat stay at home: two equal windows have the same smallest eight-word hash, so a window is only
-sent if that hash occurs elsewhere too. Edge labels are compared by 128 bits of hash.
+Each window (20 words, say) has an anchor: the first of its eight-word parts with the smallest hash. Equal windows have
+equal anchors, so suffixes that begin at anchors, each with the few words before it, hold all that windows have in common.
+They are split into groups by their prefix: the anchor's eight words, or, where these have too many suffixes for one task,
+the window's whole length. A group becomes a suffix tree, as the sorted suffixes of its stretches of words with the
+lengths that neighbours have in common; its internal nodes at the window's depth are the repeats, and a node's first leaf is
+the one that stays.
+
+Stretches that can't repeat stay at home: a window is only sent if its anchor occurs elsewhere too.
 """
 
 from __future__ import annotations
@@ -20,55 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import Words, grams, starts_within
-
-#: Lengths of prefixes in words, hash cells in which each length is counted, and suffixes that a prefix may have.
-LEVELS = (1, 2, 4, 8)
-CELLS = 4096
-GROUP_SUFFIXES = 500_000
-
-
-def _valid(words: Words, k: int) -> np.ndarray:
-    return np.flatnonzero(starts_within(words.bounds, k))
-
-
-def _levels(window: int) -> list[int]:
-    return [k for k in LEVELS if k <= window]
-
-
-def count_prefixes(docs: DataFrame, window: int) -> np.ndarray:
-    """How many suffixes of all documents each prefix cell has, for each length: the same few numbers for any corpus."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LEVELS), CELLS), np.int64)
-        for batch in batches:
-            words = Words(batch.column(0))
-            at = _valid(words, window)
-            for i, k in enumerate(_levels(window)):
-                total[i] += np.bincount(_cell(grams(words.hashes, k)[at]), minlength=CELLS)
-        level, cell = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"level": pa.array(level, pa.int32()), "cell": pa.array(cell, pa.int32()), "n": pa.array(total[level, cell], pa.int64())})
+from .common import Words, grams, mix, starts_within
 
-    counts = np.zeros((len(LEVELS), CELLS), np.int64)
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "level int, cell int, n long").groupBy("level", "cell").agg(F.sum("n").alias("n"))
-    for row in found.collect():
-        counts[row["level"], row["cell"]] = row["n"]
-    return counts
-
-
-def _cell(prefix: np.ndarray) -> np.ndarray:
-    return (prefix >> np.uint64(52)).astype(np.int64)
-
-
-def _group(words: Words, at: np.ndarray, counts: np.ndarray, window: int, ranges: int) -> np.ndarray:
-    """The task of each suffix, by its shortest prefix that isn't too frequent."""
-    task = np.full(len(at), -1, np.int64)
-    levels = _levels(window)
-    for i, k in enumerate(levels):
-        cell = _cell(grams(words.hashes, k)[at])
-        fits = (task < 0) & ((counts[i][cell] <= GROUP_SUFFIXES) | (i == len(levels) - 1))
-        task[fits] = (cell[fits] * len(LEVELS) + i) * 2654435761 % (1 << 32) % ranges
-    return task
+#: Words of an anchor, the shortest prefix; and stretches that a prefix may have before the longer one is taken.
+ANCHOR = 8
+GROUP_STRETCHES = 200_000
+#: Bytes of a word's hash that a stretch carries.
+WORD_HASH = 6
 
 
 def _by_doc(table: pa.Table) -> pa.Table:
@@ -76,12 +35,12 @@ def _by_doc(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
 
 
-class _Anchors:
-    """For each window of a block the smallest hash of its eight-word parts, and where these values stand."""
+class _Stretches:
+    """Windows in a row that have the same anchor: first word, number of windows, and the anchor's place in ``keys``."""
 
     def __init__(self, words: Words, window: int):
-        k = min(8, window)
-        self.at = _valid(words, window)
+        k = min(ANCHOR, window)
+        at = np.flatnonzero(starts_within(words.bounds, window))
         low, span = grams(words.hashes, k), window - k + 1
         left = np.arange(len(low))
         right, wide = left, 1
@@ -92,47 +51,123 @@ class _Anchors:
             left = np.where(first_b, left[step:], left[: len(a)])
             right = np.where(last_b, right[step:], right[: len(a)])
             low, wide = np.minimum(a, b), wide + step
-        value, left, right = low[self.at], left[self.at], right[self.at]
+        value, left, right = low[at], left[at], right[at]
         new = np.ones(len(value), bool)
         new[1:] = left[1:] != left[:-1]
         run = np.flatnonzero(new)
-        self.keys, code, times = np.unique(value[run], return_inverse=True, return_counts=True)
-        self.of = np.repeat(code, np.diff(np.append(run, len(value))))
-        # A value is here again if it stands at several places, of one window or of several.
-        self.here = times > 1
-        self.here[self.of[left != right]] = True
+        self.start, self.count = at[run], np.diff(np.append(run, len(at)))
+        # Smallest hashes are small; mixed, they are spread evenly over the ranges.
+        self.keys, self.anchor, self.times = np.unique(mix(value[run]), return_inverse=True, return_counts=True)
+        # A key is here again if it stands at several places, of one window or of several.
+        self.here = self.times > 1
+        twice = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(left != right, out=twice[1:])
+        self.here[self.anchor[twice[run + self.count] > twice[run]]] = True
+
+    def again(self, told: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of windows of the stretches that may repeat, and which of them need the long prefix."""
+        some = np.flatnonzero((self.here | (told > 0))[self.anchor])
+        hot = (told > 1)[self.anchor[some]] & (self.count[some] > 1)
+        pieces = np.where(hot, self.count[some], 1)
+        start, count = np.repeat(self.start[some], pieces), np.repeat(np.where(hot, 1, self.count[some]), pieces)
+        start += np.arange(len(start)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        return start, count, np.repeat(self.anchor[some], pieces)
 
 
 class _Leaves:
-    """The distinct suffixes of a block that may repeat, each with its first place, by task and label."""
-
-    def __init__(self, words: Words, at: np.ndarray, counts: np.ndarray, window: int, ranges: int):
-        k = min(8, window)
-        task = _group(words, at, counts, window, ranges)
-        high = grams(words.hashes, k)[at]
-        low = grams(words.hashes, window - k)[at + k] if window > k else np.zeros(len(at), np.uint64)
-        order = np.lexsort((low, high, task))  # stable, so the first of equals is the earliest
-        t, h, w = task[order], high[order], low[order]
+    """The distinct stretches of a block that may repeat, each with its first place, by range."""
+
+    def __init__(self, words: Words, stretches: _Stretches, told: np.ndarray, window: int, ranges: int):
+        self.start, self.count, anchor = stretches.again(told, window)
+        k = min(ANCHOR, window)
+        whole = grams(words.hashes, window)
+        first, last = whole[self.start], whole[self.start + self.count - 1]
+        more = grams(words.hashes, k)[self.start]
+        prefix = np.where(told[anchor] > 1, first, stretches.keys[anchor])
+        range_ = ((mix(prefix) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        # The first and the last window overlap and make up the stretch.
+        order = np.lexsort((self.count, last, more, first, range_))  # stable, so the first of equals is the earliest
         new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (t[1:] != t[:-1])
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
+        for column in (range_, first, last, more, self.count):
+            new[1:] &= column[order][1:] == column[order][:-1]
+        new[1:] = ~new[1:]
         self.first = order[new]
-        self.task, self.high, self.low = t[new], h[new], w[new]
+        self.range = range_[self.first]
 
 
-def subtree(high: np.ndarray, low: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which of a group's leaves come first at their deepest node.
+class Subtree:
+    """The suffix tree of some sequences, cut off at a depth: suffixes in sorted order, and what neighbours have in common.
 
-    The leaves are sorted by label, then place. Where neighbours have all words in common they hang at the same node of
-    full depth; the first of each such run is the node's first leaf.
+    ``symbols`` are the sequences one after the other and ``at`` the places where the suffixes begin, each with ``depth``
+    symbols to go. Symbols are ordered by value, and equal suffixes by place.
     """
-    order = np.lexsort((start, doc, low, high))
-    new = np.ones(len(order), bool)
-    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-    first = np.zeros(len(order), bool)
-    first[order[new]] = True
-    return first
+
+    def __init__(self, symbols: np.ndarray, at: np.ndarray, depth: int):
+        ranks = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)]
+        while 2 << len(ranks) - 1 <= depth:  # ranks of all runs of 1, 2, 4, … symbols
+            ranks.append(self._pairs(ranks[-1], 1 << len(ranks) - 1))
+        key, done = None, 0
+        for level in reversed(range(len(ranks))):  # the depth is a sum of powers of two
+            if depth >> level & 1:
+                part = ranks[level][at + done]
+                key = part if key is None else np.unique(key * (part.max(initial=0) + 1) + part, return_inverse=True)[1].astype(np.int64)
+                done += 1 << level
+        self.depth, self.at = depth, at
+        self.order = np.argsort(key, kind="stable")
+        a, b = at[self.order[:-1]], at[self.order[1:]]
+        self.common = np.zeros(len(a), np.int64)
+        for level in reversed(range(len(ranks))):
+            fits = np.flatnonzero(self.common + (1 << level) <= depth)
+            same = ranks[level][a[fits] + self.common[fits]] == ranks[level][b[fits] + self.common[fits]]
+            self.common[fits[same]] += 1 << level
+
+    @staticmethod
+    def _pairs(rank: np.ndarray, step: int) -> np.ndarray:
+        after = np.zeros(len(rank), np.int64)
+        after[: len(rank) - step] = rank[step:] + 1
+        return np.unique(rank * (after.max(initial=0) + 1) + after, return_inverse=True)[1].astype(np.int64)
+
+    def firsts(self) -> np.ndarray:
+        """For each suffix whether it is the first leaf of its deepest internal node, or hangs at none."""
+        out = np.zeros(len(self.at), bool)
+        if len(out):
+            out[self.order[np.concatenate([[True], self.common < self.depth])]] = True
+        return out
+
+    def internal_nodes(self, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Internal nodes of at least this depth, with the places of their leaves."""
+        open_: list[tuple[int, int]] = []  # depth and first leaf
+        for i, d in enumerate([*self.common.tolist(), 0]):
+            first = i
+            while open_ and open_[-1][0] > d:
+                depth, first = open_.pop()
+                if depth >= least:
+                    yield depth, self.at[self.order[first : i + 1]]
+            if d and (not open_ or open_[-1][0] < d):
+                open_.append((d, first))
+
+
+def maximal_repeats(sequences: list[list], least: int) -> set[tuple[int, frozenset[tuple[int, int]]]]:
+    """Repeats of at least ``least`` symbols that can't be extended: length and places (sequence, position).
+
+    A repeat is an internal node; it is maximal if its leaves follow different symbols. For small inputs, as a whole tree
+    goes down to the length of the longest sequence.
+    """
+    flat = [s for q in sequences for s in q]
+    code = {s: i for i, s in enumerate(sorted(set(flat)))}
+    depth = max(map(len, sequences), default=0)
+    symbols, starts, owner = [], [], []
+    for i, q in enumerate(sequences):  # after each sequence symbols that nothing else has
+        starts += range(len(symbols), len(symbols) + len(q))
+        owner += [(i, k) for k in range(len(q))]
+        symbols += [code[s] for s in q] + list(range(len(code) + len(symbols), len(code) + len(symbols) + depth))
+    place = dict(zip(starts, owner, strict=True))
+    found = set()
+    for length, leaves in Subtree(np.array(symbols), np.array(starts, np.int64), depth).internal_nodes(least) if starts else ():
+        before = {symbols[a - 1] if place[a][1] else (place[a][0],) for a in leaves.tolist()}
+        if len(before) > 1:
+            found.add((length, frozenset(place[a] for a in leaves.tolist())))
+    return found
 
 
 def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -140,71 +175,89 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     Words are separated by white space and unchanged. A word goes if it is covered by ``window`` consecutive words of its
     document that also start earlier, in a document with a smaller doc_id or earlier in the same one. Windows are judged
-    on the input, not on what is left.
+    on the input, not on what is left. Words are compared by 48 bits of hash, all of a window's together.
 
     A null or empty text has no words. A null doc_id counts as the smallest. Rows that share a doc_id are taken one after
     the other by their text, so of repeated rows the first stays. Each row gives a row; extra columns are left out; an
     empty table gives an empty table. ``window`` is at least 1.
     """
     plan = B.plan_for(docs)
-    counts = count_prefixes(docs, window)
     placed = B.in_blocks(docs, plan)
 
     def ask_anchors(table: pa.Table) -> pa.Table:
-        keys = _Anchors(Words(table.column("text")), window).keys
-        return B.rows(B.ASK, B.asked(B.block_of(table), keys, plan.ranges))
+        s = _Stretches(Words(table.column("text")), window)
+        return B.rows(B.ASK, B.asked(B.block_of(table), s.keys, plan.ranges, s.times.astype(np.uint32)))
 
     def find_anchors(table: pa.Table) -> pa.Table:
-        which, sizes, keys, _ = B.gather(table)
-        return _bits(int(table.column("range")[0].as_py()), which, sizes, _elsewhere(keys))
+        which, sizes, keys, (times,) = B.gather(table, np.uint32)
+        _, code, blocks = np.unique(keys, return_inverse=True, return_counts=True)
+        total = np.bincount(code, weights=times.astype(float))
+        told = (blocks > 1).astype(np.uint8) + (total > GROUP_STRETCHES)
+        return B.replies(int(table.column("range")[0].as_py()), which, sizes, told[code])
 
-    def candidates(table: pa.Table, answers: pa.Table) -> tuple[Words, np.ndarray, _Leaves]:
+    def leaves_of(table: pa.Table, answers: pa.Table) -> tuple[Words, _Leaves]:
         words = Words(table.column("text"))
-        anchors = _Anchors(words, window)
-        again = anchors.here | _unpacked(answers, np.diff(B.cut(anchors.keys, plan.ranges)))
-        at = anchors.at[again[anchors.of]]
-        return words, at, _Leaves(words, at, counts, window, plan.ranges)
+        return words, _Leaves(words, _Stretches(words, window), B.joined(answers, np.uint8), window, plan.ranges)
 
     def ask_leaves(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _by_doc(table)
-        words, at, leaves = candidates(table, answers)
-        first = at[leaves.first]
-        owner = np.searchsorted(words.bounds, first, side="right") - 1
-        doc, start = table.column("doc_id").to_numpy()[owner], (first - words.bounds[owner]).astype(np.uint64)
+        words, leaves = leaves_of(table, answers)
+        start, count = leaves.start[leaves.first], leaves.count[leaves.first]
+        owner = np.searchsorted(words.bounds, start, side="right") - 1
+        doc, place = table.column("doc_id").to_numpy()[owner], start - words.bounds[owner]
         # Rows that share a doc_id follow each other: their places go on.
-        start += _before(table.column("doc_id").to_numpy(), words.counts)[owner].astype(np.uint64)
-        small = len(doc) and doc.min() >= 0 and doc.max() < 1 << 32 and start.max() < 1 << 32
-        doc, start = (doc.astype("<u4"), start.astype("<u4")) if small else (doc.astype("<i8"), start.astype("<u8"))
-        cuts = np.searchsorted(leaves.task, np.arange(plan.ranges + 1))
-        block = B.block_of(table)
-        return B.rows(B.ASK, [(r, block, leaves.high[a:b].tobytes(), leaves.low[a:b].tobytes() + doc[a:b].tobytes() + start[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a])
+        place += _before(table.column("doc_id").to_numpy(), words.counts)[owner]
+        small = len(doc) and doc.min() >= 0 and doc.max() < 1 << 32 and place.max() < 1 << 32
+        doc, place = (doc.astype("<u4"), place.astype("<u4")) if small else (doc.astype("<i8"), place.astype("<i8"))
+        said = words.hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_HASH]
+        out, block, cuts = [], B.block_of(table), np.searchsorted(leaves.range, np.arange(plan.ranges + 1)).tolist()
+        for r in np.unique(leaves.range).tolist():
+            a, b = cuts[r], cuts[r + 1]
+            here = said[_spread(start[a:b], count[a:b] + window - 1)]
+            out.append((r, block, here.tobytes(), count[a:b].astype("<u4").tobytes() + doc[a:b].tobytes() + place[a:b].tobytes() + bytes([4 if small else 8])))
+        return B.rows(B.ASK, out)
 
     def grow(table: pa.Table) -> pa.Table:
-        keys, data, which = (table.column(c).to_pylist() for c in ("keys", "data", "block"))
-        low, doc, start, sizes = [], [], [], []
-        for k, d in zip(keys, data, strict=True):
-            n = len(k) // 8
-            small = len(d) == 16 * n
-            low.append(np.frombuffer(d, np.uint64, n))
-            doc.append(np.frombuffer(d, "<u4" if small else "<i8", n, 8 * n).astype(np.int64))
-            start.append(np.frombuffer(d, "<u4" if small else "<u8", n, 12 * n if small else 16 * n).astype(np.uint64))
-            sizes.append(n)
-        first = subtree(np.frombuffer(b"".join(keys), np.uint64), np.concatenate(low), np.concatenate(doc), np.concatenate(start))
-        return _bits(int(table.column("range")[0].as_py()), which, np.array(sizes), first)
+        said, count, doc, place, sizes = [], [], [], [], []
+        for k, d in zip(table.column("keys").to_pylist(), table.column("data").to_pylist(), strict=True):
+            wide = d[-1]
+            n = (len(d) - 1) // (4 + 2 * wide)
+            kind = "<u4" if wide == 4 else "<i8"
+            said.append(np.frombuffer(k, np.uint8).reshape(-1, WORD_HASH))
+            count.append(np.frombuffer(d, "<u4", n).astype(np.int64))
+            doc.append(np.frombuffer(d, kind, n, 4 * n).astype(np.int64))
+            place.append(np.frombuffer(d, kind, n, (4 + wide) * n).astype(np.int64))
+            sizes.append(int(count[-1].sum()))
+        count, doc, place = (np.concatenate(x) for x in (count, doc, place))
+        symbols = np.zeros((sum(map(len, said)), 8), np.uint8)
+        np.concatenate(said, out=symbols[:, :WORD_HASH])
+        symbols = symbols.view("<u8").ravel()
+        length = count + window - 1
+        begin = np.cumsum(length) - length
+        # In the order of the contract, so that equal suffixes stand by place.
+        order = np.lexsort((place, doc))
+        at = _spread(begin[order], count[order])
+        firsts = np.empty(len(at), bool)
+        home = np.cumsum(count) - count
+        firsts[_spread(home[order], count[order])] = Subtree(symbols, at, window).firsts()
+        return _bits(int(table.column("range")[0].as_py()), table.column("block").to_pylist(), np.array(sizes), firsts)
 
     schema = "doc_id long, text string, n_words long, n_removed long"
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = _by_doc(table)
         anchors, firsts = (answers.filter(pa.compute.equal(answers.column("step"), s)) for s in (1, 2))
-        words, at, leaves = candidates(table, anchors)
-        stays = _unpacked(firsts, np.bincount(leaves.task, minlength=plan.ranges))
-        gone = np.ones(len(at), bool)
-        gone[leaves.first[stays]] = False
-        cover = np.zeros(len(words.hashes) + 1, np.int64)
-        cover[at[gone]] += 1
-        np.subtract.at(cover, at[gone] + window, 1)
-        removed = np.cumsum(cover[:-1]) > 0
+        words, leaves = leaves_of(table, anchors)
+        windows = leaves.count[leaves.first]
+        stays = _unpacked(firsts, np.bincount(leaves.range, weights=windows, minlength=plan.ranges).astype(np.int64))
+        step = np.zeros(len(words.hashes) + window + 1, np.int64)
+        np.add.at(step, leaves.start, 1)
+        np.subtract.at(step, leaves.start + leaves.count, 1)
+        gone = np.cumsum(step)[: len(words.hashes)] > 0
+        gone[_spread(leaves.start[leaves.first], windows)[stays]] = False
+        cover = np.concatenate([gone, np.zeros(window, bool)]).astype(np.int64)
+        cover[window:] -= gone
+        removed = np.cumsum(cover)[: len(words.hashes)] > 0
         counts_, bounds, texts = words.counts, words.bounds, []
         n_removed = np.diff(np.concatenate([[0], np.cumsum(removed)])[bounds])
         for d, (a, b) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True)):
@@ -221,6 +274,12 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     return out.withColumn("doc_id", F.when(F.col("doc_id") != B.LOWEST, F.col("doc_id")))
 
 
+def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, … for each length, one after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - length), length)
+
+
 def _before(doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Words of earlier rows with the same doc_id, for sorted rows."""
     total = np.cumsum(counts) - counts
