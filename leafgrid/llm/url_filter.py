@@ -101,9 +101,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], fallback: list[Rule] = (), d
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: The rules of the contract.
 HOST_RULES = [host_rule("allow", "com/"), host_rule("block", "example.com/en/"), host_rule("allow", "www.example.com/en/"), host_rule("block", "net/es/"), host_rule("block", "net/fr/")]
-#: What decides where no host rule fits: hosts and paths that mark advertising, tracking or log-in pages.
+#: What decides where no host rule fits: hosts and paths that mark advertising, tracking or log-in pages, a rule for each word.
 FALLBACK_RULES = [
-    Rule("ads host", "block", r"^(?:[^/]*\.)?(?:ads|adserver|tracker)\.", ()),
-    Rule("ads path", "block", r"^[^/]*/(?:.*/)?(?:ads|adserver|banner)/", ()),
-    Rule("log-in", "block", r"^[^/]*/(?:.*/)?(?:login|signup|cart|checkout)(?:/|$)", ()),
+    *(Rule(f"{word} host", "block", rf"^(?:[^/]*\.)?{word}\.", (word,)) for word in ("ads", "adserver", "tracker")),
+    *(Rule(f"{word} path", "block", rf"(?s)^[^/]*/(?:.*/)?{word}/", (word,)) for word in ("ads", "adserver", "banner")),
+    *(Rule(f"{word} page", "block", rf"(?s)^[^/]*/(?:.*/)?{word}(?:/|\Z)", (word,)) for word in ("login", "signup", "cart", "checkout")),
 ]
