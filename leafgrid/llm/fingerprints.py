@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, lower_ascii
+from .common import lower_ascii, materialise
 
-#: Terms are counted in this many hash cells, so the lexicon is a bitmap of fixed size (32 KiB) however large the corpus.
-CELLS = 1 << 18
-#: Random lexicons of each density, and the share of the band that each keeps: one cell in so many. Cells are hashes, so
-#: their bits deal them out: the lexicons of a density are disjoint.
+#: Random lexicons of each density, and the share of the band that each keeps: one term in so many.
 LEXICONS = 16
 DENSITIES = (16, 64, 256)
 #: Lexicons with terms that a density needs before its share counts in full.
 ENOUGH = 4
 #: The hash of no terms.
 NONE = "0000002A"
-#: Ranges of documents for the neighbour search: at most so many rows each until there are MOST_RANGES.
+#: Bits of the band's Bloom filter for each of its terms, and the places of a term's two bits in its hash. A term outside the
+#: band passes with a chance of 1.4 %, wherever it occurs.
+BLOOM_BITS, PROBES = 16, (0, 27)
+#: Rows to a range of documents for the neighbour search, as long as there are no more than MOST_RANGES; larger ones spill.
 RANGE_ROWS = 3000
 MOST_RANGES = 1 << 16
 LOWEST = -(1 << 63)
@@ -34,46 +34,72 @@ def _longs(values) -> Column:
     return F.split(F.lit(text), ",").cast("array<bigint>") if text else F.lit(None).cast("array<bigint>")
 
 
-def _cells(text: Column) -> Column:
-    """The sorted distinct hash cells of a text's terms; none for null."""
-    terms = F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD_REGEX), F.lit(0))
-    return F.sort_array(F.array_distinct(F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(CELLS)).cast("int"))))
+def _bound(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def terms_of(text: Column) -> Column:
+    """The sorted distinct terms of a text, each as a hash of 64 bits; none for null."""
+    words = F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def idf_band(docs: DataFrame, low: float = 0.0002, high: float = 0.1) -> list[int]:
-    """A bitmap (64 cells to a number) of the cells whose share of all documents lies in [low, high].
+    """The terms whose share of all documents lies in [low, high], as a Bloom filter (64 bits to a number).
 
-    The counts have at most CELLS rows whatever the corpus, so they are combined on the map side and fit the driver.
-    Cells that only one document has are out, for they can't match anything.
+    All terms are counted, combined on the map side; those of one document only are out, for they match nothing. The filter
+    is sized by the number of terms in the band. That is at most 1 / low times the distinct terms of a mean document,
+    however large the corpus: with 400 of them, 4 MB.
     """
-    cells = docs.select(F.explode(_cells(F.col("text"))).alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = docs.count()
-    kept = counts.where((F.col("n") > 1) & (F.col("n") >= total * low) & (F.col("n") <= total * high))
-    words = [0] * (CELLS // 64)
-    for row in kept.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cell & 63)")).alias("bits")).collect():
-        words[row["word"]] = row["bits"]
-    return words
+    band = materialise(counts.where((F.col("n") > 1) & (F.col("n") >= total * low) & (F.col("n") <= total * high)).select("term"))
+    numbers = 1 << max(6, (band.count() * BLOOM_BITS // 64).bit_length())
+    bits = band.select(F.explode(F.array(*[_place(F.col("term"), p, numbers) for p in PROBES])).alias("bit"))
+    out = [0] * numbers
+    for row in bits.groupBy(F.shiftright("bit", 6).alias("number")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).collect():
+        out[row["number"]] = row["bits"]
+    return out
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+def _place(term: Column, probe: int, numbers: int) -> Column:
+    return F.shiftrightunsigned(term, probe).bitwiseAND(F.lit(64 * numbers - 1))
 
 
-def _bits_are(terms: Column, shift: int, bits: int, value: int) -> Column:
-    mask = F.lit(((1 << bits) - 1) << shift)
-    return F.filter(terms, lambda c: c.bitwiseAND(mask) == value << shift)
+def in_band(terms: Column, band: list[int]) -> Column:
+    """The terms that are in the band, or all where none is."""
+    bitmap = _longs(band)
 
+    def has(term: Column) -> Column:
+        bits = [F.getbit(F.element_at(bitmap, (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) for p in (_place(term, probe, len(band)) for probe in PROBES)]
+        return (bits[0] == 1) & (bits[1] == 1)
 
-def _lexicon_hashes(terms: Column, shift: int) -> Column:
-    """The hashes of sixteen lexicons, told apart by four bits of the cells, two at a time."""
-    quarters = F.array(*[_bits_are(terms, shift, 2, a) for a in range(4)])
+    return _bound(terms, lambda every: _bound(F.filter(every, has), lambda some: F.when(F.size(some) > 0, some).otherwise(every)))
 
-    def hashes(quarter: Column) -> Column:
-        return F.array(*[F.substring(F.lpad(F.hex(F.xxhash64(_bits_are(quarter, shift + 2, 2, b))), 16, "0"), -8, 8) for b in range(4)])
 
-    return F.flatten(F.transform(quarters, lambda q: hashes(q)))
+def lexicon_rules(seed: int = 42) -> list[tuple[tuple[int, int, int], list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each density: a rule for all its lexicons, and two lists of four rules.
+
+    A rule (shift, mask, value) keeps the terms whose hash has these bits; lexicon (i, j) keeps what the rule for all,
+    the first list's i and the second list's j do. Rules look at bits of their own, so they are independent, and the random
+    subsets overlap.
+    """
+    rules, shift = [], 0
+
+    def rule(bits: int) -> tuple[int, int, int]:
+        nonlocal shift
+        shift += bits
+        return shift - bits, (1 << bits) - 1, (seed * 2654435761 + shift * 40503 >> 7) % (1 << bits)
+
+    for density in DENSITIES:
+        rules.append((rule((density // LEXICONS).bit_length() - 1), [rule(2) for _ in range(4)], [rule(2) for _ in range(4)]))
+    return rules
+
+
+def _kept(terms: Column, rule: tuple[int, int, int]) -> Column:
+    shift, mask, value = rule
+    return F.filter(terms, lambda t: t.bitwiseAND(F.lit(mask << shift)) == value << shift) if mask else terms
 
 
 def fingerprint(text: Column, band: list[int]) -> Column:
@@ -82,19 +108,17 @@ def fingerprint(text: Column, band: list[int]) -> Column:
     NONE stands for a lexicon that has no term of the text. A text without any band term is judged by all its terms;
     an empty or null text has NONE throughout. Equal texts have equal fingerprints.
     """
-    bitmap = _longs(band)
 
-    def in_band(cells: Column) -> Column:
-        return F.filter(cells, lambda c: F.getbit(F.element_at(bitmap, F.shiftright(c, 6) + 1), c.bitwiseAND(F.lit(63))) == 1)
+    def of_density(terms: Column, rules) -> Column:
+        every, firsts, seconds = rules
+
+        def hashes(some: Column) -> Column:
+            return F.array(*[F.substring(F.lpad(F.hex(F.xxhash64(_kept(some, r))), 16, "0"), -8, 8) for r in seconds])
 
-    def hashes(terms: Column) -> Column:
-        dense = _lexicon_hashes(terms, 0)
-        middle = _bound(_bits_are(terms, 4, 2, 0), lambda t: _lexicon_hashes(t, 6))
-        sparse = _bound(_bits_are(terms, 10, 4, 0), lambda t: _lexicon_hashes(t, 14))
-        return F.array_join(F.concat(dense, middle, sparse), "")
+        quarters = _bound(_kept(terms, every), lambda some: F.array(*[_kept(some, r) for r in firsts]))
+        return F.flatten(F.transform(quarters, hashes))
 
-    chosen = _bound(_cells(text), lambda cells: _bound(in_band(cells), lambda some: F.when(F.size(some) > 0, some).otherwise(cells)))
-    return _bound(chosen, hashes)
+    return _bound(in_band(terms_of(text), band), lambda t: F.array_join(F.concat(*[of_density(t, r) for r in lexicon_rules()]), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -150,8 +174,8 @@ def fingerprint_with_edits(docs: DataFrame, low: float = 0.0002, high: float = 0
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document's. Columns: doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text counts as empty; a lone document is its own next. Repeated rows give a row each. Extra columns are
-    left out; an empty table gives an empty table.
+    A null text counts as empty; a lone document is its own next. Repeated rows give a row each. Extra columns are left out; an empty
+    table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     band = idf_band(docs, low, high)
