@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bands (nm) where water vapour absorbs.
+#: Bands (nm) where water vapour absorbs.
 WATER = ((1340.0, 1440.0), (1800.0, 1950.0))
-#: Values in raw cubes that stand for no measurement.
+#: What stands for no measurement in raw cubes.
 IGNORED = (-1.0, 15000.0)
 EPS = 1e-6
 
@@ -62,6 +62,11 @@ def ci_green(nir: Column, green: Column) -> Column:
     return safe_div(nir, green) - 1
 
 
+def ratio_eps(a: Column, b: Column) -> Column:
+    """a / (b + a small constant), without a guard."""
+    return a / (b + F.lit(EPS))
+
+
 def psri(red: Column, blue: Column, edge: Column) -> Column:
     return safe_div(red - blue, edge)
 

@@ -146,7 +146,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_id"), F.xxhash64("text").alias("_mark"), "doc_id", *columns)
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges < 200 else F.expr(f"transform(sequence(1, {ranges - 1}), i -> i / {ranges}D)")
+    shares = F.split(F.lit(",".join(repr(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")
     found = rows.agg(F.percentile_approx("_id", shares, max(10000, 20 * ranges)).alias("b")).first()["b"] if ranges > 1 else None
     least = rows.agg(F.min("_id").alias("m")).first()["m"] if found else None
     bounds = sorted({b for b in found or [] if b > least})

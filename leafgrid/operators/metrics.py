@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafgrid.operators.ranks import running_totals
+
 
 def score_steps(scores: DataFrame, *by: str) -> DataFrame:
     """One row for each distinct score, from the highest: tp, fp, and cumulative ctp, cfp, with the totals p and n.
 
-    Rows are combined before the window, which sees distinct scores only. Round or bin scores first where nearly all differ.
+    Rows are combined first; then distinct scores are summed up in cells, so no task sees all of them.
     """
     groups = scores.groupBy(*by, "y_prob").agg(F.sum(F.col("y_true").cast("long")).alias("tp"), F.sum(1 - F.col("y_true").cast("long")).alias("fp"))
-    w = Window.partitionBy(*by).orderBy(F.col("y_prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return groups.select("*", F.sum("tp").over(w).alias("ctp"), F.sum("fp").over(w).alias("cfp"), F.sum("tp").over(every).alias("p"), F.sum("fp").over(every).alias("n"))
+    return running_totals(groups, "y_prob", ["tp", "fp"], *by).withColumnsRenamed({"c_tp": "ctp", "c_fp": "cfp", "t_tp": "p", "t_fp": "n"})
 
 
 def ranking_metrics(scores: DataFrame, *by: str) -> DataFrame:
@@ -94,3 +94,25 @@ def report_averages(report: DataFrame) -> DataFrame:
     total = F.sum("support")
     both = report.agg(means("macro", F.avg).alias("a"), means("weighted", lambda c: F.sum(F.col(c) * F.col("support")) / F.when(total > 0, total)).alias("b"))
     return both.select(F.explode(F.array("a", "b")).alias("r")).select("r.*")
+
+
+def group_metrics(scores: DataFrame, threshold: float, *by: str) -> DataFrame:
+    """Per group: n_px, n_pos, ranking metrics (null if a class is missing), F1, precision and recall of class 1 and accuracy."""
+    pred = (F.col("y_prob") >= threshold).cast("int")
+    tp, fp, fn, tn = _counts(F.col("y_true"), pred)
+    got = scores.groupBy(*by).agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    ratio = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
+    n = tp + fp + fn + tn
+    got = got.select(*by, n.alias("n_px"), (tp + fn).alias("n_pos"), _f1(tp, fp, fn).alias("f1"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(tp + tn, n).alias("accuracy"))
+    return got.join(ranking_metrics(scores, *by), list(by))
+
+
+def staleness(log: DataFrame, value: str, order: str, patience: int, *by: str) -> DataFrame:
+    """A log of epochs with stale, how many epochs ago the run was best so far, and stop, whether that is ``patience`` or more."""
+    w = Window.partitionBy(*by).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.withColumn("_epoch", F.row_number().over(w)).withColumn("_before", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    better = F.col("_before").isNull() | (F.col(value) > F.col("_before"))
+    rows = rows.withColumn("stale", (F.col("_epoch") - F.max(F.when(better, F.col("_epoch"))).over(upto)).cast("long"))
+    return rows.withColumn("stop", F.col("stale") >= patience).drop("_epoch", "_before")

@@ -5,25 +5,34 @@ Pixels are only ever aggregated or mapped; what reaches the driver is bands by b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Model
+from pyspark.ml.classification import (
+    DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, RobustScaler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafgrid.operators.cube import robust_fit
+
 #: Kinds of classifiers with the settings that aren't Spark's own.
 KINDS = {
     "logistic": (LogisticRegression, {"maxIter": 50, "regParam": 1e-3}),
     "boosted": (GBTClassifier, {"maxIter": 10, "maxDepth": 3}),
     "forest": (RandomForestClassifier, {"numTrees": 50, "maxDepth": 6}),
     "tree": (DecisionTreeClassifier, {}),
+    "perceptron": (MultilayerPerceptronClassifier, {"hidden": [16], "maxIter": 100}),
 }
 
 
@@ -73,52 +82,78 @@ def pair_correlation(pixels: DataFrame, array: str = "features", least: int = 50
     return sums.select("a", "b", n.cast("long").alias("n"), F.when((n > least) & (spread > 1e-12), (n * sab - sa * sb) / F.sqrt(spread)).alias("corr"))
 
 
-def band_candidates(bands: DataFrame, bonus: Column, snr_quantile: float = 0.15, valid_floor: float = 0.45, margin: float = 0.0) -> DataFrame:
-    """Scores and first verdicts for bands (seg, band, wl, snr, valid_ratio): z(snr) + z(valid_ratio) / 2 + bonus within a
-    segment; reason is null for bands that may be chosen."""
-    w = Window.partitionBy("seg")
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-6)
-    limits = bands.groupBy("seg").agg(F.percentile("snr", F.lit(snr_quantile)).alias("least_snr"), F.greatest(F.lit(valid_floor), F.percentile("valid_ratio", F.lit(0.25))).alias("least_valid"), F.min("wl").alias("first"), F.max("wl").alias("last"))
-    rows = bands.withColumn("score", z("snr") + 0.5 * z("valid_ratio") + bonus).join(F.broadcast(limits), "seg")  # a row for each segment
-    reason = (
-        F.when(F.col("snr").isNull() | (F.col("snr") < F.col("least_snr")), "low snr")
-        .when(F.col("valid_ratio") < F.col("least_valid"), "few valid")
-        .when((F.col("wl") < F.col("first") + margin) | (F.col("wl") > F.col("last") - margin), "margin")
-    )
-    return rows.select("seg", "band", "wl", "snr", "valid_ratio", "score", reason.alias("reason"))
+@dataclass(frozen=True)
+class Spacing:
+    """How densely bands are chosen in a segment: the length (nm) over which they go together, other lengths within windows
+    (from, to, length), the share of the length that bands keep apart, the correlation that neighbours may have, and what is left
+    out at both ends."""
+
+    length: float = 30.0
+    windows: tuple[tuple[float, float, float], ...] = ()
+    factor: float = 0.85
+    corr_limit: float = 0.99
+    margins: tuple[float, float] = (0.0, 0.0)
+
+    def at(self, wl: float) -> float:
+        return next((n for low, high, n in self.windows if low <= wl <= high), self.length)
+
 
+def band_candidates(bands: DataFrame, bonus: Column, spacings: dict[int, Spacing] | None = None, snr_quantile: float = 0.15, valid_floor: float = 0.45, anchor_quantile: float = 0.10, anchor_valid: float = 0.35) -> DataFrame:
+    """Scores and first verdicts for bands (seg, band, wl, snr, valid_ratio).
 
-def select_bands(candidates: DataFrame, pairs: DataFrame, spacing: float, corr_limit: float = 0.999, anchors: tuple[float, ...] = (), tolerance: float = 25.0) -> DataFrame:
+    score is z(snr) + z(valid_ratio) / 2 + bonus within a segment; reason is null for bands that may be chosen; anchor_ok says
+    whether a band passes the weaker limits of anchors.
+    """
+    w = Window.partitionBy("seg")  # the band dimension
+    z = lambda c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-6)
+    quantile = lambda c, q: F.percentile(c, F.lit(q)).over(w)
+    margin = lambda side: F.coalesce(F.create_map(*[F.lit(v) for s, r in (spacings or {}).items() for v in (s, r.margins[side])])[F.col("seg")], F.lit(0.0)) if spacings else F.lit(0.0)
+    near = lambda distance, side: (margin(side) > 0) & (distance < margin(side))
+    rows = bands.withColumn("score", z("snr") + 0.5 * z("valid_ratio") + bonus).withColumn("_left", near(F.col("wl") - F.min("wl").over(w), 0)).withColumn("_right", near(F.max("wl").over(w) - F.col("wl"), 1))
+    few = F.col("valid_ratio").isNull() | (F.col("valid_ratio") < F.greatest(F.lit(valid_floor), quantile("valid_ratio", 0.25)))
+    noisy = F.col("snr").isNull() | (F.col("snr") < quantile("snr", snr_quantile))
+    reason = F.when(F.col("_left") | F.col("_right"), "margin").when(few, "few valid").when(noisy, "low snr")
+    anchor = ~F.col("_left") & ~F.col("_right") & (F.col("valid_ratio") >= anchor_valid) & (F.col("snr") >= F.greatest(quantile("snr", anchor_quantile), F.lit(0.0)))
+    return rows.select("seg", "band", "wl", "snr", "valid_ratio", "score", reason.alias("reason"), F.coalesce(anchor, F.lit(False)).alias("anchor_ok"))
+
+
+def select_bands(candidates: DataFrame, pairs: DataFrame, spacings: dict[int, Spacing] | None = None, anchors: tuple[float, ...] = (), tolerance: float = 25.0) -> DataFrame:
     """Greedy choice in each segment, best score first: seg, band, wl, score, kept, reason.
 
-    The band nearest to each anchor goes first, if it lies within ``tolerance``. A further band must be at least ``spacing``
-    nm from all that are kept, and correlate no more than ``corr_limit`` with them. One task sees one segment's bands, a few
-    hundred at most; pixels don't come here.
+    The band nearest to each anchor goes first, if it lies within ``tolerance`` and passes the weaker limits. A further band must
+    keep the segment's spacing to all that are kept. Both must not correlate more than the segment allows with bands that are
+    kept within half the length around them. A segment in which no band may be chosen has none. One task sees one segment's
+    bands, a few hundred at most; pixels don't come here.
     """
 
     def choose(bands: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         corr = {(a, b): c for a, b, c in zip(links.a, links.b, links["corr"]) if not pd.isna(c)}
-        bands = bands.sort_values(["score", "band"], ascending=[False, True], na_position="last").reset_index(drop=True)
-        kept: dict[int, str] = {}
-        for target in anchors:
-            near = (bands.wl - target).abs()
-            if len(near) and near.min() <= tolerance:
-                kept.setdefault(int(near[near == near.min()].index[0]), "anchor")
-        verdicts = {}
-        for i, row in bands.iterrows():
-            if i in kept or row.reason is not None:
+        bands = bands.sort_values("band").reset_index(drop=True)
+        rule = (spacings or {}).get(int(bands.seg.iloc[0]), Spacing())
+        wl, free = bands.wl.to_numpy(), bands.reason.isna().to_numpy()
+        kept: list[int] = []
+        verdict = dict(bands.reason[~free])
+
+        def alike(i: int) -> bool:
+            pair = lambda j: corr.get((min(bands.band[i], bands.band[j]), max(bands.band[i], bands.band[j])))
+            return any((c := pair(j)) is not None and c > rule.corr_limit for j in kept if abs(wl[i] - wl[j]) < 0.5 * rule.at(wl[i]))
+
+        for target in anchors if free.any() else ():
+            i = int(np.abs(wl - target).argmin())
+            if abs(wl[i] - target) <= tolerance and bands.anchor_ok[i] and i not in kept:
+                verdict[i] = "anchor correlated" if alike(i) else "anchor"
+                kept += [i] * (verdict[i] == "anchor")
+        for i in bands[free].sort_values(["score", "band"], ascending=[False, True], na_position="last").index.tolist():
+            if i in kept:
                 continue
-            others = bands.loc[list(kept)]
-            if ((others.wl - row.wl).abs() < spacing).any():
-                verdicts[i] = "too near"
-            elif any(abs(corr.get((min(row.band, o), max(row.band, o)), 0.0)) > corr_limit for o in others.band):
-                verdicts[i] = "correlated"
+            if any(abs(wl[i] - wl[j]) < rule.factor * rule.at(wl[i]) for j in kept):
+                verdict[i] = "too near"
+            elif alike(i):
+                verdict[i] = "correlated"
             else:
-                kept[i] = "score"
-        out = bands[["seg", "band", "wl", "score"]].copy()
-        out["kept"] = [i in kept for i in out.index]
-        out["reason"] = [kept.get(i) or verdicts.get(i) or bands.reason[i] for i in out.index]
-        return out
+                verdict[i] = "score"
+                kept.append(i)
+        return bands[["seg", "band", "wl", "score"]].assign(kept=[i in kept for i in bands.index], reason=[verdict[i] for i in bands.index])
 
     side = lambda c: F.broadcast(candidates.select(F.col("seg").alias("link_seg"), F.col("band").alias(c)))  # noqa: E731  (the band dimension)
     links = pairs.join(side("a"), "a").join(side("b"), ["link_seg", "b"]).select("link_seg", "a", "b", "corr")
@@ -172,21 +207,62 @@ def unmix(pixels: DataFrame, endmembers: dict[int, list[float]], array: str = "f
     return complete(pixels, array).withColumn("shares", shares).withColumn("endmember", top)
 
 
-def classifier_scores(train: DataFrame, rows: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42, **settings) -> DataFrame:
-    """``rows`` with y_prob from a classifier fitted on ``train``; both classes weigh the same, features are scaled by median
-    and interquartile range. ``kind`` is one of KINDS; ``settings`` are the classifier's own."""
-    vector = lambda df: complete(df, array).withColumn("_v", array_to_vector(array))
-    train = vector(train.where(F.col(label).isNotNull()))
+@dataclass(frozen=True)
+class Classifier:
+    """A fitted classifier with the scaling of its features (median and interquartile range of each)."""
+
+    model: Model
+    median: list[float]
+    iqr: list[float]
+    info: dict
+
+    def scores(self, rows: DataFrame, array: str = "features") -> DataFrame:
+        """Complete ``rows`` with y_prob."""
+        scored = self.model.transform(_scaled(complete(rows, array), array, self.median, self.iqr))
+        return scored.withColumn("y_prob", vector_to_array("probability")[1]).drop("_x", "_p", "rawPrediction", "probability")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The model in Spark's own format, and beside it the scaling and what else is known, as JSON."""
+        self.model.write().overwrite().save(f"{path}/model")
+        one = [(json.dumps({"median": self.median, "iqr": self.iqr, "class": type(self.model).__name__, "info": self.info}, sort_keys=True),)]
+        spark.createDataFrame(one, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
+
+
+def load_classifier(spark: SparkSession, path: str) -> Classifier:
+    about = json.loads(spark.read.text(f"{path}/info").first().value)
+    kinds = {k.__name__: k for k in (LogisticRegressionModel, GBTClassificationModel, RandomForestClassificationModel, DecisionTreeClassificationModel, MultilayerPerceptronClassificationModel)}
+    return Classifier(kinds[about["class"]].load(f"{path}/model"), about["median"], about["iqr"], about["info"])
+
+
+def _scaled(rows: DataFrame, array: str, median: list[float], iqr: list[float]) -> DataFrame:
+    centred = F.zip_with(array, F.lit(median), lambda v, m: v - m)
+    return rows.withColumn("_x", array_to_vector(F.zip_with(centred, F.lit([s or 1.0 for s in iqr]), lambda v, s: v / s)))
+
+
+def fit_classifier(train: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42, **settings) -> Classifier:
+    """A classifier fitted on complete rows; both classes weigh the same, features are scaled by their exact median and
+    interquartile range. ``kind`` is one of KINDS; ``settings`` are the classifier's own."""
+    train = complete(train.where(F.col(label).isNotNull()), array)
     n, pos = train.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
     if not pos or pos == n:
         raise ValueError("the training rows hold one class only")
-    train = train.withColumn("_w", F.when(F.col(label) == 1, F.lit((n - pos) / pos)).otherwise(1.0)).withColumn("_y", F.col(label).cast("double"))
-    scaler = RobustScaler(inputCol="_v", outputCol="_x", withCentering=True, relativeError=1e-4).fit(train)
-    ends = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "predictionCol": "_p"}
+    fit = robust_fit(train.select(F.lit(0).alias("y"), F.lit(0).alias("x"), F.col(array).cast("array<double>").alias("f")), "f").orderBy("band").collect()
+    median, iqr = [r.median for r in fit], [r.iqr for r in fit]
     cls, own = KINDS[kind]
-    model = cls(**own | settings | ({} if kind == "logistic" else {"seed": seed}), **ends)
-    scored = model.fit(scaler.transform(train)).transform(scaler.transform(vector(rows)))
-    return scored.withColumn("y_prob", vector_to_array("probability")[1]).drop("_v", "_x", "_p", "rawPrediction", "probability")
+    own = own | settings | ({} if kind == "logistic" else {"seed": seed}) | {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p"}
+    rows = train.withColumn("_y", F.col(label).cast("double"))
+    if kind == "perceptron":  # has no weights: rows of the rarer class are repeated
+        own["layers"] = [len(median), *own.pop("hidden"), 2]
+        times = max(1, round(max(pos, n - pos) / min(pos, n - pos)))
+        rows = rows.withColumn("_w", F.explode(F.sequence(F.lit(1), F.when((F.col(label) == 1) == F.lit(pos < n - pos), times).otherwise(1))))
+    else:
+        rows, own["weightCol"] = rows.withColumn("_w", F.when(F.col(label) == 1, F.lit((n - pos) / pos)).otherwise(1.0)), "_w"
+    return Classifier(cls(**own).fit(_scaled(rows, array, median, iqr)), median, iqr, {"kind": kind, "rows": n, "settings": settings})
+
+
+def classifier_scores(train: DataFrame, rows: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42, **settings) -> DataFrame:
+    """``rows`` with y_prob from a classifier fitted on ``train``."""
+    return fit_classifier(train, kind, array, label, seed, **settings).scores(rows, array)
 
 
 def importances(train: DataFrame, array: str = "features", label: str = "y_true", seed: int = 42) -> DataFrame:

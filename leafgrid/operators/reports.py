@@ -63,6 +63,14 @@ def extents(polygons: DataFrame) -> DataFrame:
     return got.select("id", "x0", "y0", "x1", "y1", "area", (F.col("wx") / whole).alias("cx"), (F.col("wy") / whole).alias("cy"))
 
 
+def containment(found: DataFrame, scene: tuple[float, float, float, float]) -> DataFrame:
+    """Extents (x0, y0, x1, y1) with within, whether they lie in the scene's, and meets, whether they share any of its inside."""
+    x0, y0, x1, y1 = scene
+    within = (F.col("x0") >= x0) & (F.col("y0") >= y0) & (F.col("x1") <= x1) & (F.col("y1") <= y1)
+    meets = (F.col("x1") > x0) & (F.col("y1") > y0) & (F.col("x0") < x1) & (F.col("y0") < y1)
+    return found.withColumn("within", within).withColumn("meets", meets)
+
+
 def draws(n: int, ranges: dict[str, tuple[float, float]], seed: int = 42) -> list[dict[str, float]]:
     """Random settings, uniform in the logarithm of each range."""
     rng = np.random.default_rng(seed)
@@ -83,9 +91,11 @@ def search(rows: DataFrame, trials: list[dict[str, float]], kind: str = "logisti
         scored = classifier_scores(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), kind, **trials[trial])
         return trial, fold, ranking_metrics(scored.select("y_true", "y_prob")).first()["average_precision"]
 
-    with ThreadPoolExecutor(at_once) as pool:
-        found = list(pool.map(judge, [(t, f) for t in range(len(trials)) for f in range(folds)]))
-    rows.unpersist()
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            found = list(pool.map(judge, [(t, f) for t in range(len(trials)) for f in range(folds)]))
+    finally:
+        rows.unpersist()
     got = spark.createDataFrame(found, "trial int, fold int, ap double").groupBy("trial").agg(F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("std_ap"), F.max_by("fold", F.struct("ap", -F.col("fold"))).alias("best_fold"))
     settings = spark.createDataFrame(list(enumerate(trials)), "trial int, settings map<string,double>")
     return got.join(settings, "trial").orderBy(F.col("mean_ap").desc(), "trial")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import columns as C
-from leafgrid.operators import cube, metrics, models, network, reports
+from leafgrid.operators import cube, metrics, models, reports
+from leafgrid.operators.ranks import exact_quantiles, place_in_group
 from leafgrid.plans import views as V
 from leafgrid.plans.views import BANDS, CELLS, PLOTS, SCORES
 from leafgrid.sources.store import pending
@@ -149,14 +150,14 @@ def band_ratios(spark, sf):
 
 @query(f"{_MASKED} SELECT round(quantile_cont(ndvi, 0.01), 6) AS q01, round(quantile_cont(ndvi, 0.5), 6) AS q50, round(quantile_cont(ndvi, 0.99), 6) AS q99 FROM masks")
 def layer_quantiles(spark, sf):
-    q = _masked(spark, sf).agg(F.percentile("ndvi", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("q"))
+    q = exact_quantiles(_masked(spark, sf), "ndvi", [0.01, 0.5, 0.99])
     return q.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q01", "q50", "q99"))])
 
 
 @query(f"{_MASKED}, q AS (SELECT quantile_cont(ndvi, 0.02) AS a, quantile_cont(ndvi, 0.98) AS b, min(ndvi) AS lo, max(ndvi) AS hi FROM masks) SELECT y, x, round(CASE WHEN ndvi IS NOT NULL THEN least(1, greatest(0, (ndvi - a) / (b - a + 1e-6::DOUBLE))) END, 6) AS stretched, CAST(floor(CASE WHEN hi > lo THEN (ndvi - lo) / (hi - lo) * 255 ELSE 127 END) AS BIGINT) AS gray FROM masks, q")
 def stretch(spark, sf):
     m = _masked(spark, sf)
-    q = m.agg(F.percentile("ndvi", F.lit(0.02)).alias("a"), F.percentile("ndvi", F.lit(0.98)).alias("b"), F.min("ndvi").alias("lo"), F.max("ndvi").alias("hi"))
+    q = exact_quantiles(m, "ndvi", [0.0, 0.02, 0.98, 1.0]).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("lo", "a", "b", "hi"))])
     v = F.col("ndvi")
     rows = m.join(F.broadcast(q))  # one row of limits
     gray = F.when(F.col("hi") > F.col("lo"), (v - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * 255).otherwise(127)
@@ -206,34 +207,44 @@ def decorrelation(spark, sf):
     return corr.groupBy(F.col("lag").cast("long").alias("lag")).agg(F.round(F.percentile("corr", F.lit(0.5)), 6).alias("median_corr")).withColumn("delta_nm", F.round(V.STEP_NM * F.col("lag"), 6))
 
 
-@query(f"{_MASKED}, wide AS (SELECT y, x, CASE WHEN count(CASE WHEN band < 8 THEN r END) = 8 THEN 1 ELSE 0 END AS ok FROM refl GROUP BY y, x), acc AS (SELECT y, x, sum(ok) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM wide) SELECT y, x, coalesce(sum(s) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 9, false) AS box_ok FROM acc")
+#: A pixel counts as known if no more than three of its bands have no value.
+_KNOWN = "SELECT y, x, any_value(label) AS label, count(*) - count(r) <= 3 AS ok, sum(r) AS total, count(r) AS n, max(r) AS top FROM refl GROUP BY y, x"
+
+
+def _known():
+    return F.size(F.filter("refl", lambda v: v.isNull())) <= 3
+
+
+@query(f"WITH {CELLS}, wide AS ({_KNOWN}), acc AS (SELECT y, x, sum(ok::INT) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM wide) SELECT y, x, coalesce(sum(s) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 9, false) AS box_ok FROM acc")
 def box_valid(spark, sf):
-    px = V.pixels(spark, sf)
-    return cube.box_valid(px, F.forall(F.slice("refl", 1, 8), lambda v: v.isNotNull()), 1).select("y", "x", "box_ok")
+    return cube.box_valid(V.pixels(spark, sf), _known(), 1)
 
 
-@query(f"WITH {CELLS}, ok AS (SELECT y, x, max(CASE WHEN band = 0 THEN r END) AS b0, max(CASE WHEN band = 1 THEN r END) AS b1, any_value(label) AS label FROM refl GROUP BY y, x), near AS (SELECT c.y, c.x, c.label, p.b0, p.b1 FROM ok c JOIN ok p ON p.y BETWEEN c.y - 1 AND c.y + 1 AND p.x BETWEEN c.x - 1 AND c.x + 1) SELECT y, x, round(avg(b0), 6) AS mean0, round(max(b1), 6) AS max1 FROM near WHERE label < 5 GROUP BY y, x HAVING count(b0) = 9 AND count(b1) = 9")
+@query(f"WITH {CELLS}, px AS ({_KNOWN}), near AS (SELECT c.y, c.x, c.label, p.* EXCLUDE (y, x, label) FROM px c JOIN px p ON p.y BETWEEN c.y - 1 AND c.y + 1 AND p.x BETWEEN c.x - 1 AND c.x + 1) SELECT y, x, round(sum(total), 6) AS total, CAST(sum(n) AS BIGINT) AS n, round(max(top), 6) AS top FROM near WHERE label < 5 AND ok GROUP BY y, x HAVING count(*) = 9")
 def patches(spark, sf):
-    px = V.pixels(spark, sf).withColumn("features", F.slice("refl", 1, 2))
-    got = cube.patches(px, F.col("label") < 5, F.forall("features", lambda v: v.isNotNull()), 1)
-    flat = lambda c: F.flatten(F.col("patch")[c])
-    return got.select("y", "x", F.round(F.aggregate(flat(0), F.lit(0.0), lambda a, v: a + v) / 9, 6).alias("mean0"), F.round(F.array_max(flat(1)), 6).alias("max1"))
+    got = cube.patches(V.pixels(spark, sf), F.col("label") < 5, _known(), 1, "refl")
+    flat = F.filter(F.flatten(F.flatten("patch")), lambda v: v.isNotNull())
+    return got.select("y", "x", F.round(F.aggregate(flat, F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.size(flat).cast("long").alias("n"), F.round(F.array_max(flat), 6).alias("top"))
 
 
-@query(f"WITH {CELLS}, fit AS (SELECT band, quantile_cont(r, 0.5) AS med, quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS iqr FROM refl WHERE band < 6 GROUP BY band) SELECT y, x, refl.band, round((r - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS scaled FROM refl JOIN fit ON refl.band = fit.band")
+@query(f"WITH {CELLS}, fit AS (SELECT band, quantile_cont(r, 0.5) AS med, quantile_cont(r, 0.75) - quantile_cont(r, 0.25) AS iqr FROM refl GROUP BY band) SELECT y, x, refl.band, round((r - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS scaled FROM refl JOIN fit ON refl.band = fit.band")
 def robust_scale(spark, sf):
-    px = V.pixels(spark, sf).withColumn("features", F.slice("refl", 1, 6))
-    rows = cube.long_form(px, "features").join(F.broadcast(cube.robust_fit(px)), "band")  # one row for each band
-    scaled = (F.col("v") - F.col("median")) / F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr"))
-    return rows.select("y", "x", F.col("band").cast("long").alias("band"), F.round(scaled, 6).alias("scaled"))
+    px = V.pixels(spark, sf)
+    scaled = cube.robust_scale(px.select("y", "x", "refl"), cube.robust_fit(px, "refl"), "refl")
+    return cube.long_form(scaled).select("y", "x", F.col("band").cast("long").alias("band"), F.round("v", 6).alias("scaled"))
 
 
-@query(f"WITH {CELLS}, means AS (SELECT band, avg(r) AS m FROM refl WHERE band < 6 AND label < 6 GROUP BY band) SELECT y, x, refl.band, round(CASE WHEN refl.band IN (1, 4) THEN m ELSE r END, 6) AS v FROM refl JOIN means ON refl.band = means.band WHERE label >= 6")
+@query(f"WITH {CELLS}, means AS (SELECT band, avg(r) AS m FROM refl WHERE label < 6 GROUP BY band) SELECT y, x, refl.band, round(CASE WHEN refl.band IN (1, 4) THEN m ELSE r END, 6) AS v FROM refl JOIN means ON refl.band = means.band WHERE label >= 6")
 def ablate_features(spark, sf):
-    px = V.pixels(spark, sf).withColumn("features", F.slice("refl", 1, 6))
-    means = px.where("label < 6").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(6)]).alias("means"))
-    rows = px.where("label >= 6").join(F.broadcast(means)).withColumn("features", cube.ablate("features", [1, 4], F.col("means")))
-    return rows.select("y", "x", F.posexplode("features").alias("band", "v")).select("y", "x", F.col("band").cast("long").alias("band"), F.round("v", 6).alias("v"))
+    px = V.pixels(spark, sf)
+    rows = px.where("label >= 6").join(F.broadcast(_means(px.where("label < 6")))).withColumn("refl", cube.ablate("refl", [1, 4], F.col("means")))
+    return cube.long_form(rows).select("y", "x", F.col("band").cast("long").alias("band"), F.round("v", 6).alias("v"))
+
+
+def _means(pixels) -> DataFrame:
+    """One row: the mean of each band."""
+    of_band = cube.long_form(pixels).groupBy("band").agg(F.avg("v").alias("m"))
+    return of_band.agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda b: b["m"]).alias("means"))
 
 
 # Evaluation
@@ -310,9 +321,8 @@ def group_split(spark, sf):
 
 @query(f"WITH {PLOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY ((id + 42) * 2654435761) % 4294967296, id) AS k FROM plots), m AS (SELECT min(n) AS least FROM (SELECT count(*) AS n FROM plots GROUP BY class)) SELECT id, class, (k - 1) % 5 AS fold, k <= least AS kept FROM r, m")
 def folds_and_undersample(spark, sf):
-    plots = V.plots(spark, sf)
-    rows = plots.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy(C.portable_hash(F.col("id")), "id")))
-    least = plots.groupBy("class").count().agg(F.min("count").alias("least"))
+    rows = place_in_group(V.plots(spark, sf), "class", C.portable_hash(F.col("id")), "id")
+    least = rows.groupBy("class").agg(F.first("m").alias("m")).agg(F.min("m").alias("least"))  # one row for each class
     return rows.join(F.broadcast(least)).select("id", "class", ((F.col("k") - 1) % 5).cast("long").alias("fold"), (F.col("k") <= F.col("least")).alias("kept"))
 
 
@@ -372,7 +382,7 @@ def top_trials(spark, sf):
 @query("WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS b, quantile_cont(c_acctbal, 0.75) AS c FROM customer) SELECT c_mktsegment AS segment, CAST(CASE WHEN c_acctbal <= a THEN 0 WHEN c_acctbal <= b THEN 1 WHEN c_acctbal <= c THEN 2 ELSE 3 END AS BIGINT) AS quartile, count(*) AS n FROM customer, q GROUP BY ALL")
 def quartile_crosstab(spark, sf):
     rows = V.read(spark, sf, "customer")
-    q = rows.agg(F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(rows, "c_acctbal", [0.25, 0.5, 0.75])
     quartile = sum(((F.col("c_acctbal") > F.col("q")[i]).cast("long") for i in range(3)), F.lit(0).cast("long"))
     return rows.join(F.broadcast(q)).groupBy(F.col("c_mktsegment").alias("segment"), quartile.alias("quartile")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -421,10 +431,14 @@ def _segmented(spark, sf) -> DataFrame:
     return cube.segments(dry).join(F.broadcast(stats), "band").select("seg", "band", "wl", "snr", "valid_ratio")  # the band dimension
 
 
+#: By segment, for bands 32.5 nm apart: denser over the red edge, and no bands near the water windows.
+_SPACINGS = {0: models.Spacing(60.0, ((680.0, 750.0, 40.0),), 0.8, 0.999), 1: models.Spacing(70.0, (), 0.8, 0.99, (33.0, 0.0)), 2: models.Spacing(50.0, (), 0.9, 0.99, (33.0, 20.0))}
+
+
 @query()
 def select_bands(spark, sf):
-    found = models.band_candidates(_segmented(spark, sf), C.red_edge_bonus(F.col("wl")))
-    return models.select_bands(found, models.pair_correlation(V.pixels(spark, sf), "refl"), 50.0, anchors=(531.0, 570.0, 678.0, 750.0, 705.0, 782.0))
+    found = models.band_candidates(_segmented(spark, sf), C.red_edge_bonus(F.col("wl")), _SPACINGS)
+    return models.select_bands(found, models.pair_correlation(V.pixels(spark, sf), "refl"), _SPACINGS, anchors=(531.0, 570.0, 500.0, 678.0, 750.0, 705.0, 550.0, 782.0))
 
 
 @query()
@@ -476,47 +490,53 @@ def nodata_ratio(spark, sf):
     return rows.groupBy(F.col("band").cast("long").alias("band")).agg(n.alias("n_nodata"), F.round(n / F.count(F.lit(1)), 6).alias("ratio"))
 
 
-@query(f"WITH {CELLS}, lim AS (SELECT band, min(r) AS lo, max(r) AS hi FROM refl WHERE band < 4 GROUP BY band) SELECT y, x, refl.band, CAST(CASE WHEN hi = lo THEN 127 ELSE floor((r - lo) / (hi - lo) * 255 + 1e-9) END AS BIGINT) AS level FROM refl JOIN lim ON refl.band = lim.band WHERE r IS NOT NULL")
+@query(f"WITH {CELLS}, lim AS (SELECT band, min(r) AS lo, max(r) AS hi FROM refl GROUP BY band) SELECT y, x, refl.band, CAST(CASE WHEN hi = lo THEN 127 ELSE floor((r - lo) / (hi - lo) * 255 + 1e-9) END AS BIGINT) AS level FROM refl JOIN lim ON refl.band = lim.band WHERE r IS NOT NULL")
 def rescale_levels(spark, sf):
-    rows = cube.long_form(V.pixels(spark, sf).withColumn("first", F.slice("refl", 1, 4)), "first").where(F.col("v").isNotNull())
+    rows = cube.long_form(V.pixels(spark, sf)).where(F.col("v").isNotNull())
     limits = rows.groupBy("band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     level = F.when(F.col("hi") == F.col("lo"), 127).otherwise(F.floor((F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * 255 + 1e-9))
     return rows.join(F.broadcast(limits), "band").select("y", "x", F.col("band").cast("long").alias("band"), level.cast("long").alias("level"))  # one row for each band
 
 
-_CONDITIONS = {"C0": [], "C1": [0, 1], "C2": [2, 3, 4, 5]} | {f"C3_{i}": [i] for i in range(6)}
+#: Which bands give way: none, two, all others, and some one by one.
+_CONDITIONS = {"C0": [], "C1": [0, 1], "C2": list(range(2, 64))} | {f"C3_{i}": [i] for i in range(6)}
 _CASES = ", ".join(f"('{k}', {v!r}::INT[])" for k, v in _CONDITIONS.items())
 
 
 @query(
-    f"""WITH {CELLS}, f AS (SELECT vec_id, label, band, r FROM refl WHERE band < 6), ok AS (SELECT vec_id FROM f GROUP BY vec_id HAVING count(r) = 6),
-full_ AS (SELECT f.* FROM f JOIN ok ON f.vec_id = ok.vec_id), means AS (SELECT band, avg(r) AS m FROM full_ WHERE vec_id % 5 < 3 GROUP BY band), cond(condition, which) AS (VALUES {_CASES}),
-s AS (SELECT condition, vec_id, max(CASE WHEN label >= 5 THEN 1 ELSE 0 END) AS y_true, round(sum(CASE WHEN list_contains(which, full_.band) THEN m ELSE r END * (full_.band - 2.5::DOUBLE)), 6) AS y_prob FROM full_ JOIN means ON full_.band = means.band, cond WHERE vec_id % 5 >= 3 GROUP BY ALL),
-g AS (SELECT condition, y_prob, sum(y_true) AS tp, sum(1 - y_true) AS fp FROM s GROUP BY ALL),
-c AS (SELECT *, sum(tp) OVER (PARTITION BY condition ORDER BY y_prob DESC) AS ctp, sum(fp) OVER (PARTITION BY condition ORDER BY y_prob DESC) AS cfp, sum(tp) OVER (PARTITION BY condition) AS p, sum(fp) OVER (PARTITION BY condition) AS n FROM g),
-m AS (SELECT condition, sum(tp / p * ctp / (ctp + cfp)) AS ap, sum(fp / n * (ctp - tp / 2) / p) AS roc FROM c GROUP BY condition), d AS (SELECT *, max(CASE WHEN condition = 'C0' THEN ap END) OVER () AS ap0 FROM m)
-SELECT condition, round(ap, 6) AS average_precision, round(roc, 6) AS roc_auc, round(ap0 - ap, 6) AS delta, round(100 * (ap0 - ap) / ap0, 4) AS delta_percent, CASE WHEN ap0 - ap < 0.02 THEN 'none' WHEN ap0 - ap < 0.05 THEN 'weak' ELSE 'strong' END AS effect FROM d"""
+    f"""WITH {CELLS}, means AS (SELECT band, avg(r) AS m FROM refl WHERE vec_id % 5 < 3 GROUP BY band), full_ AS (SELECT refl.*, m, coalesce(r, m) AS f FROM refl JOIN means ON refl.band = means.band), cond(condition, which) AS (VALUES {_CASES}),
+	s AS (SELECT condition, vec_id, max(CASE WHEN label >= 5 THEN 1 ELSE 0 END) AS y_true, round(sum(CASE WHEN list_contains(which, full_.band) THEN m ELSE f END * (full_.band - 31.5::DOUBLE)), 6) AS y_prob FROM full_, cond WHERE vec_id % 5 >= 3 GROUP BY ALL),
+	g AS (SELECT condition, y_prob, sum(y_true) AS tp, sum(1 - y_true) AS fp FROM s GROUP BY ALL),
+	c AS (SELECT *, sum(tp) OVER (PARTITION BY condition ORDER BY y_prob DESC) AS ctp, sum(fp) OVER (PARTITION BY condition ORDER BY y_prob DESC) AS cfp, sum(tp) OVER (PARTITION BY condition) AS p, sum(fp) OVER (PARTITION BY condition) AS n FROM g),
+	m AS (SELECT condition, sum(tp / p * ctp / (ctp + cfp)) AS ap, sum(fp / n * (ctp - tp / 2) / p) AS roc FROM c GROUP BY condition), d AS (SELECT *, max(CASE WHEN condition = 'C0' THEN ap END) OVER () AS ap0 FROM m)
+	SELECT condition, round(ap, 6) AS average_precision, round(roc, 6) AS roc_auc, round(ap0 - ap, 6) AS delta, round(100 * (ap0 - ap) / ap0, 4) AS delta_percent, CASE WHEN ap0 - ap < 0.02 THEN 'none' WHEN ap0 - ap < 0.05 THEN 'weak' ELSE 'strong' END AS effect FROM d""".replace("\t", "")
 )
 def ablation_report(spark, sf):
     """What a linear score loses where features give way to their means over other pixels."""
-    px = models.complete(V.pixels(spark, sf).withColumn("features", F.slice("refl", 1, 6))).withColumn("y_true", (F.col("label") >= 5).cast("int"))
-    means = px.where("vec_id % 5 < 3").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(6)]).alias("means"))
-    predict = lambda f: F.round(sum((f[i] * (i - 2.5) for i in range(1, 6)), f[0] * -2.5), 6)
-    got = reports.ablation(px.where("vec_id % 5 >= 3").join(F.broadcast(means)), _CONDITIONS, F.col("means"), predict)  # one row of means
+    got = reports.ablation(_ablated(spark, sf), _CONDITIONS, F.col("means"), _linear)
     return _round(_round(got, "average_precision", "roc_auc", "delta"), "delta_percent", digits=4)
 
 
+def _ablated(spark, sf) -> DataFrame:
+    """Pixels of the test part with the means of the others, which also fill bands without a value."""
+    px = V.pixels(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int"))
+    rows = px.where("vec_id % 5 >= 3").join(F.broadcast(_means(px.where("vec_id % 5 < 3"))))  # one row of means
+    return rows.withColumn("features", F.zip_with("refl", "means", lambda v, m: F.coalesce(v, m)))
+
+
+def _linear(features):
+    return F.round(F.aggregate(F.transform(features, lambda v, i: v * (i - 31.5)), F.lit(0.0), lambda a, v: a + v), 6)
+
+
 @query(
-    f"""WITH {CELLS}, ok AS (SELECT y, x, max(CASE WHEN band = 0 THEN r END) AS b0, max(CASE WHEN band = 1 THEN r END) AS b1, max(CASE WHEN band = 2 THEN r END) AS b2 FROM refl GROUP BY y, x),
-near AS (SELECT c.y, c.x, c.b0 + c.b1 + c.b2 AS centre, p.b0, p.b1, p.b2 FROM ok c JOIN ok p ON p.y BETWEEN c.y - 1 AND c.y + 1 AND p.x BETWEEN c.x - 1 AND c.x + 1),
-t AS (SELECT y, x, any_value(centre) AS centre, [sum(b0), sum(b1), sum(b2)] AS totals FROM near GROUP BY y, x HAVING count(b0 + b1 + b2) = 9)
-SELECT y, x, round(centre, 6) AS centre_total, round(totals[1 + (SELECT arg_min(c, (((y * 20 + x) * 4096 + c + 42) * 2654435761) % 4294967296) FROM range(3) k(c))], 6) AS first_total FROM t"""
+    f"""WITH {CELLS}, ok AS ({_KNOWN}), near AS (SELECT c.y, c.x, p.y AS py, p.x AS px FROM ok c JOIN ok p ON p.y BETWEEN c.y - 1 AND c.y + 1 AND p.x BETWEEN c.x - 1 AND c.x + 1 WHERE p.ok), whole AS (SELECT y, x FROM near GROUP BY y, x HAVING count(*) = 9),
+t AS (SELECT n.y, n.x, r.band, sum(coalesce(r.r, 0)) AS total, sum(CASE WHEN r.y = n.y AND r.x = n.x THEN coalesce(r.r, 0) END) AS mid FROM near n JOIN whole w ON n.y = w.y AND n.x = w.x JOIN refl r ON r.y = n.py AND r.x = n.px GROUP BY n.y, n.x, r.band)
+SELECT y, x, round(sum(mid), 6) AS centre_total, round(arg_min(total, (((y * 20 + x) * 4096 + band + 42) * 2654435761) % 4294967296), 6) AS first_total FROM t GROUP BY y, x"""
 )
 def patch_controls(spark, sf):
     """Patches for two control runs of a model: the centre pixel alone, and channels out of order."""
-    px = V.pixels(spark, sf).withColumn("features", F.slice("refl", 1, 3))
-    got = cube.patches(px, F.lit(True), F.forall("features", lambda v: v.isNotNull()), 1)
-    total = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + v)
+    got = cube.patches(V.pixels(spark, sf), F.lit(True), _known(), 1, "refl")
+    total = lambda c: F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
     shuffled = reports.permuted(F.col("patch"), F.col("y") * V.WIDTH + F.col("x"))
     return got.select("y", "x", F.round(total(F.flatten(reports.centre_only(F.col("patch"), 1))), 6).alias("centre_total"), F.round(total(shuffled[0]), 6).alias("first_total"))
 
@@ -525,7 +545,7 @@ def patch_controls(spark, sf):
 def score_map(spark, sf):
     px = V.pixels(spark, sf)
     scored = px.where("label < 5").select("y", "x", _b(NIR).alias("y_prob")).where(F.col("y_prob").isNotNull())
-    return _round(network.to_map(px, scored, 0.3), "y_prob")
+    return _round(cube.to_map(px, scored, 0.3), "y_prob")
 
 
 @query(f"{_MASKED}, n AS (SELECT count(*) AS a, count(*) FILTER (WHERE veg) AS b, count(*) FILTER (WHERE veg AND label >= 5) AS c FROM masks), r AS (SELECT unnest(['all', 'vegetation', 'labelled']) AS stage, unnest([a, b, c]) AS pixels, a FROM n) SELECT stage, pixels, round(100.0::DOUBLE * pixels / a, 4) AS percent FROM r")
@@ -590,21 +610,16 @@ def search_settings(spark, sf):
 
 @query()
 def predict_map(spark, sf):
-    """A scene from reflectance to maps: all bands scaled (without a value, the median), patches, a network fitted on three fifths of the rows of pixels, and
-    every pixel with probability and class at the threshold that is best on a further fifth."""
+    """A scene from reflectance to maps: patches of all bands (without a value, the mean), a perceptron over them fitted on three fifths of the
+    rows of pixels, and every pixel with probability and class at the threshold that is best on a further fifth."""
     part = C.portable_hash(F.col("y")) % 5
-    px = V.pixels(spark, sf).select("y", "x", "label", F.col("refl").alias("features"))
-    bands = px.agg(F.max(F.size("features"))).first()[0]
-    fit = cube.robust_fit(px.where(part < 3)).agg(F.sort_array(F.collect_list(F.struct("band", "median", "iqr"))).alias("fit"))  # one entry for each band
-    scaled = F.transform("features", lambda v, i: (v - F.col("fit")[i].median) / F.when(F.col("fit")[i].iqr == 0, 1.0).otherwise(F.col("fit")[i].iqr))
-    known = F.exists("features", lambda v: v.isNotNull())  # a pixel without any value stays without
-    scaled = F.when(known, F.transform(scaled, lambda v: F.coalesce(v, F.lit(0.0)))).otherwise(F.col("features"))
-    px = px.join(F.broadcast(fit)).select("y", "x", "label", scaled.alias("features"))
+    px = _all_bands(spark, sf, part < 3)
     got = cube.patches(px, F.lit(True), F.forall("features", lambda v: v.isNotNull()), 1).join(px.select("y", "x", "label"), ["y", "x"])
-    got = got.withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("part", part).persist()
-    shape = network.Shape((bands, 3, 3), (8, 16), (3, 3), (2, 2), 16, 0.3)
-    held = got.where("part = 3")
-    net, _ = network.train(got.where("part < 3"), held, shape, rounds=5, patience=3, workers=4, batch=32)
-    score = lambda rows: rows.withColumn("y_prob", network.probability(rows, net, shape))
-    threshold = metrics.best_threshold(score(held).select("y_true", "y_prob")).first()["threshold"]
-    return network.to_map(px, score(got), threshold)
+    got = got.select("y", "x", F.flatten(F.flatten("patch")).alias("features"), (F.col("label") >= 5).cast("int").alias("y_true"))
+    scored = models.fit_classifier(got.where(part < 3), "perceptron").scores(got).select("y", "x", "y_true", "y_prob")
+    threshold = metrics.best_threshold(scored.where(part == 3).select("y_true", "y_prob")).first()["threshold"]
+    return cube.to_map(px, scored, threshold)
+
+
+# The registered queries over tables stand in a module of their own.
+from leafgrid.plans import tables  # noqa: E402, F401
