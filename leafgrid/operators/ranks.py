@@ -67,7 +67,7 @@ def _cells(rows: DataFrame, value: str, cell_rows: int) -> Column:
     if cells < 2:
         return F.lit(0)
     cells = min(cells, 5000)
-    bounds = sorted(set(rows.agg(F.percentile_approx(value, F.expr(f"transform(sequence(1, {cells - 1}), i -> i / {cells}D)"), 20 * cells)).first()[0]))
+    bounds = sorted(set(rows.agg(F.percentile_approx(value, F.expr(f"array({', '.join(f'{i / cells!r}D' for i in range(1, cells))})"), 20 * cells)).first()[0]))
     listed = F.expr(f"array({', '.join(f'{float(b)!r}D' for b in bounds)})")
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
     # Binary search for the number of bounds that are not above the value.

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from leafgrid.sources.geotiff import span
+
 #: Data type codes of the header.
 DTYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
 #: The order of the axes in the file, for each interleave.
@@ -40,17 +42,23 @@ class EnviReader(DataSourceReader):
         self.dtype = np.dtype(DTYPES[int(head["data type"])]).newbyteorder("<>"[int(head.get("byte order", 0))])
         self.axes = AXES[head["interleave"].lower()].split()
         self.offset = int(head.get("header offset", 0))
+        self.window = span(options.get("rows"), self.size["lines"]), span(options.get("columns"), self.size["samples"])
+        self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
+        ignored = options.get("ignored") or head.get("data ignore value")
+        self.ignored = [float(v) for v in str(ignored).split(",")] if ignored else []
 
     def partitions(self):
-        t, h, w = self.tile, self.size["lines"], self.size["samples"]
-        return [Tile(y, x, min(t, h - y), min(t, w - x)) for y in range(0, h, t) for x in range(0, w, t)]
+        (top, bottom), (left, right), t = *self.window, self.tile
+        return [Tile(y, x, min(t, bottom - y), min(t, right - x)) for y in range(top, bottom, t) for x in range(left, right, t)]
 
     def read(self, tile: Tile):
         cube = np.memmap(self.data, self.dtype, "r", self.offset, tuple(self.size[a] for a in self.axes))
         cube = cube.transpose([self.axes.index(a) for a in ("lines", "samples", "bands")])
-        bands = self.size["bands"]
+        bands = len(self.bands) if self.bands is not None else self.size["bands"]
         for y in range(tile.top, tile.top + tile.height):
-            row = np.ascontiguousarray(cube[y, tile.left : tile.left + tile.width], "f4")
+            row = cube[y, tile.left : tile.left + tile.width]
+            row = np.ascontiguousarray(row if self.bands is None else row[:, self.bands], "f4")
+            row[np.isin(row, np.array(self.ignored, "f4"))] = np.nan
             values = pa.ListArray.from_arrays(pa.array(np.arange(tile.width + 1, dtype="i4") * bands), pa.array(row.ravel(), from_pandas=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(tile.width, y)), pa.array(np.arange(tile.left, tile.left + tile.width)), values], ["y", "x", "dn"])
 
@@ -58,8 +66,10 @@ class EnviReader(DataSourceReader):
 class EnviSource(DataSource):
     """``spark.dataSource.register(EnviSource)``, then ``spark.read.format("envi_cube").load(header)``.
 
-    Options: data (the file of values; else the header's name with ``suffix``, .img), tile (pixels a side, 512). Both
-    files must lie where executors can open them. NaN is read as null.
+    Options: data (the file of values; else the header's name with ``suffix``, .img), tile (pixels a side, 512), bands (the
+    numbers of those to read, in order), rows and columns (from:to, without the end). Only what is asked for is read from the
+    file. Both files must lie where executors can open them. NaN is read as null, and so are the header's ignore value or those
+    of the option ignored.
     """
 
     @classmethod

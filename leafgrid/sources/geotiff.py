@@ -52,6 +52,12 @@ def read_tags(path: Path) -> tuple[str, dict[int, tuple]]:
     return order, tags
 
 
+def span(text: str | None, size: int) -> tuple[int, int]:
+    """From and to, without the end, of an option like 100:200; all of it for none."""
+    low, _, high = (text or "").partition(":")
+    return max(0, int(low or 0)), min(size, int(high or size))
+
+
 @dataclass
 class Block(InputPartition):
     """Blocks of the same place, one for each band where bands lie one after another."""
@@ -75,12 +81,15 @@ class TiffReader(DataSourceReader):
         else:
             self.rows, self.columns, self.at, self.sizes = min(t.get(STRIP_ROWS, (self.height,))[0], self.height), self.width, t[STRIPS], t[STRIP_BYTES]
         self.tiled = TILES in t
+        self.window = span(options.get("rows"), self.height), span(options.get("columns"), self.width)
         text = t.get(NODATA, (b"",))[0].decode("ascii", "ignore").strip("\0 ")
         self.nodata = float(text) if text else None
 
     def partitions(self):
         places = [(y, x) for y in range(0, self.height, self.rows) for x in range(0, self.width, self.columns)]
-        return [Block(y, x, [i + k * len(places) for k in range(self.bands)] if self.apart else [i]) for i, (y, x) in enumerate(places)]
+        (top, bottom), (left, right) = self.window
+        meets = lambda y, x: y < bottom and y + self.rows > top and x < right and x + self.columns > left
+        return [Block(y, x, [i + k * len(places) for k in range(self.bands)] if self.apart else [i]) for i, (y, x) in enumerate(places) if meets(y, x)]
 
     def _values(self, number: int, rows: int, samples: int) -> np.ndarray:
         with self.path.open("rb") as f:
@@ -96,10 +105,12 @@ class TiffReader(DataSourceReader):
         cube = np.concatenate(parts, axis=2)[:height, :width].astype("f8")
         if self.nodata is not None:
             cube[cube == self.nodata] = np.nan
-        offsets = pa.array(np.arange(width + 1, dtype="i4") * self.bands)
-        for i in range(height):
-            values = pa.ListArray.from_arrays(offsets, pa.array(cube[i].ravel(), from_pandas=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(width, block.top + i)), pa.array(np.arange(block.left, block.left + width)), values], ["y", "x", "v"])
+        (top, bottom), (left, right) = self.window
+        first, last = max(left, block.left), min(right, block.left + width)
+        offsets = pa.array(np.arange(last - first + 1, dtype="i4") * self.bands)
+        for y in range(max(top, block.top), min(bottom, block.top + height)):
+            values = pa.ListArray.from_arrays(offsets, pa.array(cube[y - block.top, first - block.left : last - block.left].ravel(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(last - first, y)), pa.array(np.arange(first, last)), values], ["y", "x", "v"])
 
 
 def encode(cube: np.ndarray, nodata: float | None = None, origin: tuple[float, float] = (0.0, 0.0), px: float = 1.0, epsg: int | None = None) -> bytes:
@@ -165,11 +176,13 @@ class TiffWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages):
-        if self.overwrite:
-            for old in self.folder.glob("tile_*.tif"):
-                old.unlink()
-        for hidden, name in (pair for m in messages if m for pair in m.files):
+        """New tiles take the place of old ones one by one; old tiles without a new one go last, so none is ever missing."""
+        new = [pair for m in messages if m for pair in m.files]
+        for hidden, name in new:
             Path(hidden).replace(name)
+        for old in self.folder.glob("tile_*.tif") if self.overwrite else ():
+            if str(old) not in {name for _, name in new}:
+                old.unlink()
 
     def abort(self, messages):
         for hidden, _ in (pair for m in messages if m for pair in m.files):
@@ -178,7 +191,7 @@ class TiffWriter(DataSourceWriter):
 
 class GeoTiffSource(DataSource):
     """``spark.dataSource.register(GeoTiffSource)``, then ``spark.read.format("geotiff").load(file)``: y, x and a value for
-    each band, null for nodata. Writing goes through :func:`write_tiles`. Paths must be open to all executors."""
+    each band, null for nodata. Options rows and columns (from:to, without the end) read the blocks of a window only. Writing goes through :func:`write_tiles`. Paths must be open to all executors."""
 
     @classmethod
     def name(cls):

@@ -1,7 +1,12 @@
-"""Cube stores: Parquet folders partitioned by tile, so that readers of a region or of a few columns skip the rest."""
+"""Cube stores: Parquet folders partitioned by tile, so that readers of a region or of a few columns skip the rest.
+
+A scene is a folder with the cube, the band dimension, attributes, and further layers by position, each a table of its own.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +43,53 @@ def append_new(rows: DataFrame, path: str, *keys: str, by: str | None = None) ->
         rows = pending(rows, old, *keys)
     writer = rows.write.mode("append")
     (writer.partitionBy(by) if by else writer).parquet(path)
+
+
+def save_band_blocks(pixels: DataFrame, path: str, block: int = 4, array: str = "dn", mode: str = "overwrite") -> None:
+    """A cube in blocks of ``block`` bands, each a folder: a reader of some bands opens their blocks only."""
+    size = F.size(array)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / block).cast("int")), lambda b: F.struct(b.alias("block"), F.slice(array, b * block + 1, F.lit(block)).alias("values")))
+    rows = pixels.where(size > 0).select("y", "x", F.explode(blocks).alias("b")).select("b.block", "y", "x", "b.values")
+    rows.repartition("block", F.floor(F.col("y") / 512)).sortWithinPartitions("block", "y", "x").write.partitionBy("block").mode(mode).parquet(path)
+
+
+def load_bands(spark: SparkSession, path: str, bands: list[int], block: int = 4) -> DataFrame:
+    """y, x, band and v of some bands, from their blocks."""
+    rows = spark.read.parquet(path).where(F.col("block").isin(sorted({b // block for b in bands})))
+    long = rows.select("y", "x", F.posexplode("values").alias("at", "v"), "block").withColumn("band", F.col("block") * block + F.col("at"))
+    return long.where(F.col("band").isin(bands)).select("y", "x", "band", "v")
+
+
+def save_scene(pixels: DataFrame, bands: DataFrame, path: str, array: str = "refl", layout: str = "pixels", tile: int = 512, **attributes) -> None:
+    """The cube (by pixels, or in blocks of bands), its bands (band, wl) and attributes, after checks.
+
+    Every pixel must have as many values as there are bands, and a position of its own.
+    """
+    n, wrong, places = pixels.agg(F.count(F.lit(1)), F.count_if(F.size(array) != bands.count()), F.count_distinct("y", "x")).first()
+    if wrong or places != n:
+        raise ValueError(f"{wrong} pixels lack bands, {n - places} have no place of their own")
+    if layout == "pixels":
+        save_cube(pixels, f"{path}/cube", tile)
+    else:
+        save_band_blocks(pixels, f"{path}/cube", array=array)
+    bands.coalesce(1).write.mode("overwrite").parquet(f"{path}/bands")
+    one = [(json.dumps({**attributes, "layout": layout, "tile": tile, "array": array}, sort_keys=True),)]
+    pixels.sparkSession.createDataFrame(one, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/attributes")
+
+
+def add_layer(layer: DataFrame, path: str, name: str, mode: str = "overwrite") -> None:
+    """A further table of a scene by position (y, x); the cube isn't written again."""
+    save_cube(layer, f"{path}/{name}", attributes_of(layer.sparkSession, path)["tile"], mode)
+
+
+def attributes_of(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/attributes").first().value)
+
+
+def load_scene(spark: SparkSession, path: str, *layers: str, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None) -> DataFrame:
+    """Pixels of a scene with the layers asked for, null where a layer has none."""
+    tile = attributes_of(spark, path)["tile"]
+    out = load_cube(spark, f"{path}/cube", rows, columns, tile)
+    for name in layers:
+        out = out.join(load_cube(spark, f"{path}/{name}", rows, columns, tile), ["y", "x"], "left")
+    return out

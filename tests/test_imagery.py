@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgrid.functions import columns as C
-from leafgrid.operators import cube, metrics
+from leafgrid.operators import cube, metrics, samples
+from leafgrid.operators.ranks import exact_quantiles, place_in_group, running_totals
 from leafgrid.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +76,52 @@ def test_threshold_of_separable_scores(spark):
     assert 0.1 <= r["threshold"] <= 0.9 and r["f1_macro"] == 1.0
 
 
+def test_exact_quantiles_narrow_down(spark):
+    rng = np.random.default_rng(8)
+    rows = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", float(v)) for v in rng.integers(0, 2, 999)] + [(None, 1e300), (None, -1e300), ("c", None), ("d", 5.0)]
+    df, at = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.013, 0.25, 0.5, 0.999, 1.0]
+    got = {r.k: r.q for r in exact_quantiles(df, "v", at, "k", most=20).collect()}
+    assert got.keys() == {"a", "b", None, "d"}
+    for k, q in got.items():
+        np.testing.assert_allclose(q, np.quantile([v for g, v in rows if g == k and v is not None], at))
+    assert exact_quantiles(df.where("k = 'c'"), "v", [0.5]).first().q == [None]
+
+
+def test_running_totals_and_places_in_cells(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(p), int(n)) for g in ("a", None) for p, n in zip(rng.permutation(500) / 7, rng.integers(0, 9, 500))]
+    df = spark.createDataFrame(rows, "g string, p double, n long")
+    want = {(g, p): (sum(m for h, q, m in rows if h == g and q >= p), sum(m for h, _, m in rows if h == g)) for g, p, _ in rows}
+    got = running_totals(df, "p", ["n"], "g", cell_rows=60)
+    assert {(r.g, r.p): (r.c_n, r.t_n) for r in got.collect()} == want
+    ranked = place_in_group(df.withColumn("id", F.monotonically_increasing_id()), "g", F.round(F.col("p") * 7).cast("long"), "id", span=500, cell_rows=60)
+    for g in ("a", None):
+        own = [r for r in ranked.collect() if r.g == g]
+        assert [r.k for r in sorted(own, key=lambda r: r.p)] == list(range(1, 501)) and {r.m for r in own} == {500}
+
+
+def test_stripes_are_spread(spark):
+    px = spark.range(101).select(F.col("id").alias("y"), F.lit(0).alias("x"))
+    assert [r.y for r in samples.stripes(px, 5).orderBy("y").collect()] == [0, 25, 50, 75, 100]
+    with pytest.raises(ValueError):
+        samples.stratified(px, "x", 1.0, "y")
+
+
+def test_touched_cells_of_polygons(spark):
+    square = [(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]
+    sliver = [(0.1, 5.1), (4.9, 5.2), (4.9, 5.3)]
+    shapes = spark.createDataFrame([(1, 7, [square]), (2, 9, [sliver])], "id long, value long, rings array<array<struct<x double, y double>>>")
+    got = {(r.y, r.x): r.value for r in cube.polygons_touched(shapes, 1.0).collect()}
+    assert got == {(y, x): 7 for y in (1, 2) for x in (1, 2)} | {(5, x): 9 for x in range(5)}
+
+
+def test_lengths_by_hand(spark):
+    curve = [(0, 10.0, 0.99), (0, 20.0, 0.97), (0, 30.0, 0.93), (1, 10.0, 0.99), (1, 20.0, 0.98), (2, 10.0, 0.5), (2, 20.0, 0.4), (3, 10.0, 0.9), (4, 10.0, 0.9), (4, 20.0, 0.96)]
+    got = {r.seg: (r.status, r.length, r.interpolated) for r in cube.decorrelation_lengths(spark.createDataFrame(curve, "seg long, delta_nm double, corr double"), [0.95]).collect()}
+    assert got[0][0] == "hit" and got[0][1] == pytest.approx(25.0) and got[0][2] == pytest.approx(25.0)
+    assert got[1] == (">=max", 20.0, None) and got[2] == ("<=min", 10.0, None) and got[3][0] == "no-data" and got[4] == ("nan", None, None)
+
+
 def _comparable(frame):
     frame = frame[sorted(frame.columns)].copy()
     for c in frame.columns:

@@ -52,20 +52,51 @@ def test_clusters_are_nearest_means(spark):
 def test_selected_bands_keep_their_distance(spark):
     rows = Q.QUERIES["select_bands"](spark, SF).collect()
     kept = [r for r in rows if r.kept]
-    assert len(rows) == Q._segmented(spark, SF).count() and len(kept) > 10
+    assert len(rows) == Q._segmented(spark, SF).count() and len(kept) > 10 and {r.seg for r in kept} == set(Q._SPACINGS)
+    apart = lambda r: Q._SPACINGS[r.seg].factor * Q._SPACINGS[r.seg].at(r.wl)
     for r in kept:
-        others = [o for o in kept if o.band != r.band and o.seg == r.seg]
-        assert r.reason == "anchor" or all(abs(o.wl - r.wl) >= 50 for o in others)
+        others = [o for o in kept if o.band != r.band and o.seg == r.seg and (o.reason == "anchor" or o.score > r.score)]
+        assert r.reason == "anchor" or all(abs(o.wl - r.wl) >= apart(r) for o in others)
     for r in rows:
         if r.reason == "too near":
-            assert any(o.seg == r.seg and abs(o.wl - r.wl) < 50 for o in kept)
+            assert any(o.seg == r.seg and abs(o.wl - r.wl) < apart(r) for o in kept)
 
 
 def test_select_bands_by_hand(spark):
-    bands = spark.createDataFrame([(0, i, 400.0 + 10 * i, s, None) for i, s in enumerate([1.0, 5.0, 4.0, 3.0, 2.0])], "seg long, band long, wl double, score double, reason string")
-    pairs = spark.createDataFrame([(1, 3, 10, -0.9995), (1, 4, 10, None)], "a long, b long, n long, corr double")
-    got = {r.band: r.reason for r in models.select_bands(bands, pairs, 20.0).collect()}
-    assert got == {1: "score", 2: "too near", 3: "correlated", 4: "score", 0: "too near"}
+    schema = "seg long, band long, wl double, score double, reason string, anchor_ok boolean"
+    rows = [(0, i, 400.0 + 10 * i, s, "few valid" if i == 6 else None, i != 5) for i, s in enumerate([1.0, 5.0, 4.0, 3.0, 2.0, 1.5, 0.0])]
+    bands = spark.createDataFrame([*rows, (1, 9, 900.0, 1.0, "low snr", True)], schema)
+    pairs = spark.createDataFrame([(1, 3, 99, 0.9995), (1, 4, 99, 0.9999), (1, 2, 99, None), (3, 6, 99, -1.0)], "a long, b long, n long, corr double")
+    rule = lambda **k: {0: models.Spacing(**{"length": 60.0, "factor": 0.3, "corr_limit": 0.999} | k)}
+    choose = lambda anchors=(), **k: {r.band: (r.kept, r.reason) for r in models.select_bands(bands, pairs, rule(**k), anchors).collect()}
+    # Spacing 18 nm; neighbours lie within 30 nm, so 1 and 4 are not compared.
+    assert choose() == {1: (True, "score"), 2: (False, "too near"), 3: (False, "correlated"), 4: (True, "score"), 5: (False, "too near"), 0: (False, "too near"), 6: (False, "few valid"), 9: (False, "low snr")}
+    # A longer length around band 4 brings band 1 into its neighbourhood.
+    assert choose(windows=((440.0, 440.0, 62.0),))[4] == (False, "correlated")
+    # Anchors: 452 is nearest to 5, which fails the weak limits; 461 is nearest to 6, which may be an anchor; 900's segment has no candidates.
+    assert [k for k, v in choose((452.0, 461.0, 900.0)).items() if v == (True, "anchor")] == [6]
+    assert choose((410.0, 430.0))[3] == (False, "correlated") and choose((410.0, 430.0))[1] == (True, "anchor")
+
+
+def test_candidates_by_hand(spark):
+    bands = spark.createDataFrame([(0, i, 400.0 + 10 * i, float(i), v) for i, v in enumerate([0.9, 0.9, 0.4, 0.9, 0.9, 0.9, 0.2, 0.9, 0.9, 0.9, 0.9])], "seg long, band long, wl double, snr double, valid_ratio double")
+    got = {r.band: r for r in models.band_candidates(bands, F.lit(0.0), {0: models.Spacing(margins=(15.0, 5.0))}).collect()}
+    assert [got[i].reason for i in range(11)] == ["margin", "margin", "few valid", None, None, None, "few valid", None, None, None, "margin"]
+    assert [got[i].anchor_ok for i in range(11)] == [False, False, True, True, True, True, False, True, True, True, False]
+    snr, valid = np.arange(11.0), np.array([0.9, 0.9, 0.4, 0.9, 0.9, 0.9, 0.2, 0.9, 0.9, 0.9, 0.9])
+    want = (snr - snr.mean()) / (snr.std() + 1e-6) + 0.5 * (valid - valid.mean()) / (valid.std() + 1e-6)
+    assert np.allclose([got[i].score for i in range(11)], want)
+
+
+def test_canonical_correlations(spark):
+    x, _, _ = _features(spark)
+    parts = []
+    for half in (x[:, :32], x[:, 32:]):
+        values, vectors = np.linalg.eigh(np.cov(half.T))
+        scores = (half - half.mean(axis=0)) @ vectors[:, ::-1][:, :3]
+        parts.append(scores / scores.std(axis=0))
+    want = np.linalg.svd(parts[0].T @ parts[1] / len(x), compute_uv=False)
+    assert np.allclose([r.value for r in Q.QUERIES["cross_components"](spark, SF).orderBy("rank").collect()], want, atol=1e-6)
 
 
 def test_classifiers_learn(spark):
