@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from .common import WORD_REGEX, materialise
 
 #: Documents of one source that a task draws from at once, and chunks whose open documents are drawn together.
-CHUNK_DOCS = 4000
-CHUNKS_AT_ONCE = 2000
+CHUNK_DOCS = 1000
+CHUNKS_AT_ONCE = 64
+#: Sources that are broadcast at most, a few numbers each; with more of them none can be hot enough to harm a join.
+MOST_SOURCES = 100_000
 #: Documents of a group that the flight leaves open; with the two that it can't settle, the landing has so many choices.
 RESERVED = 13
 _EPS = 1e-9
@@ -137,6 +139,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     chunks = F.ceil(F.col("n_docs") / CHUNK_DOCS).cast("long")
     targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", F.floor(ratio + _EPS).cast("long").alias("whole"), ratio.alias("ratio"), chunks.alias("chunks"))
+    targets = materialise(targets)
+    targets = F.broadcast(targets) if targets.count() <= MOST_SOURCES else targets
     rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source", "n_docs")
     p = F.col("ratio") - F.col("whole")
     rows = rows.withColumn("p", F.when((F.col("size") > 0) & (p > _EPS), p).otherwise(0.0)).withColumn("mark", F.xxhash64("doc_id", F.lit(5)))
@@ -147,7 +151,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     parts, at, groups = [rows.where(F.col("p") == 0.0)], rows.where(F.col("p") > 0.0), most_chunks
     while True:
         last = groups <= 1
-        drawn = at.groupBy("source", "group").applyInPandas(_draw(last), schema)
+        drawn = materialise(at.groupBy("source", "group").applyInPandas(_draw(last), schema))
         if last:
             parts.append(drawn)
             break
