@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_BYTES, ALNUM_REGEX, Words, materialise, run_bounds, sums
 
-#: Benchmarks are made by hand and small; one with more words than this is refused, as its automaton goes to all tasks.
-MOST_WORDS = 5_000_000
 #: Words of a part, when a benchmark is dealt into parts: see the README for the memory that an automaton of them takes.
 PART_WORDS = 150_000
+#: One automaton for all of a benchmark is refused beyond this.
+MOST_WORDS = PART_WORDS
 #: Stands for a null doc_id where hits are joined with documents.
 LOWEST = -(1 << 63)
 
@@ -169,7 +169,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     # Counted before anything reaches the driver; an automaton has at most three edges for each word.
     if (benchmark.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(ALNUM_REGEX)))).first()[0] or 0) > MOST_WORDS:
-        raise ValueError(f"the benchmark has more than {MOST_WORDS} words; decontaminate with parts of it in turn")
+        raise ValueError(f"the benchmark has more than {MOST_WORDS} words; see find_contamination_in_parts")
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toPandas()
     test = Benchmark(rows["i"].tolist(), [t if isinstance(t, str) else None for t in rows["t"]], window)
     shared = docs.sparkSession.sparkContext.broadcast(test)
