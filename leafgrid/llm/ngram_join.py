@@ -183,7 +183,7 @@ def _stars(doc: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.stack([nodes[out], nodes[root[out]]])
 
 
-def _postings(table: pa.Table) -> pa.Table:
+def _postings(table: pa.Table, percent: int) -> pa.Table:
     """Edges between documents that share a rare n-gram of a range, and those that the blocks found by themselves."""
     parts, edges = [], [np.zeros((2, 0), np.int64)]
     for k, d in zip(table.column("keys").to_pylist(), table.column("data").to_pylist(), strict=True):
@@ -194,7 +194,7 @@ def _postings(table: pa.Table) -> pa.Table:
     if parts:
         gram, doc, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((doc, low, gram))
-        new = _chains(gram[order], low[order], high[order], table.column("percent")[0].as_py())
+        new = _chains(gram[order], low[order], high[order], percent)
         edges.append(_stars(doc[order], new))
     a, b = np.concatenate(edges, axis=1)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -240,7 +240,7 @@ def link_near_copies(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
         mark = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
         return pa.table({"doc_id": table.column("doc_id"), "n": pa.array(n, pa.int64()), "mark": pa.array(mark, pa.binary()), "grams": pa.array(raw, pa.binary())})
 
-    sets = materialise(B.with_answers(placed, B.answer(B.ask(placed, question), reply), sets_of, "doc_id long, n long, mark binary, grams binary"))
+    sets = materialise(B.with_answers(placed, B.answer(B.ask(placed, question, plan), reply, plan), sets_of, "doc_id long, n long, mark binary, grams binary"))
     # Classes of equal sets, each stood for by its smallest doc_id; only these are compared.
     classes = sets.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("rep"))
     reps = sets.where(F.col("mark").isNotNull()).join(classes.hint("shuffle_hash"), "mark").where("doc_id = rep")
@@ -308,9 +308,8 @@ def _candidates(reps: DataFrame, plan: B.Plan, percent: int) -> DataFrame:
         own = _stars(doc, new)
         return B.rows(B.ASK, [*sent, (block % plan.ranges, block, b"", own.astype(np.int64).tobytes())])
 
-    answers = B.answer(B.ask(reps, question), reply)
-    listed = B.with_answers(reps, answers, rare, B.ASK).withColumn("percent", F.lit(percent))
-    edges = listed.groupBy("range").applyInArrow(_postings, "a long, b long")
+    answers = B.answer(B.ask(reps, question, plan), reply, plan)
+    edges = B.tell(B.ask(reps, rare, plan, answers), lambda table: _postings(table, percent), "a long, b long", plan)
     return connected_components(edges, "a", "b")
 
 

@@ -46,6 +46,9 @@ class _Stretches:
         right, wide = left, 1
         while wide < span and len(low):  # smallest of wide places, doubled, and its first and last place
             step = min(wide, span - wide)
+            if len(low) <= step:  # no text is as long as the window
+                low = low[:0]
+                break
             a, b = low[: len(low) - step], low[step:]
             first_b, last_b = b < a, b <= a
             left = np.where(first_b, left[step:], left[: len(a)])
@@ -267,8 +270,8 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             texts.append(b" ".join(said).decode("utf-8"))
         return pa.table({"doc_id": table.column("doc_id"), "text": pa.array(texts, pa.string()), "n_words": pa.array(counts_.astype(np.int64)), "n_removed": pa.array(n_removed.astype(np.int64))})
 
-    anchors = B.answer(B.ask(placed, ask_anchors), find_anchors)
-    leaves = B.answer(B.with_answers(placed, anchors, ask_leaves, B.ASK), grow)
+    anchors = B.answer(B.ask(placed, ask_anchors, plan), find_anchors, plan)
+    leaves = B.answer(B.ask(placed, ask_leaves, plan, anchors), grow, plan)
     both = anchors.withColumn("step", F.lit(1)).unionByName(leaves.withColumn("step", F.lit(2)))
     out = B.with_answers(placed, both, remove, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != B.LOWEST, F.col("doc_id")))
