@@ -1,6 +1,7 @@
 """Sources and stores by round trip: GeoTIFF, ENVI windows, scenes, files of reports; maps of scores."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -49,7 +50,7 @@ def test_scene_with_layers(spark, tmp_path):
         store.save_scene(px.union(px.limit(5).select("y", "x", F.array(F.lit(1.0)))), bands, path)
     store.save_scene(px, bands, str(tmp_path / "b"), layout="bands")
     some = store.load_bands(spark, str(tmp_path / "b" / "cube"), [5])
-    assert all("block=1" in f for f in some.inputFiles()) or "PartitionFilters: [block" in some._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*block#", some._jdf.queryExecution().toString())
     assert {(r.y, r.x): r.v for r in some.collect()} == {(y, x): 100.0 * y + 10 * x + 5 for y in range(6) for x in range(10)}
 
 
