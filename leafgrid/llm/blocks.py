@@ -55,9 +55,13 @@ def plan_for(docs: DataFrame) -> Plan:
 
 
 def in_blocks(docs: DataFrame, plan: Plan, *more) -> DataFrame:
-    """doc_id, text and more columns with the block; rows with the same doc_id share a block. Null ids become LOWEST."""
+    """doc_id, text and more columns with the block; rows with the same doc_id share a block. Null ids become LOWEST.
+
+    Rows without a doc_id are dealt by their text, as a third of all rows may be such.
+    """
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.pmod(F.xxhash64(doc_id), F.lit(plan.blocks)).cast("int").alias("block"), F.coalesce(doc_id, F.lit(LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    place = F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(F.xxhash64(doc_id))
+    return docs.select(F.pmod(place, F.lit(plan.blocks)).cast("int").alias("block"), F.coalesce(doc_id, F.lit(LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def cut(keys: np.ndarray, ranges: int) -> np.ndarray:

@@ -141,9 +141,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     Rows are dealt into ranges of doc_id with about as many rows each; the first row of each range is also sent to the
     range above, as a guest, so one shuffle is enough and no task sees all rows. Equal doc_ids follow each other by
-    their text's hash; a null doc_id comes last.
+    their text's hash. Null doc_ids come last; a third of all rows may be such, so they are spread, by 40 bits of their text's
+    hash, over numbers that are smaller than all doc_ids.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_id"), F.xxhash64("text").alias("_mark"), "doc_id", *columns)
+    spread = F.lit(LOWEST) + F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = docs.select(F.coalesce(F.col("doc_id"), spread).alias("_id"), F.xxhash64("text").alias("_mark"), "doc_id", *columns)
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
     shares = F.split(F.lit(",".join(repr(i / ranges) for i in range(1, ranges))), ",").cast("array<double>")

@@ -133,7 +133,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     A null or empty text has size 0 and is taken 0 words. A null source is a source of its own, the last. Repeated rows
     count and are drawn separately (they share chunks). Other columns are left out; an empty table gives an empty one.
     """
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    # Rows without a doc_id are dealt by their text, as a third of all rows may be such.
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(5)))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), mark.alias("mark"))
     sizes = materialise(sizes)  # the texts are read once; a few bytes for each document are kept
     targets = source_targets(sizes, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -143,7 +145,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
     targets = F.broadcast(targets) if targets.count() <= MOST_SOURCES else targets
     rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source", "n_docs")
     p = F.col("ratio") - F.col("whole")
-    rows = rows.withColumn("p", F.when((F.col("size") > 0) & (p > _EPS), p).otherwise(0.0)).withColumn("mark", F.xxhash64("doc_id", F.lit(5)))
+    rows = rows.withColumn("p", F.when((F.col("size") > 0) & (p > _EPS), p).otherwise(0.0))
     rows = rows.withColumn("group", F.pmod("mark", F.col("chunks"))).drop("ratio", "chunks")
 
     most_chunks = -(-sizes.count() // CHUNK_DOCS)

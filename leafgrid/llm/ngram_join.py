@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -244,7 +244,7 @@ def link_near_copies(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
     # Classes of equal sets, each stood for by its smallest doc_id; only these are compared.
     classes = sets.where(F.col("mark").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("rep"))
     reps = sets.where(F.col("mark").isNotNull()).join(classes.hint("shuffle_hash"), "mark").where("doc_id = rep")
-    reps = materialise(reps.select(F.pmod(F.xxhash64("rep"), F.lit(plan.blocks)).cast("int").alias("block"), "rep", "n", "grams").dropDuplicates(["rep", "n", "grams"]))
+    reps = materialise(reps.select(F.pmod(_spread_rep(), F.lit(plan.blocks)).cast("int").alias("block"), "rep", "n", "grams").dropDuplicates(["rep", "n", "grams"]))
     links = _verified(reps, _candidates(reps, plan, percent), percent)
     same = sets.where(F.col("mark").isNotNull()).select("doc_id", "mark").join(classes, "mark").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = connected_components(links.union(same), "a", "b")
@@ -335,12 +335,12 @@ def _verified(reps: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
 
     members = reps.join(candidates, F.col("rep") == F.col("node")).select("component", "rep", "n", "grams")
     groups = materialise(members.groupBy("component").agg(F.ceil(F.sum("n") / GROUP_GRAMS).cast("long").alias("chunks")))
-    members = members.join(groups, "component").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    members = members.join(groups, "component").withColumn("chunk", F.pmod(_spread_rep(), F.col("chunks")))
     base = members.select("component", "chunk", "chunks", "rep", "n", "grams", F.lit(True).alias("resident"), F.col("rep").alias("root"))
     split = groups.where("chunks > 1").count() > 0
     first = base
     if split:
-        first = first.unionByName(_abroad(base.where("chunks > 1 AND rep = component")))
+        first = first.unionByName(_abroad(_one_each(base.where("chunks > 1 AND rep = component"))))
     edges = first.groupBy("component", "chunk").applyInArrow(link(False), "a long, b long")
     if not split:
         return edges
@@ -353,11 +353,23 @@ def _verified(reps: DataFrame, candidates: DataFrame, percent: int) -> DataFrame
             largest = sizes.groupBy("component").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
             visitors = large.join(largest, "component").where("root != largest").drop("largest")
         else:
-            visitors = large.where("rep = root").join(sizes.where("size > 1").select("component", "root"), ["component", "root"], "left_semi")
+            visitors = _one_each(large.where("rep = root")).join(sizes.where("size > 1").select("component", "root"), ["component", "root"], "left_semi")
         edges = materialise(edges.union(_batched(large, visitors).groupBy("component", "chunk", "batch").applyInArrow(link(True), "a long, b long")))
     return edges
 
 
+def _spread_rep() -> Column:
+    """A hash of rep, and of the n-grams for those without a doc_id, which may be many."""
+    return F.when(F.col("rep") == B.LOWEST, F.xxhash64("grams")).otherwise(F.xxhash64("rep"))
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row for each component and rep, the one whose n-grams have the smallest hash: texts may share a doc_id."""
+    marked = rows.withColumn("turn", F.xxhash64("grams"))
+    least = marked.groupBy("component", "rep").agg(F.min("turn").alias("turn"))
+    return marked.join(least, ["component", "rep", "turn"], "left_semi").drop("turn")
+
+
 def _abroad(visitors: DataFrame) -> DataFrame:
     """Visitors in all chunks of their group but their own."""
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))

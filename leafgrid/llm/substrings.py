@@ -12,6 +12,7 @@ Stretches that can't repeat stay at home: a window is only sent if its anchor oc
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -31,8 +32,16 @@ WORD_HASH = 6
 
 
 def _by_doc(table: pa.Table) -> pa.Table:
-    """Rows by doc_id and text, so that places in the block are in the order of the contract."""
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+    """Rows by doc_id, mark and text, so that places in the block are in the order of the contract.
+
+    Rows without a doc_id are in several blocks; their mark, 31 bits of a hash of the text, orders them across blocks.
+    """
+    none = table.column("doc_id").to_numpy() == B.LOWEST
+    mark = np.zeros(len(none), np.int64)
+    for i in np.flatnonzero(none).tolist():
+        mark[i] = int.from_bytes(hashlib.blake2b((table.column("text")[i].as_py() or "").encode(), digest_size=4).digest(), "little") >> 1
+    table = table.append_column("mark", pa.array(mark))
+    return table.sort_by([("doc_id", "ascending"), ("mark", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
 
 
 class _Stretches:
@@ -181,7 +190,7 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     on the input, not on what is left. Words are compared by 48 bits of hash, all of a window's together.
 
     A null or empty text has no words. A null doc_id counts as the smallest. Rows that share a doc_id are taken one after
-    the other by their text, so of repeated rows the first stays. Each row gives a row; extra columns are left out; an
+    the other by their text (those without one by a hash of it), so of repeated rows the first stays. Each row gives a row; extra columns are left out; an
     empty table gives an empty table. ``window`` is at least 1.
     """
     plan = B.plan_for(docs)
@@ -209,7 +218,8 @@ def drop_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
         owner = np.searchsorted(words.bounds, start, side="right") - 1
         doc, place = table.column("doc_id").to_numpy()[owner], start - words.bounds[owner]
         # Rows that share a doc_id follow each other: their places go on.
-        place += _before(table.column("doc_id").to_numpy(), words.counts)[owner]
+        mark = table.column("mark").to_numpy()
+        place += ((mark << 32) + _before(table.column("doc_id").to_numpy(), mark, words.counts))[owner]
         small = len(doc) and doc.min() >= 0 and doc.max() < 1 << 32 and place.max() < 1 << 32
         doc, place = (doc.astype("<u4"), place.astype("<u4")) if small else (doc.astype("<i8"), place.astype("<i8"))
         said = words.hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_HASH]
@@ -283,11 +293,11 @@ def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - length), length)
 
 
-def _before(doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Words of earlier rows with the same doc_id, for sorted rows."""
+def _before(doc: np.ndarray, mark: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Words of earlier rows with the same doc_id and mark, for sorted rows."""
     total = np.cumsum(counts) - counts
     new = np.ones(len(doc), bool)
-    new[1:] = doc[1:] != doc[:-1]
+    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
     return total - np.maximum.accumulate(np.where(new, total, 0))
 
 

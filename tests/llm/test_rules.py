@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from test_operators import ROWS, SCHEMA, _words
 
-from leafgrid.llm import blocks, fingerprints, language_model, line_dedup, mixing, substrings
+from leafgrid.llm import blocks, fingerprints, language_model, line_dedup, mixing, ngram_join, substrings
 from leafgrid.llm.chat import escape, format_conversations
 from leafgrid.llm.decontaminate import find_contamination
 from leafgrid.llm.fingerprints import fingerprint_with_edits, idf_band, lexicon_rules
@@ -51,6 +51,50 @@ def test_hot_prefixes_change_nothing(docs, monkeypatch):
     assert _rows(drop_repeats(docs)) == want
 
 
+def test_rows_without_ids_are_dealt_by_text(spark, monkeypatch):
+    r, vocabulary = random.Random(8), [f"w{i}" for i in range(400)]
+    passage = r.choices(vocabulary, k=40)
+    texts = [" ".join([*r.choices(vocabulary, k=r.randint(0, 30)), *passage[r.randint(0, 9) :], *r.choices(vocabulary, k=30)]) for _ in range(300)]
+    texts += texts[:20] + [" ".join(f"q{i}" for i in range(80)) + e for e in ("", " x", " y")]
+    rows = [(None if i % 3 else i, t, "st"[i % 2]) for i, t in enumerate(texts)] + [(None, None, "s")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # One block, one chunk and one range don't get them all.
+    none = docs.where("doc_id IS NULL")
+    assert blocks.in_blocks(none, blocks.Plan(24, 24)).groupBy("block").count().toPandas()["count"].max() < 60
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 40)
+    monkeypatch.setattr(mixing, "CHUNK_DOCS", 40)
+    sizes, kind = [], type(docs)
+    monkeypatch.setattr(kind, "groupBy", lambda self, *by, f=kind.groupBy: (by == ("source", "group") and sizes.append(f(self, *by).count().toPandas()["count"].max()), f(self, *by))[1])
+    assert mix_sources(docs).count() == len(rows) and sizes[0] < 100
+    following = fingerprints.with_next(docs, ["text"]).collect()
+    assert Counter(x.text for x in following) == Counter(x.next_text for x in following) == Counter(t for _, t, _ in rows)
+    # The order among them is that of a hash of their text.
+    mark = lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=4).digest(), "little") >> 1
+    want, seen = Counter(), set()
+    for i, t, _ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, mark(x[1]), x[1] or "")):
+        w = (t or "").split()
+        gone = [False] * len(w)
+        for a in range(len(w) - 19):
+            k = tuple(w[a : a + 20])
+            if k in seen:
+                gone[a : a + 20] = [True] * 20
+            seen.add(k)
+        want[i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)] += 1
+    assert Counter((x.doc_id, x.n_words, x.n_removed, x.text) for x in drop_repeats(docs).collect()) == want
+
+
+@pytest.mark.parametrize("grams", [6_000_000, 400])
+def test_texts_without_ids_lose_no_link(spark, monkeypatch, grams):
+    text = lambda name, n=60, edit="": " ".join(f"{name}{i}" for i in range(n)) + edit
+    near = [(i if i % 2 else None, text("a", edit=f" e{i} f{i}")) for i in range(1, 30)] + [(i if i % 4 else None, text("b", edit=f" g{i}")) for i in range(31, 50)]
+    apart = [(i, text("c", edit=f" h{i}")) for i in range(61, 70)] + [(i, text(f"d{i}x")) for i in range(80, 84)] + [(None, text(f"k{i}x")) for i in range(9)]
+    monkeypatch.setattr(ngram_join, "GROUP_GRAMS", grams)
+    got = Counter((x.doc_id, x.component_id) for x in link_near_copies(spark.createDataFrame(near + apart, "doc_id long, text string").repartition(4)).collect())
+    # Rows without a doc_id are one document, the smallest, so all that they are linked with is one component.
+    want = Counter((i, None) for i, _ in near) + Counter((i, None if i is None else 61 if i < 70 else i) for i, _ in apart)
+    assert got == want
+
+
 @pytest.mark.parametrize("window", [1, 3, 8, 9, 33])
 def test_other_windows(docs, window):
     got, seen = {r["doc_id"]: r["n_removed"] for r in drop_repeats(docs, window).collect()}, set()
