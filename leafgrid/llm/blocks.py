@@ -16,6 +16,7 @@ about the square root of the number of ranges in bundles.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -64,9 +65,13 @@ def in_blocks(docs: DataFrame, plan: Plan, *more) -> DataFrame:
     return docs.select(F.pmod(place, F.lit(plan.blocks)).cast("int").alias("block"), F.coalesce(doc_id, F.lit(LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def range_width(ranges: int) -> int:
+    return (1 << 64) // ranges + 1
+
+
 def cut(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where sorted 64-bit keys are cut into ranges of equal width."""
-    width = (1 << 64) // ranges + 1
+    width = range_width(ranges)
     return np.concatenate([[0], np.searchsorted(keys, np.array([width * i for i in range(1, ranges)], np.uint64)), [len(keys)]]).astype(np.int64)
 
 
@@ -236,3 +241,20 @@ def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     counts = (low & 127).astype(np.int64)
     counts[counts == 127] = np.frombuffer(data, np.uint64, offset=n)
     return counts, low > 127
+
+
+def coded(keys: np.ndarray, base: int, drop: int = 0) -> bytes:
+    """Sorted keys, none below base, as steps without their low bits. The steps' bytes lie by significance, so that the shuffle
+    compresses the high ones, which are nearly all zero.
+    """
+    steps = np.diff(keys >> np.uint64(drop), prepend=np.uint64(base >> drop))
+    wide = -(-int(steps.max()).bit_length() // 8) if len(steps) else 0
+    return struct.pack("<IB", len(steps), wide) + steps.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
+
+
+def decoded(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """Keys of coded() less the base, without the dropped bits, and where they end."""
+    n, wide = struct.unpack_from("<IB", data, at)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :wide] = np.frombuffer(data, np.uint8, n * wide, at + 5).reshape(wide, n).T
+    return np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64), at + 5 + n * wide

@@ -146,34 +146,65 @@ def test_carried_columns_may_have_any_name(spark):
 
 def test_language_model_score(docs):
     learn = {i for i, *_ in ROWS if zlib.crc32(str(i).encode()) % 5 != 1}
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     said = {i: [*_words(t, True), None] for i, t, *_ in ROWS}
+    steps = {i: list(zip(["<<", "<", *w], ["<", *w], w, strict=False)) for i, w in said.items()}
     for i in learn:
         one.update(said[i])
-        two.update(zip(["<", *said[i]], said[i], strict=False))
+        two.update((v, w) for _, v, w in steps[i])
+        three.update(steps[i])
     context = lambda v: one[None] if v == "<" else one[v]
+    pairs = lambda u, v: two[u, v] if two[u, v] > 1 else 0
     mass = sum(one.values()) + 0.5 * (len(one) + 1)
     bucket = lambda n: n.bit_length()
+
+    def learned(evidence):
+        weight = {}
+        for b, ratios in evidence.items():
+            x, r = 0.5, np.array(ratios)
+            for _ in range(language_model.ROUNDS):
+                x = min(max((x * r / (x * r + 1 - x)).mean(), 1e-6), 1 - 1e-6)
+            weight[b] = x
+        return weight
+
     evidence = defaultdict(list)
     for i in learn:
-        for v, w in zip(["<", *said[i]], said[i], strict=False):
+        for _, v, w in steps[i]:
             if context(v) > 1:
                 evidence[bucket(context(v) - 1)].append((two[v, w] - 1) / (context(v) - 1) / (one[w] - 0.5) * mass)
-    weight = {}
-    for b, ratios in evidence.items():
-        x, r = 0.5, np.array(ratios)
-        for _ in range(language_model.ROUNDS):
-            x = min(max((x * r / (x * r + 1 - x)).mean(), 1e-6), 1 - 1e-6)
-        weight[b] = x
+    second = learned(evidence)
+
+    def bigram(v, w, less=0):
+        n = context(v) - less
+        x = second.get(bucket(n), 0.5) if n else 0.0
+        return x * (two[v, w] - less) / max(n, 1) + (1 - x) * (one[w] - less + 0.5) / mass
+
+    evidence = defaultdict(list)
+    for i in learn:
+        for u, v, w in steps[i]:
+            if pairs(u, v):
+                evidence[bucket(pairs(u, v) - 1)].append((three[u, v, w] - 1) / (pairs(u, v) - 1) / bigram(v, w, 1))
+    third = learned(evidence)
+    assert sum(map(len, evidence.values())) > 100
     got = {r.doc_id: r.score for r in score_texts(docs).collect()}
-    for i, words in said.items():
+    for i in said:
         want = 0.0
-        for v, w in zip(["<", *words], words, strict=False):
-            x = weight.get(bucket(context(v)), 0.5) if context(v) else 0.0
-            want += math.log10(x * two[v, w] / max(context(v), 1) + (1 - x) * (one[w] + 0.5) / mass)
+        for u, v, w in steps[i]:
+            x = third.get(bucket(pairs(u, v)), 0.5) if pairs(u, v) else 0.0
+            want += math.log10(x * three[u, v, w] / max(pairs(u, v), 1) + (1 - x) * bigram(v, w))
         assert math.isclose(got[i], want, rel_tol=1e-4), i
 
 
+@pytest.mark.parametrize("drop", [0, 14])
+def test_keys_come_back(drop):
+    keys = np.unique(np.random.default_rng(1).integers(1 << 40, 1 << 63, 3000, dtype=np.uint64))
+    data = blocks.coded(keys[:0], 5) + blocks.coded(keys, 12345, drop)
+    none, at = blocks.decoded(data)
+    got, end = blocks.decoded(data, at)
+    assert not len(none) and end == len(data)
+    assert (got + np.uint64(12345 >> drop) == keys >> np.uint64(drop)).all()
+
+
 def _term(word):
     return int(np.uint64(xxhash.xxh64(word, seed=42).intdigest()).astype(np.int64))
 
