@@ -27,8 +27,8 @@ BUCKETS, BINS, SHIFT, FINE = 48, 3200, 1920, 32
 UNIT = 1 << 30
 ROUNDS = 100
 #: Pairs and triples of words are told apart by so many bits of hash, and one more for each doubling of the ranges: about one in
-#: 20 million has the hash of another, whatever the corpus. Words are told apart by 64.
-PAIR_BITS = 45
+#: a million has the hash of another, whatever the corpus. Words are told apart by 64.
+PAIR_BITS = 41
 
 
 def _dropped(ranges: int) -> int:
@@ -246,10 +246,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
         model = seen.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(fit(scaled), "model binary")
         return F.broadcast(model.select(F.lit(0).alias("all"), F.col("model").alias(name)))
 
-    # Answers are dealt by block once for each use of them by several passes.
+    # Answers are dealt by block once; a union of tables that are dealt alike stays so.
     words = B.answer(B.ask(placed, lambda t: _Text(t, plan.ranges).ask_words_and_pairs(), plan), lambda t: _totals(t, 0, 2), plan).repartition("block")
-    triples = B.answer(B.ask(placed, lambda t, a: heard(t, a).ask_triples(), plan, words), lambda t: _totals(t, plan.ranges, 1), plan)
-    answers = words.unionByName(triples).repartition("block").withColumn("all", F.lit(0))
+    triples = B.answer(B.ask(placed, lambda t, a: heard(t, a).ask_triples(), plan, words), lambda t: _totals(t, plan.ranges, 1), plan).repartition("block")
+    answers = words.unionByName(triples).withColumn("all", F.lit(0))
     answers = answers.join(learned(words, bigrams, True, "bigrams"), "all")
     answers = answers.join(learned(answers.drop("all"), trigrams, False, "trigrams"), "all").drop("all")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
