@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,31 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
 
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of whole rows with about ``most`` bytes of text; a longer text is a piece by itself."""
+    size = np.cumsum(np.diff(utf8(batch.column(column))[1]))
+    begin, done = 0, 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(size, done + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin, done = end, int(size[end - 1])
+
+
+def spaced(words: Words, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts' words with one space between two of a text, and where each word starts and ends there."""
+    data = (FOLD_CASE if fold else KEEP_CASE)[words.raw]
+    keep = np.zeros(len(data) + 1, np.int8)
+    np.add.at(keep, words.starts, 1)
+    np.subtract.at(keep, words.ends, 1)
+    keep = np.cumsum(keep, dtype=np.int8)[:-1].astype(bool)
+    last = np.zeros(len(words.ends), bool)
+    last[words.bounds[1:][words.counts > 0] - 1] = True
+    gaps = words.ends[~last]
+    data[gaps], keep[gaps] = 32, True
+    place = np.concatenate([[0], np.cumsum(keep)])
+    return data[keep], place[words.starts], place[words.ends]
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k words in a row, by position of the first, across text bounds too."""
     n = len(hashes) - k + 1

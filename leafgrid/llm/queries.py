@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from .chat import format_conversations, read_back, unescape
 from .decontaminate import find_contamination_in_parts
 from .fingerprints import fingerprint_with_edits
+from .importance import resample
 from .language_model import score_texts
 from .line_dedup import drop_common_lines
 from .mixing import mix_sources
 from .ngram_join import link_near_copies
 from .quality import fit_quality, held_out, score_quality
+from .simhash import link_near_fingerprints
 from .substrings import drop_repeats
 from .url_filter import FALLBACK_RULES, HOST_RULES, judge_urls
+from .whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,6 +94,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(_read(spark, sf_dir, "embeddings"))
+    rows = out.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_near_fingerprints(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -102,6 +119,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_fingerprints": op9_fingerprints,
     "op10_decontaminate": op10_decontaminate,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL = {
@@ -188,6 +208,38 @@ WITH texts AS (
 )
 SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts t LEFT JOIN hits ON t.doc_id = hits.doc_id LEFT JOIN named ON t.doc_id = named.doc_id
+""",
+    "op13_importance": r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), in_docs AS (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM docs) GROUP BY ALL
+), counts AS (
+  SELECT word, sum(s) AS s, sum(t) AS t FROM (
+    SELECT word, n AS s, 0 AS t FROM in_docs UNION ALL SELECT word, 0, 1 FROM (SELECT unnest(words) AS word FROM items)
+  ) GROUP BY word
+), bytes AS (
+  SELECT word, s, t, list_transform(range(1, strlen(word) + 1), lambda i: 16 * (instr('0123456789ABCDEF', substr(hex(word), 2 * i - 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(word), 2 * i, 1)) - 1) AS bytes
+  FROM counts
+), coded AS (
+  SELECT word, s, t, xor(list_reduce(list_prepend(4294967295, bytes), lambda crc, byte:
+      list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295) % 10000 AS bucket
+  FROM bytes
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(sum(t) AS DOUBLE) + 1) * (all_s + 10000) / ((CAST(sum(s) AS DOUBLE) + 1) * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM coded, (SELECT CAST(sum(s) AS DOUBLE) AS all_s, CAST(sum(t) AS DOUBLE) AS all_t FROM counts) GROUP BY bucket, all_s, all_t
+), weights AS (
+  SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM in_docs JOIN coded USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs d LEFT JOIN weights w ON d.doc_id = w.doc_id
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
 """,
     "op7_ngram_join": r"""
 WITH RECURSIVE texts AS (

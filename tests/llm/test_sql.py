@@ -16,7 +16,7 @@ def test_query_equals_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
-    rows = lambda df: sorted(map(tuple, df[columns].astype(str).values))
+    rows = lambda df: sorted(map(tuple, df[columns].convert_dtypes().astype(str).values))
     assert sorted(got.columns) == columns and rows(got) == rows(want)
 
 
