@@ -621,5 +621,5 @@ def predict_map(spark, sf):
     return cube.to_map(px, scored, threshold)
 
 
-# The registered queries over tables stand in a module of their own.
-from leafgrid.plans import tables  # noqa: E402, F401
+# The registered queries over tables and over raster files stand in modules of their own.
+from leafgrid.plans import rasters, tables  # noqa: E402, F401

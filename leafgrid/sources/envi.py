@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leafgrid.sources.geotiff import span
+from leafgrid.sources.windows import PushedWindow, wants
 
 #: Data type codes of the header.
 DTYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
@@ -51,25 +52,31 @@ class EnviReader(DataSourceReader):
         (top, bottom), (left, right), t = *self.window, self.tile
         return [Tile(y, x, min(t, bottom - y), min(t, right - x)) for y in range(top, bottom, t) for x in range(left, right, t)]
 
-    def read(self, tile: Tile):
+    def read(self, tile: Tile | None):
+        if tile is None:  # Spark's stand-in for no partitions
+            return
         cube = np.memmap(self.data, self.dtype, "r", self.offset, tuple(self.size[a] for a in self.axes))
         cube = cube.transpose([self.axes.index(a) for a in ("lines", "samples", "bands")])
         bands = len(self.bands) if self.bands is not None else self.size["bands"]
         for y in range(tile.top, tile.top + tile.height):
             row = cube[y, tile.left : tile.left + tile.width]
-            row = np.ascontiguousarray(row if self.bands is None else row[:, self.bands], "f4")
+            row = np.array(row if self.bands is None else row[:, self.bands], "f4", order="C")  # the file's own memory is read-only
             row[np.isin(row, np.array(self.ignored, "f4"))] = np.nan
             values = pa.ListArray.from_arrays(pa.array(np.arange(tile.width + 1, dtype="i4") * bands), pa.array(row.ravel(), from_pandas=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(tile.width, y)), pa.array(np.arange(tile.left, tile.left + tile.width)), values], ["y", "x", "dn"])
 
 
+class PushedEnviReader(PushedWindow, EnviReader):
+    pass
+
+
 class EnviSource(DataSource):
     """``spark.dataSource.register(EnviSource)``, then ``spark.read.format("envi_cube").load(header)``.
 
     Options: data (the file of values; else the header's name with ``suffix``, .img), tile (pixels a side, 512), bands (the
     numbers of those to read, in order), rows and columns (from:to, without the end). Only what is asked for is read from the
     file. Both files must lie where executors can open them. NaN is read as null, and so are the header's ignore value or those
-    of the option ignored.
+    of the option ignored. With pushdown=true (see :func:`leafgrid.sources.rasters.open_raster`) filters on y and x narrow the window.
     """
 
     @classmethod
@@ -80,7 +87,7 @@ class EnviSource(DataSource):
         return "y long, x long, dn array<float>"
 
     def reader(self, schema):
-        return EnviReader(self.options)
+        return (PushedEnviReader if wants(self.options) else EnviReader)(self.options)
 
 
 def band_rows(header: dict) -> list[tuple[int, float]]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from leafgrid.operators.cube import coarsen
+from leafgrid.sources.windows import PushedWindow, wants
 
 # Tags and field types of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
@@ -98,7 +99,9 @@ class TiffReader(DataSourceReader):
         got = np.frombuffer(data if self.packed == 1 else zlib.decompress(data), self.dtype, rows * self.columns * samples).reshape(rows, self.columns, samples)
         return np.cumsum(got, axis=1, dtype=self.dtype.newbyteorder("=")) if self.predictor == 2 else got
 
-    def read(self, block: Block):
+    def read(self, block: Block | None):
+        if block is None:  # Spark's stand-in for no partitions
+            return
         height, width = min(self.rows, self.height - block.top), min(self.columns, self.width - block.left)
         rows = self.rows if self.tiled else height
         parts = [self._values(n, rows, 1 if self.apart else self.bands) for n in block.numbers]
@@ -113,6 +116,10 @@ class TiffReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(last - first, y)), pa.array(np.arange(first, last)), values], ["y", "x", "v"])
 
 
+class PushedTiffReader(PushedWindow, TiffReader):
+    pass
+
+
 def encode(cube: np.ndarray, nodata: float | None = None, origin: tuple[float, float] = (0.0, 0.0), px: float = 1.0, epsg: int | None = None) -> bytes:
     """A raster (row, column, band) as a file: strips of 64 rows, DEFLATE."""
     cube = np.ascontiguousarray(cube.astype(cube.dtype.newbyteorder("<")))
@@ -201,7 +208,7 @@ class GeoTiffSource(DataSource):
         return "y long, x long, v array<double>"
 
     def reader(self, schema):
-        return TiffReader(self.options)
+        return (PushedTiffReader if wants(self.options) else TiffReader)(self.options)
 
     def writer(self, schema, overwrite):
         return TiffWriter(self.options, overwrite)

@@ -6,12 +6,30 @@ A scene is a folder with the cube, the band dimension, attributes, and further l
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared folder (spark.checkpoint.dir), deleted when the driver ends.
+
+    A session in local mode may go without the setting; it gets a folder of its machine.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        shared = f"file://{tempfile.gettempdir()}/spark-leafgrid"
+    path = f"{shared.rstrip('/')}/leafgrid-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def save_cube(pixels: DataFrame, path: str, tile: int = 512, mode: str = "overwrite") -> None:
     """Each tile (of ``tile`` pixels a side) becomes one folder, written by one task, sorted by row and column."""
     rows = pixels.withColumn("tile_y", F.floor(F.col("y") / tile).cast("int")).withColumn("tile_x", F.floor(F.col("x") / tile).cast("int"))

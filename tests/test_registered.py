@@ -1,0 +1,20 @@
+"""Registered queries over raster files and stores against their SQL."""
+
+import duckdb
+import pytest
+
+from leafgrid.plans import queries, rasters
+
+SF = "/root/testdata/sf0.001"
+NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ == rasters.__name__ and n in queries.ORACLE_SQL]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("embeddings", "customer", "orders", "lineitem", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    rows = lambda df: sorted(map(tuple, df[columns].convert_dtypes().astype(str).values))
+    assert sorted(got.columns) == columns and rows(got) == rows(want) and len(want)
