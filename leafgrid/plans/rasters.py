@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafgrid.plans import views as V
 from leafgrid.plans.queries import query
 from leafgrid.plans.views import CELLS
+from leafgrid.sources.geotiff import write_tiles
 from leafgrid.sources.rasters import open_raster
 from leafgrid.sources.store import scratch_folder
 from leafgrid.sources.zarr import write_zarr
@@ -28,3 +29,15 @@ def zarr_bands(spark, sf):
     write_zarr(V.pixels(spark, sf), path, "reflectance", "refl", (4, 64, 16), "float64")
     cells = open_raster(spark, "zarr", path, "band in (3, 40)", array="reflectance", layout="cells")
     return cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("known"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query(
+    f"""WITH {CELLS}, px AS (SELECT y, x, max(CASE WHEN band = 12 THEN r END) AS nir FROM refl GROUP BY y, x), f(factor) AS (VALUES (2), (4), (8))
+SELECT factor::BIGINT AS factor, y // factor AS y, x // factor AS x, round(avg(nir), 6) AS mean FROM px, f GROUP BY factor, y // factor, x // factor HAVING count(nir) > 0"""
+)
+def overviews(spark, sf):
+    """The overviews of a band, made as its tiled GeoTIFF sheets are written, and read from them."""
+    path = scratch_folder(spark)
+    write_tiles(V.pixels(spark, sf).select("y", "x", F.element_at("refl", 13).alias("nir")), path, "nir", tile=64, block=16, overviews=(2, 4, 8), dtype="float64", predictor=3)
+    levels = [open_raster(spark, "geotiff", path, level=i).select(F.lit(2**i).cast("long").alias("factor"), "y", "x", F.round(F.col("v")[0], 6).alias("mean")) for i in (1, 2, 3)]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2]).where("mean IS NOT NULL")
