@@ -31,9 +31,29 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def save_cube(pixels: DataFrame, path: str, tile: int = 512, mode: str = "overwrite") -> None:
-    """Each tile (of ``tile`` pixels a side) becomes one folder, written by one task, sorted by row and column."""
+    """Each tile (of ``tile`` pixels a side) becomes one folder, written by one task, sorted by row and column.
+
+    A cube that is there is replaced when the new one is whole, so the pixels may come from it; see
+    :mod:`leafgrid.sources.snapshots` for readers that must not notice.
+    """
     rows = pixels.withColumn("tile_y", F.floor(F.col("y") / tile).cast("int")).withColumn("tile_x", F.floor(F.col("x") / tile).cast("int"))
-    rows.repartition("tile_y", "tile_x").sortWithinPartitions("tile_y", "tile_x", "y", "x").write.partitionBy("tile_y", "tile_x").mode(mode).parquet(path)
+    rows = rows.repartition("tile_y", "tile_x").sortWithinPartitions("tile_y", "tile_x", "y", "x").write.partitionBy("tile_y", "tile_x")
+    if mode != "overwrite":
+        rows.mode(mode).parquet(path)
+        return
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    jvm, conf = pixels.sparkSession._jvm, pixels.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    here, there, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
+    fs = here.getFileSystem(conf)
+    try:
+        rows.parquet(new)
+        if fs.exists(here):
+            fs.rename(here, aside)
+        if not fs.rename(there, here):
+            raise OSError(f"{new} can't be renamed to {path}")
+    finally:
+        fs.delete(there, True)
+    fs.delete(aside, True)
 
 
 def load_cube(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, tile: int = 512) -> DataFrame:
