@@ -622,4 +622,5 @@ def predict_map(spark, sf):
 
 
 # The registered queries over tables and over raster files stand in modules of their own.
-from leafgrid.plans import rasters, tables  # noqa: E402, F401
+from leafgrid.plans import tables  # noqa: E402, F401
+from leafgrid.plans import rasters  # noqa: E402, F401, I001  (after tables, whose SQL it shares)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafgrid.plans import views as V
-from leafgrid.plans.queries import query
+from leafgrid.plans.queries import ORACLE_SQL, query
 from leafgrid.plans.views import CELLS
 from leafgrid.sources.geotiff import write_tiles
 from leafgrid.sources.rasters import open_raster
+from leafgrid.sources.snapshots import Snapshots
 from leafgrid.sources.store import scratch_folder
 from leafgrid.sources.zarr import write_zarr
+from leafgrid.streaming.inbox import watch_inbox, write_once
+from leafgrid.streaming.stopping import watch_runs
 
 
 @query(f"WITH {CELLS} SELECT y, x, band, r FROM refl WHERE y BETWEEN 3 AND 17 AND x >= 5")
@@ -41,3 +44,39 @@ def overviews(spark, sf):
     write_tiles(V.pixels(spark, sf).select("y", "x", F.element_at("refl", 13).alias("nir")), path, "nir", tile=64, block=16, overviews=(2, 4, 8), dtype="float64", predictor=3)
     levels = [open_raster(spark, "geotiff", path, level=i).select(F.lit(2**i).cast("long").alias("factor"), "y", "x", F.round(F.col("v")[0], 6).alias("mean")) for i in (1, 2, 3)]
     return levels[0].unionByName(levels[1]).unionByName(levels[2]).where("mean IS NOT NULL")
+
+
+@query(f"WITH {CELLS} SELECT 'part' || (y % 3) AS cube, count(r) AS n, round(avg(r), 6) AS mean FROM refl WHERE band = 12 GROUP BY y % 3")
+def inbox_scores(spark, sf):
+    """Three cubes that come into an inbox, each scored once by a stream that is started anew after each."""
+    path, px = scratch_folder(spark), V.pixels(spark, sf)
+    for k in range(3):
+        write_zarr(px.where(F.col("y") % 3 == k), f"{path}/inbox/part{k}", "reflectance", "refl", (16, 32, 32), "float64")
+        stream = watch_inbox(spark, f"{path}/inbox", f"{path}/log", kind="zarr", array="reflectance", bands="12")
+        nir = F.element_at("v", 1)
+        score = lambda rows: rows.groupBy("cube").agg(F.count(nir).alias("n"), F.round(F.avg(nir), 6).alias("mean"))  # noqa: B023, E731
+        write_once(stream, score, f"{path}/scores", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/scores").select("cube", "n", "mean")
+
+
+@query(ORACLE_SQL["early_stop"])
+def early_stop_stream(spark, sf):
+    """The runs of the log judged by a stream, which a late row of another run closes."""
+    path, events = scratch_folder(spark), V.read(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    events.write.parquet(f"{path}/log")
+    last = events.agg(F.max("ts")).select(F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit(-1).cast(events.schema["event_id"].dataType).alias("event_id"), (F.col("max(ts)") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit(0.0).cast(events.schema["value"].dataType).alias("value"))
+    last.write.mode("append").parquet(f"{path}/log")
+    judged = watch_runs(spark.readStream.schema(events.schema).parquet(f"{path}/log"), "value", "event_id", "ts", 5, "user_id")
+    judged.writeStream.format("parquet").option("path", f"{path}/judged").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/judged").where("user_id >= 0").select("user_id", "event_id", "stale", "stop")
+
+
+@query(f"WITH {CELLS}, px AS (SELECT DISTINCT vec_id, label FROM cells), t AS (SELECT 1 AS version, label FROM px WHERE label < 5 UNION ALL SELECT 2, label FROM px UNION ALL SELECT 3, label FROM px WHERE label <> 2) SELECT CAST(version AS BIGINT) AS version, label, count(*) AS n FROM t GROUP BY ALL")
+def snapshot_versions(spark, sf):
+    """Three versions of a scene's layer, the last made from the one before, each read as it was."""
+    snaps, px = Snapshots(spark, scratch_folder(spark)), V.pixels(spark, sf).select("y", "x", "label")
+    snaps.save("labels", px.where("label < 5"))
+    snaps.save_cube("labels", px, "first", tile=16, rows_at_once=8)
+    snaps.save("labels", snaps.load_cube("labels").where("label <> 2"))
+    counts = [snaps.load("labels", v).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).cast("long").alias("version"), "label", "n") for v in (1, 2, 3)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -7,8 +7,6 @@ import gzip
 import itertools
 import json
 import math
-import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,11 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from leafgrid.sources.folders import Folder
 from leafgrid.sources.geotiff import span
 from leafgrid.sources.windows import PushedWindow, wants
 
@@ -40,46 +38,6 @@ PACK = {None: lambda d: d, "zlib": lambda d: zlib.compress(d, 1), "gzip": lambda
 UNPACK = {None: lambda d: d, "zlib": zlib.decompress, "gzip": gzip.decompress, "zstd": lambda d: _zstd().ZstdDecompressor().decompressobj().decompress(d)}
 
 
-class Folder:
-    """A folder of any file system that pyarrow opens by URI; a plain path is a local one."""
-
-    def __init__(self, path: str):
-        path = re.sub(r"^file:/*", "file:///", path) if path.startswith("file:") else path
-        self.fs, self.root = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
-
-    def at(self, name: str = "") -> str:
-        return f"{self.root}/{name}" if name else self.root
-
-    def exists(self, name: str = "") -> bool:
-        return self.fs.get_file_info(self.at(name)).type != pafs.FileType.NotFound
-
-    def read(self, name: str) -> bytes | None:
-        """The bytes of a file, or None if there is no such file."""
-        try:
-            with self.fs.open_input_stream(self.at(name), compression=None) as f:
-                return f.read()
-        except (FileNotFoundError, NotADirectoryError):
-            return None
-
-    def write(self, name: str, data: bytes) -> None:
-        """The file has its name only when it is whole."""
-        hidden = f"{os.path.dirname(self.at(name))}/.{uuid.uuid4().hex}"
-        self.fs.create_dir(os.path.dirname(hidden), recursive=True)
-        with self.fs.open_output_stream(hidden, compression=None) as f:
-            f.write(data)
-        self.fs.move(hidden, self.at(name))
-
-    def names(self, name: str = "", deep: bool = False) -> list[str]:
-        found = self.fs.get_file_info(pafs.FileSelector(self.at(name), allow_not_found=True, recursive=deep))
-        return sorted(os.path.relpath(i.path, self.at(name)) for i in found)
-
-    def move(self, old: str, new: str) -> None:
-        self.fs.move(self.at(old), self.at(new))
-
-    def remove(self, name: str) -> None:
-        self.fs.delete_dir(self.at(name))
-
-
 @dataclass(frozen=True)
 class Layout:
     """What the metadata of an array says."""
@@ -195,8 +153,11 @@ def read_layout_of(documents: dict[str, str], path: str = "array") -> Layout:
 
 def arrays(folder: Folder) -> list[str]:
     """The names of the arrays right below a group."""
-    below = [n for n in folder.names() if not n.startswith(".")]
-    return [n for n in below if folder.exists(f"{n}/{ARRAY_2}") or json.loads(folder.read(f"{n}/{NODE_3}") or b"{}").get("node_type") == "array"]
+    return [n for n in folder.names() if not n.startswith(".") and is_array(folder, n)]
+
+
+def is_array(folder: Folder, name: str) -> bool:
+    return folder.exists(f"{name}/{ARRAY_2}") or json.loads(folder.read(f"{name}/{NODE_3}") or b"{}").get("node_type") == "array"
 
 
 def group_version(folder: Folder) -> int | None:
