@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from leafgrid.plans import views as V
-from leafgrid.plans.queries import ORACLE_SQL, query
+from leafgrid.plans.queries import ORACLE_SQL, _masked, query
 from leafgrid.plans.views import CELLS
+from leafgrid.sources.catalog import join_layers, read_days, replace_months, save_layer
 from leafgrid.sources.geotiff import write_tiles
 from leafgrid.sources.rasters import open_raster
 from leafgrid.sources.snapshots import Snapshots
@@ -36,13 +40,13 @@ def zarr_bands(spark, sf):
 
 @query(
     f"""WITH {CELLS}, px AS (SELECT y, x, max(CASE WHEN band = 12 THEN r END) AS nir FROM refl GROUP BY y, x), f(factor) AS (VALUES (2), (4), (8))
-SELECT factor::BIGINT AS factor, y // factor AS y, x // factor AS x, round(avg(nir), 6) AS mean FROM px, f GROUP BY factor, y // factor, x // factor HAVING count(nir) > 0"""
+SELECT factor::BIGINT AS factor, y // factor AS y, x // factor AS x, round(avg(nir), 11) AS mean FROM px, f GROUP BY factor, y // factor, x // factor HAVING count(nir) > 0"""
 )
 def overviews(spark, sf):
     """The overviews of a band, made as its tiled GeoTIFF sheets are written, and read from them."""
     path = scratch_folder(spark)
     write_tiles(V.pixels(spark, sf).select("y", "x", F.element_at("refl", 13).alias("nir")), path, "nir", tile=64, block=16, overviews=(2, 4, 8), dtype="float64", predictor=3)
-    levels = [open_raster(spark, "geotiff", path, level=i).select(F.lit(2**i).cast("long").alias("factor"), "y", "x", F.round(F.col("v")[0], 6).alias("mean")) for i in (1, 2, 3)]
+    levels = [open_raster(spark, "geotiff", path, level=i).select(F.lit(2**i).cast("long").alias("factor"), "y", "x", F.round(F.col("v")[0], 11).alias("mean")) for i in (1, 2, 3)]
     return levels[0].unionByName(levels[1]).unionByName(levels[2]).where("mean IS NOT NULL")
 
 
@@ -80,3 +84,29 @@ def snapshot_versions(spark, sf):
     snaps.save("labels", snaps.load_cube("labels").where("label <> 2"))
     counts = [snaps.load("labels", v).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).cast("long").alias("version"), "label", "n") for v in (1, 2, 3)]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query(ORACLE_SQL["training_table"])
+def bucketed_training_table(spark, sf):
+    """The table that models are fitted on, from layers that lie in the catalog in buckets of tiles: no exchange joins them."""
+    path, px, run = scratch_folder(spark), _masked(spark, sf), uuid.uuid4().hex
+    split = px.select("y", "x", F.when(F.col("y") % 5 == 3, 2).when(F.col("y") % 5 == 4, 3).otherwise(1).alias("split_id"))
+    layers = {"refl": px.select("y", "x", "refl"), "class": px.where("label < 8").select("y", "x", (F.col("label") % 4).alias("class")), "split": split, "veg": px.where("veg").select("y", "x")}
+    for name, layer in layers.items():
+        save_layer(layer, f"{name}_{run}", 16, 16, f"{path}/{name}")
+    got = join_layers(spark, *[f"{name}_{run}" for name in layers])
+    known = F.filter("refl", lambda v: v.isNotNull())
+    return got.select("y", "x", "class", "split_id", F.round(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.size(known).cast("long").alias("n"))
+
+
+@query(
+    """WITH o AS (SELECT *, date_trunc('month', o_orderdate) AS m FROM orders), t AS (SELECT * FROM o WHERE m <> DATE '1995-03-01' OR o_orderstatus = 'F')
+SELECT CAST(m AS DATE) AS month, count(*) AS n, round(sum(CAST(o_totalprice AS DOUBLE)), 2) AS total FROM t WHERE o_orderdate BETWEEN DATE '1995-01-17' AND DATE '1995-06-11' GROUP BY m"""
+)
+def replaced_month(spark, sf):
+    """Orders by month in the catalog, of which one month is run again with other rows; then a range of days."""
+    table, orders = f"orders_{uuid.uuid4().hex}", V.read(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date")).select("o_orderkey", "o_orderstatus", "o_totalprice", "day")
+    replace_months(orders, table, "day", scratch_folder(spark))
+    replace_months(orders.where("day BETWEEN '1995-03-01' AND '1995-03-31' AND o_orderstatus = 'F'"), table, "day")
+    rows = read_days(spark, table, "day", date(1995, 1, 17), date(1995, 6, 11))
+    return rows.groupBy(F.trunc("day", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
