@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import columns as C
-from leafgrid.operators.ranks import exact_quantiles
+from leafgrid.operators.ranks import array_quantiles
 
 
 def nearest_band(bands: DataFrame, target: float) -> DataFrame:
@@ -168,7 +168,7 @@ def patches(pixels: DataFrame, centre: Column, valid: Column, r: int = 2, array:
 
 def robust_fit(pixels: DataFrame, array: str = "features") -> DataFrame:
     """Per band: median and interquartile range, exact."""
-    found = exact_quantiles(long_form(pixels, array), "v", [0.25, 0.5, 0.75], "band")
+    found = array_quantiles(pixels, array, [0.25, 0.5, 0.75])
     return found.select("band", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 

@@ -239,15 +239,28 @@ def _scaled(rows: DataFrame, array: str, median: list[float], iqr: list[float])
     return rows.withColumn("_x", array_to_vector(F.zip_with(centred, F.lit([s or 1.0 for s in iqr]), lambda v, s: v / s)))
 
 
-def fit_classifier(train: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42, **settings) -> Classifier:
-    """A classifier fitted on complete rows; both classes weigh the same, features are scaled by their exact median and
-    interquartile range. ``kind`` is one of KINDS; ``settings`` are the classifier's own."""
+def scaling(train: DataFrame, array: str = "features", label: str = "y_true") -> tuple[list[float], list[float]]:
+    """The exact median and interquartile range of each feature over the rows that a classifier would be fitted on."""
+    fit = robust_fit(complete(train.where(F.col(label).isNotNull()), array), array).orderBy("band").collect()
+    return [r.median for r in fit], [r.iqr for r in fit]
+
+
+def fit_classifier(train: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42, scale: bool | tuple[list[float], list[float]] = True, stop_on: str | None = None, **settings) -> Classifier:
+    """A classifier fitted on complete rows; both classes weigh the same, and features are scaled by their exact median and
+    interquartile range. ``kind`` is one of KINDS; ``settings`` are the classifier's own.
+
+    ``scale``: a :func:`scaling` that is known, for several fits on the same rows, or false for features that come scaled.
+    ``stop_on``: a boolean column of rows on which boosting is judged after each tree, and ends when they gain no more; they have
+    no part in the fit or the scaling. Rows are read in several passes: keep what is costly to work out.
+    """
+    if stop_on and kind != "boosted":
+        raise ValueError(f"{kind} can't be stopped early")
     train = complete(train.where(F.col(label).isNotNull()), array)
-    n, pos = train.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long"))).first()
+    fitted = train.where(~F.col(stop_on)) if stop_on else train
+    n, pos, size = fitted.agg(F.count(F.lit(1)), F.sum(F.col(label).cast("long")), F.max(F.size(array))).first()
     if not pos or pos == n:
         raise ValueError("the training rows hold one class only")
-    fit = robust_fit(train.select(F.lit(0).alias("y"), F.lit(0).alias("x"), F.col(array).cast("array<double>").alias("f")), "f").orderBy("band").collect()
-    median, iqr = [r.median for r in fit], [r.iqr for r in fit]
+    median, iqr = scale if isinstance(scale, tuple) else scaling(fitted, array, label) if scale else ([0.0] * size, [1.0] * size)
     cls, own = KINDS[kind]
     own = own | settings | ({} if kind == "logistic" else {"seed": seed}) | {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p"}
     rows = train.withColumn("_y", F.col(label).cast("double"))
@@ -257,11 +270,15 @@ def fit_classifier(train: DataFrame, kind: str = "logistic", array: str = "featu
         rows = rows.withColumn("_w", F.explode(F.sequence(F.lit(1), F.when((F.col(label) == 1) == F.lit(pos < n - pos), times).otherwise(1))))
     else:
         rows, own["weightCol"] = rows.withColumn("_w", F.when(F.col(label) == 1, F.lit((n - pos) / pos)).otherwise(1.0)), "_w"
-    return Classifier(cls(**own).fit(_scaled(rows, array, median, iqr)), median, iqr, {"kind": kind, "rows": n, "settings": settings})
+    if stop_on:
+        own["validationIndicatorCol"] = stop_on
+    model = cls(**own).fit(_scaled(rows, array, median, iqr))
+    info = {"kind": kind, "rows": n, "settings": settings} | ({"trees": model.getNumTrees} if kind in ("boosted", "forest") else {})
+    return Classifier(model, median, iqr, info)
 
 
 def classifier_scores(train: DataFrame, rows: DataFrame, kind: str = "logistic", array: str = "features", label: str = "y_true", seed: int = 42, **settings) -> DataFrame:
-    """``rows`` with y_prob from a classifier fitted on ``train``."""
+    """``rows`` with y_prob from a classifier fitted on ``train``; ``settings`` go to :func:`fit_classifier`."""
     return fit_classifier(train, kind, array, label, seed, **settings).scores(rows, array)
 
 

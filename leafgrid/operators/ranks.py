@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values that one task sorts at most to find a rank, and cells into which a span of values is cut to narrow it down.
 MOST_VALUES, CELLS = 200_000, 1024
+#: Values of a place in arrays that a task sends one by one at most, for each span.
+MOST_SENT = 20_000
 #: Rows of a cell over which running totals are summed.
 CELL_ROWS = 100_000
 
@@ -60,6 +66,89 @@ def exact_quantiles(rows: DataFrame, value: str, at: list[float], *by: str, most
     return spark.createDataFrame(out, schema)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """A row for each array; NaN for nulls, and at the end of shorter ones."""
+    lists = lists.filter(lists.is_valid())
+    sizes, values = lists.value_lengths().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        return values.reshape(len(sizes), width)
+    out = np.full((len(sizes), width), np.nan)
+    out[np.arange(width) < sizes[:, None]] = values
+    return out
+
+
+def _extent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _matrix(batch.column(0))
+        n = np.sum(~np.isnan(x), axis=0)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(np.nanmin(x[:, some], axis=0, initial=np.inf)), pa.array(np.nanmax(x[:, some], axis=0, initial=-np.inf))], ["band", "n", "lo", "hi"])
+
+
+def _counter(spans: list[tuple[int, float, float, bool]]):
+    """Counts the values of each span (place in the array, from, to, narrow) by cells; by the values themselves in narrow spans."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, low, high = (np.full((len(spans), CELLS), v) for v in (0, np.inf, -np.inf))
+        sent = [[] for _ in spans]
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            for i, (band, lo, hi, narrow) in enumerate(spans):
+                v = x[:, band] if band < x.shape[1] else x[:0, 0]
+                v = v[(v >= lo) & (v <= hi)]
+                if narrow:
+                    sent[i].append(v)
+                    continue
+                cell = np.minimum(CELLS - 1, np.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * CELLS)).astype(int)
+                n[i] += np.bincount(cell, minlength=CELLS)
+                np.minimum.at(low[i], cell, v)
+                np.maximum.at(high[i], cell, v)
+        i, cell = np.nonzero(n)
+        parts = [(i, cell, n[i, cell], low[i, cell], high[i, cell])]
+        for k, values in enumerate(sent):
+            if values:
+                v, times = np.unique(np.concatenate(values), return_counts=True)
+                parts.append((np.full(len(v), k), np.full(len(v), -1), times, v, v))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["i", "cell", "n", "lo", "hi"])
+
+    return count
+
+
+def array_quantiles(rows: DataFrame, array: str, at: list[float], most: int = MOST_SENT) -> DataFrame:
+    """Quantiles with linear interpolation of each place in arrays of numbers: band (from 0) and q, an array; nulls are left out.
+
+    As exact_quantiles, but arrays are never exploded: a pass counts the cells of all places' spans in one scan, and Spark finds
+    the cell of each rank. A task holds CELLS counts for a span and sends at most ``most`` values of a narrow one; only the cells
+    that hold a rank come to the driver. Places without a value are left out.
+    """
+    spark = rows.sparkSession
+    lists = rows.where(F.col(array).isNotNull()).select(F.col(array).cast("array<double>").alias("v"))
+    known = lists.mapInArrow(_extent, "band long, n long, lo double, hi double").groupBy("band").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known = {r.band: r for r in known.orderBy("band").collect()}
+    ranks = {(b, min(int(q * (r.n - 1)) + up, r.n - 1)): (r.lo, r.hi, 0, r.n) for b, r in known.items() for q in at for up in (0, 1)}
+    while wide := {key: s for key, s in ranks.items() if s[0] < s[1]}:
+        spans = sorted({(key[0], s[0], s[1], s[3] <= most) for key, s in wide.items()})
+        number = {span[:3]: i for i, span in enumerate(spans)}
+        asked = [(number[band, s[0], s[1]], band, rank, s[2]) for (band, rank), s in wide.items()]
+        ranks |= _narrowed(spark, lists.mapInArrow(_counter(spans), "i long, cell long, n long, lo double, hi double"), asked)
+    out = []
+    for band, r in known.items():
+        places = [q * (r.n - 1) for q in at]
+        low, high = ([ranks[band, min(int(p) + up, r.n - 1)][0] for p in places] for up in (0, 1))
+        out.append((band, [a + (b - a) * (p - int(p)) for a, b, p in zip(low, high, places, strict=True)]))
+    return spark.createDataFrame(out, "band int, q array<double>")
+
+
+def _narrowed(spark, counts: DataFrame, asked: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], tuple[float, float, int, int]]:
+    """For each (span, band, rank, values below the span) the cell with the rank: from, to, values below it and in it."""
+    cells = counts.groupBy("i", "cell", F.when(F.col("cell") < 0, F.col("lo")).alias("value")).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    upto = F.sum("n").over(Window.partitionBy("i").orderBy("lo"))  # CELLS rows a span, or the values of a narrow one
+    wanted = F.broadcast(spark.createDataFrame(asked, "i long, band long, rank long, below long"))  # two ranks for each quantile and place
+    held = cells.withColumn("upto", upto).join(wanted, "i").where("below + upto > rank AND below + upto - n <= rank")
+    return {(r.band, r.rank): (r.lo, r.hi, r.below + r.upto - r.n, r.n) for r in held.collect()}
+
+
 def _cells(rows: DataFrame, value: str, cell_rows: int) -> Column:
     """A cell for each row, so that cells have about ``cell_rows`` rows and fall as the value rises."""
     n = rows.count()

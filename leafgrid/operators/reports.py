@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions.columns import portable_hash
-from leafgrid.operators.metrics import ranking_metrics
-from leafgrid.operators.models import KINDS, classifier_scores
+from leafgrid.operators.metrics import best_threshold, ranking_metrics
+from leafgrid.operators.models import KINDS, Classifier, classifier_scores, fit_classifier, scaling
+from leafgrid.sources.store import kept
 
 
 def ablation(rows: DataFrame, conditions: dict[str, list[int]], means: Column, predict: Callable[[Column], Column], array: str = "features") -> DataFrame:
@@ -88,11 +90,12 @@ def search(rows: DataFrame, trials: list[dict[str, float]], kind: str = "logisti
 
     def judge(at: tuple[int, int]) -> tuple[int, int, float | None]:
         trial, fold = at
-        scored = classifier_scores(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), kind, **trials[trial])
+        scored = classifier_scores(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), kind, scale=scales[fold], **trials[trial])
         return trial, fold, ranking_metrics(scored.select("y_true", "y_prob")).first()["average_precision"]
 
     try:
         with ThreadPoolExecutor(at_once) as pool:
+            scales = list(pool.map(lambda fold: scaling(rows.where(F.col("fold") != fold)), range(folds)))
             found = list(pool.map(judge, [(t, f) for t in range(len(trials)) for f in range(folds)]))
     finally:
         rows.unpersist()
@@ -103,8 +106,35 @@ def search(rows: DataFrame, trials: list[dict[str, float]], kind: str = "logisti
 
 def screen(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Each kind of classifier with its ranking metrics over ``rows``, best first: model, average_precision, roc_auc."""
-    found = None
+    found, scale = None, scaling(train)
     for kind in KINDS:
-        one = classifier_scores(train, rows, kind).select(F.lit(kind).alias("model"), "y_true", "y_prob")
+        one = classifier_scores(train, rows, kind, scale=scale).select(F.lit(kind).alias("model"), "y_true", "y_prob")
         found = one if found is None else found.unionByName(one)
     return ranking_metrics(found, "model").orderBy(F.col("average_precision").desc(), "model")
+
+
+def train_by_folds(rows: DataFrame, fold: Column, folds: int, stop: Column | None = None, kind: str = "boosted", at_once: int = 3, **settings) -> tuple[Classifier, float, DataFrame]:
+    """A classifier of all rows (features, y_true), the threshold of best macro-F1, and the scores that it comes from.
+
+    Each row is scored once, by a model of the other folds (``fold``, from 0 to ``folds`` - 1), whose scaling and class weights come
+    from these alone; the threshold is the best one over all such scores. ``stop`` says which rows of the training folds boosting
+    is judged on, to end early. The model of all rows grows as many trees as the folds' did in the mean, for want of rows to
+    judge it on. Rows that lack features or a label are left out. Fits run as Spark jobs, some at once.
+    """
+    rows = rows.withColumn("_fold", fold.cast("int")).withColumn("_stop", stop if stop is not None else F.lit(False)).persist()
+    stop_on = "_stop" if stop is not None else None
+
+    def fit(k: int) -> Classifier:
+        return fit_classifier(rows.where(F.col("_fold") != k), kind, stop_on=stop_on, **settings)
+
+    try:
+        with ThreadPoolExecutor(at_once) as pool:
+            models = list(pool.map(fit, range(folds)))
+        parts = [m.scores(rows.where(F.col("_fold") == k)).withColumn("trees", F.lit(m.info.get("trees"))) for k, m in enumerate(models)]
+        scores = kept(reduce(DataFrame.unionByName, parts).where(F.col("y_true").isNotNull()).withColumnRenamed("_fold", "fold").drop("_stop"))
+        threshold = best_threshold(scores.select("y_true", "y_prob")).first()["threshold"]
+        if stop is not None:
+            settings["maxIter"] = max(1, round(sum(m.info["trees"] for m in models) / folds))
+        return fit_classifier(rows, kind, **settings), threshold, scores
+    finally:
+        rows.unpersist()

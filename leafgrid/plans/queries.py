@@ -12,7 +12,7 @@ from leafgrid.operators import cube, metrics, models, reports
 from leafgrid.operators.ranks import exact_quantiles, place_in_group
 from leafgrid.plans import views as V
 from leafgrid.plans.views import BANDS, CELLS, PLOTS, SCORES
-from leafgrid.sources.store import pending
+from leafgrid.sources.store import kept, pending
 from leafgrid.streaming.windows import tumbling_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,7 +416,7 @@ def event_windows(spark, sf):
 def _all_bands(spark, sf, fit=None) -> DataFrame:
     """Pixels with every band as features; a band without a value has its mean over the pixels that meet ``fit``, or over all."""
     px = V.pixels(spark, sf).select("y", "x", "label", F.col("refl").alias("features"))
-    return models.fill(px, px if fit is None else px.where(fit))
+    return kept(models.fill(px, px if fit is None else px.where(fit)))
 
 
 @query(f"WITH {CELLS} SELECT a.band AS a, b.band AS b, count(CASE WHEN a.r IS NOT NULL AND b.r IS NOT NULL THEN 1 END) AS n, round(covar_pop(a.r, b.r) / (stddev_pop(CASE WHEN b.r IS NOT NULL THEN a.r END) * stddev_pop(CASE WHEN a.r IS NOT NULL THEN b.r END)), 6) AS corr FROM refl a JOIN refl b ON a.vec_id = b.vec_id AND a.band < b.band GROUP BY a.band, b.band")
@@ -476,7 +476,8 @@ def classifier_metrics(spark, sf):
     part = C.portable_hash(F.col("y")) % 5
     px = _all_bands(spark, sf, part < 3).withColumn("y_true", (F.col("label") >= 5).cast("int")).withColumn("split", F.when(part < 3, "train").when(part == 3, "validation").otherwise("test"))
     train = px.where("split = 'train'")
-    scored = [models.classifier_scores(train, px, kind).select(F.lit(kind).alias("model"), "split", "y_true", "y_prob") for kind in ("logistic", "boosted")]
+    scale = models.scaling(train)
+    scored = [models.classifier_scores(train, px, kind, scale=scale).select(F.lit(kind).alias("model"), "split", "y_true", "y_prob") for kind in ("logistic", "boosted")]
     return metrics.ranking_metrics(scored[0].unionByName(scored[1]), "model", "split")
 
 
@@ -608,15 +609,25 @@ def search_settings(spark, sf):
     return reports.search(rows, reports.draws(4, {"regParam": (1e-4, 1.0), "elasticNetParam": (0.01, 1.0)}))
 
 
+@query()
+def out_of_fold(spark, sf):
+    """Boosted trees by folds of rows of pixels, each stopped early on every fourth row of the others: every pixel's score by a model
+    that hasn't seen it, and its class at the threshold that is best over all of them. The means that fill bands are over all folds."""
+    rows = _all_bands(spark, sf).withColumn("y_true", (F.col("label") >= 5).cast("int"))
+    _, threshold, scores = reports.train_by_folds(rows, C.portable_hash(F.col("y")) % 3, 3, C.portable_hash(F.col("y"), 7) % 4 == 0, maxIter=20)
+    return scores.select("y", "x", "fold", "trees", "y_true", "y_prob", (F.col("y_prob") >= threshold).cast("int").alias("class"))
+
+
 @query()
 def predict_map(spark, sf):
     """A scene from reflectance to maps: patches of all bands (without a value, the mean), a perceptron over them fitted on three fifths of the
     rows of pixels, and every pixel with probability and class at the threshold that is best on a further fifth."""
     part = C.portable_hash(F.col("y")) % 5
     px = _all_bands(spark, sf, part < 3)
-    got = cube.patches(px, F.lit(True), F.forall("features", lambda v: v.isNotNull()), 1).join(px.select("y", "x", "label"), ["y", "x"])
-    got = got.select("y", "x", F.flatten(F.flatten("patch")).alias("features"), (F.col("label") >= 5).cast("int").alias("y_true"))
-    scored = models.fit_classifier(got.where(part < 3), "perceptron").scores(got).select("y", "x", "y_true", "y_prob")
+    scaled = cube.robust_scale(px, cube.robust_fit(px.where(part < 3)))  # bands, before patches repeat them
+    got = cube.patches(scaled, F.lit(True), F.forall("features", lambda v: v.isNotNull()), 1).join(px.select("y", "x", "label"), ["y", "x"])
+    got = kept(got.select("y", "x", F.flatten(F.flatten("patch")).alias("features"), (F.col("label") >= 5).cast("int").alias("y_true")))
+    scored = kept(models.fit_classifier(got.where(part < 3), "perceptron", scale=False).scores(got).select("y", "x", "y_true", "y_prob"))
     threshold = metrics.best_threshold(scored.where(part == 3).select("y_true", "y_prob")).first()["threshold"]
     return cube.to_map(px, scored, threshold)
 

@@ -30,6 +30,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows from a Parquet table in the cluster's shared folder: what several passes read is worked out once."""
+    path = scratch_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def save_cube(pixels: DataFrame, path: str, tile: int = 512, mode: str = "overwrite") -> None:
     """Each tile (of ``tile`` pixels a side) becomes one folder, written by one task, sorted by row and column.
 
