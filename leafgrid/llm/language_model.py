@@ -27,8 +27,8 @@ BUCKETS, BINS, SHIFT, FINE = 48, 3200, 1920, 32
 UNIT = 1 << 30
 ROUNDS = 100
 #: Pairs and triples of words are told apart by so many bits of hash, and one more for each doubling of the ranges: about one in
-#: a million has the hash of another, whatever the corpus. Words are told apart by 64.
-PAIR_BITS = 41
+#: 20 million has the hash of another, whatever the corpus. Words are told apart by 64.
+PAIR_BITS = 45
 
 
 def _dropped(ranges: int) -> int:
