@@ -166,6 +166,14 @@ def patches(pixels: DataFrame, centre: Column, valid: Column, r: int = 2, array:
     return spread.groupBy("ty", "tx").applyInArrow(cut, "y long, x long, patch array<array<array<double>>>")
 
 
+def patches_of_split(pixels: DataFrame, split: int, valid: Column, r: int = 2, array: str = "features", column: str = "split_id", tile: int = 32) -> DataFrame:
+    """Patches around the pixels of one split; pixels of other splits may lie in them. A split that gives no patch is an error."""
+    found = patches(pixels, F.col(column) == split, valid, r, array, tile)
+    if found.limit(1).count() == 0:
+        raise ValueError(f"no pixel with {column} {split} has a whole patch")
+    return found
+
+
 def robust_fit(pixels: DataFrame, array: str = "features") -> DataFrame:
     """Per band: median and interquartile range, exact."""
     found = array_quantiles(pixels, array, [0.25, 0.5, 0.75])

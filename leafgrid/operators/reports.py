@@ -104,6 +104,19 @@ def search(rows: DataFrame, trials: list[dict[str, float]], kind: str = "logisti
     return got.join(settings, "trial").orderBy(F.col("mean_ap").desc(), "trial")
 
 
+def transposed(report: DataFrame, names: str, into: str = "column") -> DataFrame:
+    """A small report turned over: a row for each of its numeric columns, and a column for each of its rows, named by ``names``.
+
+    Names must be there once each; they are read by the driver, as columns need them.
+    """
+    columns = [c for c in report.columns if c != names]
+    found = [r[0] for r in report.select(F.col(names).cast("string")).orderBy(names).limit(1001).collect()]
+    if len(found) > 1000 or len(set(found)) < len(found) or None in found:
+        raise ValueError(f"{names} must name at most 1000 rows, each once")
+    long = report.select(F.col(names).cast("string").alias("_name"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(["_name"], columns, into, "_value")
+    return long.groupBy(into).pivot("_name", found).agg(F.first("_value"))
+
+
 def screen(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Each kind of classifier with its ranking metrics over ``rows``, best first: model, average_precision, roc_auc."""
     found, scale = None, scaling(train)

@@ -23,6 +23,39 @@ def stratified(rows: DataFrame, by: str, share: float, key: str = "id", seed: in
     return place_in_group(rows, by, portable_hash(F.col(key), seed), key).withColumn("train", F.col("k") <= F.floor(F.col("m") * share)).drop("k", "m")
 
 
+def capped(rows: DataFrame, n: int, key: Column, *ties: str, span: int = 1 << 32, few: int = 10_000) -> DataFrame:
+    """The ``n`` rows with the smallest ``key`` (a hash in [0, span), spread evenly), and of equal ones those smallest in ``ties``.
+
+    The key up to which rows are in is narrowed down by counts of 1,024 cells of the range that holds it; only the rows of the last
+    cell, about ``few``, are sorted. So nothing of the sample's size goes through one task or the driver. Rows without a key
+    are left out; a table of no more than ``n`` rows stays whole.
+    """
+    rows = rows.withColumn("_key", key).where("_key IS NOT NULL")
+    low, width, below, inside = 0, span, 0, rows.count()
+    if n >= inside:
+        return rows.drop("_key")
+    while inside > few and width > 1:
+        side = -(-width // 1024)
+        cells = rows.where(F.col("_key").between(low, low + width - 1)).groupBy(F.floor((F.col("_key") - low) / side).alias("cell")).count()
+        for r in cells.orderBy("cell").collect():  # at most 1,024
+            if below <= n < below + r["count"]:
+                low, width, inside = low + r.cell * side, side, r["count"]
+                break
+            below += r["count"]
+    last = rows.where(F.col("_key").between(low, low + width - 1)).orderBy("_key", *ties).limit(n - below)
+    return rows.where(F.col("_key") < low).unionByName(last).drop("_key")
+
+
+def split_of_groups(rows: DataFrame, by: str, key: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
+    """``rows`` (one for each group) with split_id: 1 for the first share of each class ``by`` in the order of a hash of ``key``, 2 for
+    the next, 3 for the rest. Shares must be positive and leave something to the third."""
+    if not all(0 < s < 1 for s in shares) or sum(shares) >= 1:
+        raise ValueError(f"shares of train and validation must be positive and below 1 together, not {shares}")
+    placed = place_in_group(rows, by, portable_hash(F.col(key), seed), key)
+    train, val = (F.floor(F.col("m") * s) for s in shares)
+    return placed.withColumn("split_id", F.when(F.col("k") <= train, 1).when(F.col("k") <= train + val, 2).otherwise(3)).drop("k", "m")
+
+
 def first_of(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """Of rows with the same ``by`` the one with the smallest ``order``, combined on the map side."""
     others = [c for c in rows.columns if c not in by]

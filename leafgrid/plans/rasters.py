@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from leafgrid.functions.columns import portable_hash
+from leafgrid.functions.spectra import kernels, smoothed
+from leafgrid.operators.samples import capped
 from leafgrid.plans import views as V
 from leafgrid.plans.queries import ORACLE_SQL, _masked, query
 from leafgrid.plans.views import CELLS
@@ -110,3 +114,42 @@ def replaced_month(spark, sf):
     replace_months(orders.where("day BETWEEN '1995-03-01' AND '1995-03-31' AND o_orderstatus = 'F'"), table, "day")
     rows = read_days(spark, table, "day", date(1995, 1, 17), date(1995, 6, 11))
     return rows.groupBy(F.trunc("day", "month").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
+
+
+#: Bands of the supplied scene between the water windows, and the windows of the fits.
+_DRY, _WINDOW = [(0, 29), (33, 44), (48, 64)], 7
+
+
+def _weights(derivative: int) -> str:
+    rows = [(first + i, first + at + j, w) for first, end in _DRY for i, (at, weights) in enumerate(kernels(end - first, _WINDOW, 2, derivative, V.STEP_NM)) for j, w in enumerate(weights)]
+    return ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, j, w in rows)
+
+
+def _smooth_sql(derivative: int) -> str:
+    return f"""WITH {CELLS}, k(band, seen, w) AS (VALUES {_weights(derivative)})
+SELECT y, x, k.band::BIGINT AS band, CASE WHEN count(r) = {_WINDOW} THEN round(sum(r * w), 8) END AS v FROM refl JOIN k ON refl.band = k.seen GROUP BY y, x, k.band"""
+
+
+def _smooth(spark, sf, derivative: int):
+    px = V.pixels(spark, sf).select("y", "x", smoothed(F.col("refl"), _DRY, _WINDOW, 2, derivative, V.STEP_NM).alias("v"))
+    rows = px.select("y", "x", F.posexplode("v").alias("band", "v")).select("y", "x", F.col("band").cast("long").alias("band"), F.round("v", 8).alias("v"))
+    return rows.where(reduce(lambda a, b: a | b, [F.col("band").between(first, end - 1) for first, end in _DRY]))
+
+
+@query(_smooth_sql(0))
+def smoothed_spectra(spark, sf):
+    """Spectra smoothed by parabolas over seven bands, each part between water windows by itself."""
+    return _smooth(spark, sf, 0)
+
+
+@query(_smooth_sql(1))
+def spectral_slopes(spark, sf):
+    """First derivatives by wavelength, by the same fits."""
+    return _smooth(spark, sf, 1)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY ((l_orderkey * 8 + l_linenumber + 42) * 2654435761) % 4294967296, l_orderkey, l_linenumber LIMIT 200000")
+def large_sample(spark, sf):
+    """A sample of at most 200,000 rows, the same on every run."""
+    rows = V.read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"))
+    return capped(rows, 200_000, portable_hash(F.col("l_orderkey") * 8 + F.col("l_linenumber")), "l_orderkey", "l_linenumber")
