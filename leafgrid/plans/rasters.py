@@ -127,7 +127,7 @@ def _weights(derivative: int) -> str:
 
 def _smooth_sql(derivative: int) -> str:
     return f"""WITH {CELLS}, k(band, seen, w) AS (VALUES {_weights(derivative)})
-SELECT y, x, k.band::BIGINT AS band, CASE WHEN count(r) = {_WINDOW} THEN round(sum(r * w), 8) END AS v FROM refl JOIN k ON refl.band = k.seen GROUP BY y, x, k.band"""
+SELECT y, x, k.band::BIGINT AS band, CASE WHEN count(r) = {_WINDOW} THEN round(sum(r * w), 8) + 0.0::DOUBLE END AS v FROM refl JOIN k ON refl.band = k.seen GROUP BY y, x, k.band"""
 
 
 def _smooth(spark, sf, derivative: int):
