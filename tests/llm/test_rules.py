@@ -336,4 +336,5 @@ def test_empty_tables_and_repeats(spark):
 def test_registered_queries_without_sql(spark, name):
     got = QUERIES[name](spark, SF).collect()
     ids = Counter(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
-    assert Counter(r.doc_id for r in got) == ids and set(QUERIES) - set(ORACLE_SQL) == SCRIPTS
+    # Whitening and SimHash are held against brute force in test_draws.
+    assert Counter(r.doc_id for r in got) == ids and set(QUERIES) - set(ORACLE_SQL) == SCRIPTS | {"op11_whitening", "op12_simhash"}
