@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leafgrid.functions import columns as C
 from leafgrid.operators import cube, metrics, models, reports
 from leafgrid.operators.ranks import exact_quantiles, place_in_group
+from leafgrid.operators.superpixels import superpixel_means
+from leafgrid.operators.superpixels import superpixels as find_superpixels
 from leafgrid.plans import views as V
 from leafgrid.plans.views import BANDS, CELLS, PLOTS, SCORES
 from leafgrid.sources.store import kept, pending
@@ -464,6 +466,18 @@ def clusters(spark, sf):
     return models.clusters(_all_bands(spark, sf)).select("y", "x", "cluster")
 
 
+@query()
+def superpixels(spark, sf):
+    return find_superpixels(_all_bands(spark, sf), 5, 0.5, least=6)
+
+
+@query()
+def superpixel_spectra(spark, sf):
+    """The spectra of objects rather than pixels."""
+    px = _all_bands(spark, sf)
+    return superpixel_means(px, find_superpixels(px, 5, 0.5, least=6))
+
+
 @query()
 def unmix(spark, sf):
     px = _all_bands(spark, sf)
