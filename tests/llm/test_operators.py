@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgrid.llm import blocks, decontaminate, ngram_join
-from leafgrid.llm.chat import format_conversations, locate, plain_template, read_back, unescape
+from leafgrid.llm.chat import GrowingTemplate, format_conversations, locate, plain_template, plain_turn, read_back, unescape
 from leafgrid.llm.decontaminate import find_contamination, find_contamination_in_parts
 from leafgrid.llm.fingerprints import fingerprint_with_edits
 from leafgrid.llm.language_model import score_texts
@@ -224,6 +224,35 @@ def test_templates_that_rewrite_history():
     assert locate(plain_template, [("a", "long"), ("b", "x")])[2] == []
 
 
+def test_growing_template_is_the_plain_one():
+    r, grown = random.Random(4), GrowingTemplate(plain_turn)
+    said = [(r.choice("ab"), r.choice(["", "x", "</turn>", "0", "1", "long " * 50])) for _ in range(40)]
+    for _ in range(300):  # longer and shorter ones, other ends and other beginnings
+        k = r.randint(0, 40)
+        turns = r.choice([said[:k], [*said[:k], ("a", r.choice("01"))], said[k:], [*said[: k // 2], ("b", "other"), *said[k:]]])
+        assert grown(turns) == plain_template(turns)
+    assert locate(GrowingTemplate(plain_turn), said) == locate(plain_template, said)
+
+
+def test_long_conversations_keep_what_was_rendered():
+    calls = []
+
+    def turn(role, text):
+        calls.append(role)
+        return plain_turn(role, text)
+
+    said = [("user" if i % 2 else "assistant", f"{i} " * 100) for i in range(1000)]
+    out, spans, rewrites = locate(GrowingTemplate(turn), said)
+    assert len(calls) <= 3 * len(said) and read_back(out) == said and not rewrites  # each turn with its two probes, once
+    assert all(out[c:d] == t for (_, _, c, d), (_, t) in zip(spans, said, strict=True))
+
+
+def test_rows_without_conversation_stand_alone(spark):
+    rows = [(None, i, "user", "same") for i in range(50)] + [(None, 0, "user", "same"), (3, 1, "user", "b"), (3, 0, "user", "a")]
+    got = [(r.conv_id, r.n_turns, r.formatted) for r in format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, "### user: same </turn>\n")] * 51 + [(3, 2, "### user: a </turn>\n### user: b </turn>\n")], key=str)
+
+
 def test_quality_learns(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     scored = score_quality(docs, fit_quality(docs, labels)).join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).toPandas()
