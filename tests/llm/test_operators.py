@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from leafgrid.llm.language_model import score_texts
 from leafgrid.llm.line_dedup import drop_common_lines
 from leafgrid.llm.mixing import mix_sources
 from leafgrid.llm.ngram_join import link_near_copies
-from leafgrid.llm.quality import fit_quality, score_quality
+from leafgrid.llm.quality import AdditiveModel, fit_quality, score_quality
 from leafgrid.llm.substrings import drop_repeats
 from leafgrid.llm.url_filter import FALLBACK_RULES, HOST_RULES, judge_urls
 
@@ -259,6 +260,84 @@ def test_quality_learns(spark):
     assert ((scored["score"] >= 0.3) == (scored["quality"] == 1)).mean() > 0.9
 
 
+def _grown_by_loops(x, y, model):
+    """The additive model by plain loops over rows, bins and cuts: the scores on the rows that it was fitted on."""
+    n, wide = len(y), len(x[0])
+    z = [math.log((sum(y) + 1) / (n + 2) / (1 - (sum(y) + 1) / (n + 2)))] * n
+
+    def cuts(f, bins):
+        return sorted(set(np.quantile([r[f] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist()))
+
+    def slopes():
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        return [b - a for a, b in zip(p, y)], [a * (1 - a) for a in p]
+
+    def over(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + 1)
+
+    fine, coarse = ([[sum(c <= r[f] for c in cuts(f, bins)) for r in x] for f in range(wide)] for bins in (model.bins, model.pair_bins))
+    for _ in range(model.rounds):
+        for f in range(wide):
+            g, h = slopes()
+            bins = len(cuts(f, model.bins)) + 1
+            leaves = [(0, bins)]
+            while len(leaves) < model.leaves:
+                found = []
+                for k, (a, b) in enumerate(leaves):
+                    inside = lambda low, high: [i for i in range(n) if low <= fine[f][i] < high]
+                    gains = [(over(inside(a, c), g, h) + over(inside(c, b), g, h) - over(inside(a, b), g, h) if min(len(inside(a, c)), len(inside(c, b))) >= model.least else 0.0, -c, k) for c in range(a + 1, b)]
+                    found += [max(gains)] if gains else []
+                if not found or max(found)[0] <= 1e-9:
+                    break
+                _, c, k = max(found, key=lambda t: (t[0], -t[1], t[2]))
+                a, b = leaves[k]
+                leaves[k : k + 1] = [(a, -c), (-c, b)]
+            for a, b in leaves:
+                rows = [i for i in range(n) if a <= fine[f][i] < b]
+                step = model.rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+                for i in rows:
+                    z[i] += step
+
+    def quarters(a, b, g, h):
+        best = (0.0, 0, 0)
+        for c in range(1, len(cuts(a, model.pair_bins)) + 1):
+            for d in range(1, len(cuts(b, model.pair_bins)) + 1):
+                parts = [[i for i in range(n) if (coarse[a][i] < c) == u and (coarse[b][i] < d) == v] for u in (True, False) for v in (True, False)]
+                gain = sum(over(p, g, h) for p in parts) - over(range(n), g, h)
+                if gain > best[0] + 1e-12:
+                    best = (gain, c, d)
+        return best
+
+    g, h = slopes()
+    ranked = sorted(((-quarters(a, b, g, h)[0], a, b) for a in range(wide) for b in range(a + 1, wide)))[: model.pairs_kept]
+    for _ in range(model.pair_rounds):
+        for _, a, b in ranked:
+            g, h = slopes()
+            gain, c, d = quarters(a, b, g, h)
+            if gain > 1e-9:
+                for u in (True, False):
+                    for v in (True, False):
+                        rows = [i for i in range(n) if (coarse[a][i] < c) == u and (coarse[b][i] < d) == v]
+                        step = model.rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 5)
+                        for i in rows:
+                            z[i] += step
+    return [1 / (1 + math.exp(-v)) for v in z], [(a, b) for _, a, b in ranked]
+
+
+def test_additive_model_by_loops():
+    r = np.random.default_rng(3)
+    x = r.random((70, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4) | (r.random(70) < 0.1)).astype(float)
+    model = AdditiveModel(bins=7, pair_bins=4, rounds=4, pair_rounds=5, pairs_kept=2, least=5.0).fit(x, y)
+    want, pairs = _grown_by_loops(x.tolist(), y.tolist(), model)
+    assert np.allclose(model.score(x), want, atol=1e-9) and model.pairs == pairs and pairs[0] == (0, 1)
+    for row, got in zip(x, model.score(x), strict=True):  # a score is a sum of table entries
+        at = lambda edges, v: sum(e <= v for e in edges)
+        z = model.intercept + sum(t[at(e, v)] for e, t, v in zip(model.edges, model.tables, row, strict=True))
+        z += sum(t[at(model.pair_edges[a], row[a]), at(model.pair_edges[b], row[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert math.isclose(got, 1 / (1 + math.exp(-z)), rel_tol=1e-12)
+
+
 def test_quality_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(0, 1), (3, None), (None, 0)], "doc_id long, quality int")
     rows = score_quality(docs, fit_quality(docs, labels)).collect()
