@@ -58,7 +58,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = link_near_copies(rows.select(F.col("_key").alias("doc_id"), "text"))
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_key")).distinct()
     first = Window.partitionBy("_key").orderBy("lang", "source", "n_chars")
-    return rows.join(gone, "_key", "left_anti").withColumn("_turn", F.row_number().over(first)).where("_turn = 1").select(*COLUMNS)
+    # Repeated rows go before the join: each task keeps one of a key, so a text that a third of all rows have isn't moved with it.
+    return rows.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").join(gone, "_key", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Stages of the pipeline on rows with nulls."""
 
+from collections import Counter
+
 from leafgrid.llm import stages
 from leafgrid.llm.common import materialise, scratch_dir
 from leafgrid.llm.queries import QUERIES
@@ -46,6 +48,28 @@ def test_stages_take_effect(spark, tmp_path):
     assert stages.mix(spark, docs.where("false"), sf).count() == 0
 
 
+def test_quality_stage_of_odd_rows(spark, tmp_path):
+    sf = str(tmp_path)
+    good, bad = (lambda i: f"The {i} farmers measured leaves, and the records were kept. " * 8), (lambda i: f"|| CLICK {i} $$$ ### @@ %% " * 8)
+    rows = [(i, good(i) if i % 2 else bad(i), "s") for i in range(200)] + [(1, good(1), "s")] * 2 + [(None, good(7), None), (None, None, "s"), (500, "", None), (500, None, None), (501, good(3) * 3000, "t"), (502, bad(3), None)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 0), (3, None, 0), (900, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = _docs(spark, rows).selectExpr("*", "'clash' AS score", "1 AS _turn")
+    got = stages.quality(spark, docs, sf)
+    assert got.columns == stages.COLUMNS
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    want = Counter((i, t) for i, t, _ in rows if t and t.startswith("The"))
+    assert {k: n for k, n in kept.items() if k[1]} == want and kept[1, good(1)] == 3  # repeats stay, and so do texts without a doc_id
+    assert stages.quality(spark, docs.where("false"), sf).count() == 0
+
+
+def test_repeated_rows_go_before_the_join(spark):
+    docs = _docs(spark, [(None, None, "s")] * 300 + [(None, "a b c d e f g", "s")] * 300 + [(4, "a b c d e f g", "s")] * 3 + [(6, "other words", "s")]).repartition(6)
+    out = near_copies(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (4, "a b c d e f g"), (6, "other words")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.index("Window")  # the join stands above the window
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 
