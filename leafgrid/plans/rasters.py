@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from datetime import date
 from functools import reduce
@@ -23,13 +24,16 @@ from leafgrid.sources.zarr import write_zarr
 from leafgrid.streaming.inbox import watch_inbox, write_once
 from leafgrid.streaming.stopping import watch_runs
 
+#: What tells a place without a pixel from a pixel without a value in a Zarr array; reflectances are finite.
+GAPS = {"fill": -math.inf, "null": math.nan}
+
 
 @query(f"WITH {CELLS} SELECT y, x, band, r FROM refl WHERE y BETWEEN 3 AND 17 AND x >= 5")
 def zarr_window(spark, sf):
     """The scene as a Zarr array, of which a window is read by the chunks that it meets."""
     path = scratch_folder(spark)
-    write_zarr(V.pixels(spark, sf), path, "reflectance", "refl", (16, 8, 8), "float64", version=3)
-    window = open_raster(spark, "zarr", path, "y between 3 and 17 and x >= 5", array="reflectance")
+    write_zarr(V.pixels(spark, sf), path, "reflectance", "refl", (16, 8, 8), "float64", version=3, **GAPS)
+    window = open_raster(spark, "zarr", path, "y between 3 and 17 and x >= 5", array="reflectance", gaps="true")
     return window.select("y", "x", F.posexplode("v").alias("band", "r")).withColumn("band", F.col("band").cast("long"))
 
 
@@ -37,8 +41,8 @@ def zarr_window(spark, sf):
 def zarr_bands(spark, sf):
     """Two bands of the scene from a Zarr array, as a row for each value: the chunks of their blocks alone are read."""
     path = scratch_folder(spark)
-    write_zarr(V.pixels(spark, sf), path, "reflectance", "refl", (4, 64, 16), "float64")
-    cells = open_raster(spark, "zarr", path, "band in (3, 40)", array="reflectance", layout="cells")
+    write_zarr(V.pixels(spark, sf), path, "reflectance", "refl", (4, 64, 16), "float64", **GAPS)
+    cells = open_raster(spark, "zarr", path, "band in (3, 40)", array="reflectance", layout="cells", gaps="true")
     return cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("known"), F.round(F.avg("v"), 6).alias("mean"))
 
 

@@ -80,8 +80,11 @@ class Layout:
         raw = np.frombuffer(UNPACK[self.codec](data), self.dtype)
         return raw.reshape([self.chunks[a] for a in self.order]).transpose(np.argsort(self.order))
 
+    def is_fill(self, values: np.ndarray) -> np.ndarray:
+        return np.isnan(values) if isinstance(self.fill, float) and math.isnan(self.fill) else values == self.fill
+
     def is_empty(self, chunk: np.ndarray) -> bool:
-        return bool(np.isnan(chunk).all() if isinstance(self.fill, float) and math.isnan(self.fill) else (chunk == self.fill).all())
+        return bool(self.is_fill(chunk).all())
 
     def documents(self) -> dict[str, bytes]:
         """The metadata files of the array, by name."""
@@ -207,6 +210,7 @@ class ZarrReader(DataSourceReader):
         self.window = tuple(span(wanted.get(a), s) for a, s in zip(self.positions, size, strict=True))
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
         self.ignored = [float(v) for v in str(options["ignored"]).split(",")] if options.get("ignored") else []
+        self.gaps = str(options.get("gaps", "false")).lower() == "true"
 
     def partitions(self):
         sides = self.layout.chunks[-len(self.window) :]
@@ -252,10 +256,10 @@ class ZarrReader(DataSourceReader):
         cube = np.concatenate(parts)
         if self.bands is not None and not flat:
             cube = cube[np.searchsorted(sorted(set(self.bands)), self.bands)]
-        offsets = pa.array(np.arange(x1 - x0 + 1, dtype="i4") * len(cube))
         for y in range(y1 - y0):
-            values = pa.ListArray.from_arrays(offsets, self._nulled(cube[:, y].T.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(x1 - x0, top + y0 + y)), pa.array(np.arange(left + x0, left + x1)), values], ["y", "x", "v"])
+            xs = np.flatnonzero(~self.layout.is_fill(cube[:, y]).all(axis=0)) if self.gaps else np.arange(x1 - x0)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(xs) + 1, dtype="i4") * len(cube)), self._nulled(cube[:, y, xs].T.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(xs), top + y0 + y)), pa.array(left + x0 + xs), values], ["y", "x", "v"])
 
     def _cells(self, index: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
         firsts, inside = self._inside(index)
@@ -266,7 +270,11 @@ class ZarrReader(DataSourceReader):
             places = [g.ravel() + f + a for g, f, (a, _) in zip(np.indices(values.shape), firsts, inside, strict=True)]
             if places:
                 places[0] = places[0] + slab
-            yield pa.RecordBatch.from_arrays([*[pa.array(p) for p in places], self._nulled(values.ravel())], [*self.positions, "v"])
+            values = values.ravel()
+            if self.gaps:
+                there = ~self.layout.is_fill(values)
+                places, values = [p[there] for p in places], values[there]
+            yield pa.RecordBatch.from_arrays([*[pa.array(p) for p in places], self._nulled(values)], [*self.positions, "v"])
 
 
 class PushedZarrReader(PushedWindow, ZarrReader):
@@ -284,6 +292,7 @@ class ZarrWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.folder, self.array, self.overwrite = Folder(options["path"]), options["array"], overwrite
         self.layout = read_layout_of(json.loads(options["documents"]))
+        self.null = float(options["null"]) if options.get("null") else self.layout.fill
         # A new array grows beside the old one; chunks that are added to an array go where they belong.
         self.target = f".{self.array}-{uuid.uuid4().hex}" if overwrite else self.array
 
@@ -308,7 +317,7 @@ class ZarrWriter(DataSourceArrowWriter):
                     key, chunk = tuple(keys[a].tolist()), np.full((self.layout.chunks[0] if len(self.layout.shape) == 3 else 1, h, w), blank, self.layout.dtype)
                 some = batch.slice(a, z - a)
                 values = some.column("v").flatten().to_numpy(zero_copy_only=False).reshape(z - a, -1)
-                values = np.where(np.isnan(values), blank, values).astype(self.layout.dtype)
+                values = np.where(np.isnan(values), self.null, values).astype(self.layout.dtype)
                 chunk[: values.shape[1], some.column("y").to_numpy() - key[1] * h, some.column("x").to_numpy() - key[2] * w] = values.T
         return Finished(n + close())
 
@@ -335,8 +344,9 @@ class ZarrSource(DataSource):
     Arrays of two or three dimensions are read as pixels: y, x, and v with the values of all bands, a partition for each
     chunk of positions. With layout=cells arrays of any dimensions give a row for each value: a column for each dimension and v.
     Options: bands (numbers, in order), rows and columns (from:to, without the end), ignored (values that are null; NaN always is),
-    pushdown. A chunk without a file holds the fill value. Chunks may be plain or packed by zlib, gzip or zstd; others, filters
-    and sharded arrays are refused. Writing goes through :func:`write_zarr`.
+    gaps (true: cells that hold the fill value, and pixels of which all bands that are read do, give no rows), pushdown. A chunk
+    without a file holds the fill value. Chunks may be plain or packed by zlib, gzip or zstd; others, filters and sharded arrays
+    are refused. Writing goes through :func:`write_zarr`.
     """
 
     @classmethod
@@ -366,12 +376,13 @@ def _to_write(pixels: DataFrame, values: str, chunks: tuple[int, ...]) -> DataFr
     return rows.select("_block.b", F.floor(F.col("y") / h).alias("cy"), F.floor(F.col("x") / w).alias("cx"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "_block.v")
 
 
-def write_zarr(pixels: DataFrame, path: str, array: str, values: str, chunks: tuple[int, ...] = (64, 512, 512), dtype: str = "float32", fill: float | None = None, codec: str | None = "zlib", version: int = 2, shape: tuple[int, ...] | None = None, mode: str = "overwrite", dims: tuple[str, ...] = ("band", "y", "x"), attributes: dict | None = None) -> None:
+def write_zarr(pixels: DataFrame, path: str, array: str, values: str, chunks: tuple[int, ...] = (64, 512, 512), dtype: str = "float32", fill: float | None = None, codec: str | None = "zlib", version: int = 2, shape: tuple[int, ...] | None = None, mode: str = "overwrite", dims: tuple[str, ...] = ("band", "y", "x"), attributes: dict | None = None, null: float | None = None) -> None:
     """The array column ``values`` of pixels (y, x) as an array of a Zarr group, which keeps its other arrays and its format.
 
     Two ``chunks`` make a layer of two dimensions from arrays of one value. The shape is that of the pixels unless given. A
-    null and a place without a pixel hold ``fill`` (NaN for floats, else 0), and chunks of nothing else get no file. Of pixels
-    at the same place one stays. A new array takes its name when it is whole. With mode append, the whole chunks that have pixels
+    place without a pixel holds ``fill`` (NaN for floats, else 0), and chunks of nothing else get no file; a null holds ``null``
+    (unless given, ``fill`` too). Where the two differ, the option gaps gives back the pixels that were written and no others;
+    no value may equal ``fill`` then. Of pixels at the same place one stays. A new array takes its name when it is whole. With mode append, the whole chunks that have pixels
     are written into an array of the same layout, or into a new one (then give the shape of all of it), which can be read from
     the start on; :func:`unfinished` tells what a write that was stopped has left to do.
     """
@@ -402,7 +413,8 @@ def write_zarr(pixels: DataFrame, path: str, array: str, values: str, chunks: tu
                 folder.write(f"{array}/{name}", document)
     documents = {n: d.decode() for n, d in layout.documents().items()}
     rows = _to_write(pixels, values, layout.chunks).repartition("b", "cy", "cx").sortWithinPartitions("b", "cy", "cx")
-    rows.write.format("zarr").mode(mode).options(array=array, documents=json.dumps(documents)).save(path)
+    own = {} if null is None else {"null": repr(float(null))}
+    rows.write.format("zarr").mode(mode).options(array=array, documents=json.dumps(documents), **own).save(path)
 
 
 def unfinished(pixels: DataFrame, path: str, array: str) -> DataFrame:

@@ -4,10 +4,13 @@ import gzip
 import json
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafgrid.plans import rasters
+from leafgrid.plans.queries import ORACLE_SQL
 from leafgrid.sources import zarr
 from leafgrid.sources.rasters import open_raster
 from leafgrid.sources.zarr import Folder, ZarrSource, open_group, read_layout, unfinished, write_zarr
@@ -59,6 +62,30 @@ def test_missing_chunks_hold_the_fill_value(spark, px, tmp_path, version):
     assert {r.v[0] for r in open_raster(spark, "zarr", path, "y = 15", array="label").collect()} == {255}
 
 
+@pytest.mark.parametrize(("version", "dtype"), [(2, "float64"), (3, "float32")])
+def test_places_without_a_pixel_are_told_from_nulls(spark, px, tmp_path, version, dtype):
+    path, nothing = str(tmp_path / "g"), F.array(*[F.lit(None).cast("double")] * B)
+    some = px.where("y < 16 and (y * 17 + x) % 7 > 0 or y = 22 and x = 3").withColumn("refl", F.when(F.col("x") == 4, nothing).otherwise(F.col("refl")))
+    write_zarr(some, path, "refl", "refl", (2, 8, 6), dtype, version=version, fill=-np.inf, null=np.nan)
+    want = {(r.y, r.x): r.refl for r in some.collect()}
+    read = lambda condition=None, **how: open_raster(spark, "zarr", path, condition, array="refl", **how).collect()
+    assert {(r.y, r.x): r.v for r in read(gaps="true")} == want
+    assert len(read("y between 5 and 22", gaps="true", bands="3")) == len([k for k in want if k[0] >= 5])
+    got = read("band in (1, 4)", layout="cells", gaps="true")
+    assert len(got) == 2 * len(want) and {(r.band, r.y, r.x): r.v for r in got} == {(b, *k): v[b] for k, v in want.items() for b in (1, 4)}
+    assert len(read()) == H * W
+
+
+@pytest.mark.parametrize("name", ["zarr_bands", "zarr_window"])
+def test_queries_of_a_scene_with_gaps(spark, tmp_path, name):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 7 > 0 and vec_id < 333")
+    rows.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(map(tuple, getattr(rasters, name)(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(con.sql(ORACLE_SQL[name]).fetchall(), key=str)
+
+
 def test_metadata_of_others(spark, tmp_path):
     """What other writers leave: bytes in Fortran order, big-endian, slashes in keys, transposed axes, old keys, scalars of attributes."""
     values = np.arange(5 * 7, dtype="i4").reshape(5, 7)
