@@ -112,3 +112,27 @@ def test_runs_stop_as_in_a_closed_log(spark, tmp_path):
     judged = [(x[0], x[1]) for x in got if not x[4]]
     assert len(judged) == len(set(judged)) and {(a, b): (c, d) for a, b, c, d, silent in got if not silent} == want
     assert {(a, b) for a, b, *_, silent in got if silent} == {(f"run{k}", 24) for k in range(4)}
+
+
+def test_many_runs_share_states(spark, tmp_path):
+    """A call of Python for each run took longer than its epochs did; first values may be null, and states go on after a restart."""
+    value = lambda k, e: None if e == 1 or (k + e) % 5 == 0 else float((7 * k + 3 * e * e) % 11)
+    rows = [(k, e, 1000 + 10 * e + k % 3, value(k, e)) for k in range(1500) for e in range(1, 9)]
+    schema, out = "run int, epoch long, ts timestamp, ap double", []
+
+    def go(some):
+        log = spark.createDataFrame(some, "run int, epoch long, sec long, ap double").select("run", "epoch", F.timestamp_seconds("sec").alias("ts"), "ap")
+        log.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = watch_runs(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "ap", "epoch", "ts", 3, "run")
+        query = got.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        out.extend(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+
+    go([r for r in rows if r[1] <= 4])
+    go([r for r in rows if r[1] > 4])
+    go([(-1, 1, 10**6, 0.5)])
+    assert 0 < max(out) <= 1024
+    closed = staleness(spark.createDataFrame(rows, "run int, epoch long, sec long, ap double"), "ap", "epoch", 3, "run").select("run", "epoch", "stale", "stop")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.schema["run"].dataType.simpleString() == "int" and not got.where("silent").count()
+    assert sorted(map(tuple, got.drop("silent").collect())) == sorted(map(tuple, closed.collect()))
